@@ -107,10 +107,12 @@ def first_by_key(values: str, key: Callable[[str], str]) -> str:
         kept = let(pairs, lambda p: f"sort_array({each(firsts(p), lambda e: f'{e}.i')})")
         return each(kept, lambda i: f"get({a}, {i})")
 
-    return let(
-        values,
-        lambda a: let(
-            each(a, key),
-            lambda keys: f"IF(size(array_distinct({keys})) = size({keys}), {a}, {dedup(a, keys)})",
-        ),
-    )
+    def distinct(a: str) -> str:
+        # one element, or no two alike: the usual case, nothing to drop
+        keys = each(a, key)
+        return (
+            f"IF(size({a}) < 2 OR size(array_distinct({keys})) = size({a}),"
+            f" {a}, {let(keys, lambda k: dedup(a, k))})"
+        )
+
+    return let(values, distinct)

@@ -11,13 +11,15 @@ recurses nor backtracks, and every character is passed a fixed number of times.
 
 from __future__ import annotations
 
-from pageloom.functions.core import case, each, each_indexed, first_by_key, keep, let, lit, struct
-from pageloom.functions.text import decode_entities_sql, trim_space_sql
+from pageloom.functions.core import each, each_indexed, first_by_key, in_list, keep, let, lit, struct
+from pageloom.functions.text import ENTITY_TABLE, decode_entities_sql, trim_space_sql
 
 # Elements whose content is not markup.
 RAW_TEXT = "script|style|textarea|title|iframe|noembed|noframes|noscript|xmp"
 _RCDATA = ("textarea", "title")
 
+EMPTY = "''"
+
 _END = r"(?=[\s/>])"
 _ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+"
 
@@ -85,27 +87,41 @@ def _pieces(html: str, pattern: tuple[str, int]) -> str:
     return keep(f"regexp_extract_all({html}, {lit(regex)}, {group})", lambda m: f"{m} != ''")
 
 
-_ATTR = r"[^\s=/>]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+"
-_ATTR_VALUE = r"(?s)^[^\s=/>]++\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(.*+))$"
+# Attributes follow each other from the tag name up to the closing '>'.
+_ATTR = (
+    r"\G(?:^<[^\s/>]++|(?!^))[\s/]*+"
+    r"([^\s=/>]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)"
+)
+
+
+_QUOTES = ('"', "'")
 
 
 def _newlines(c: str) -> str:
     return f"replace(replace({c}, '\\r\\n', '\\n'), '\\r', '\\n')"
 
 
-def attributes_sql(element: str) -> str:
+def attributes_sql(element: str, table: str = ENTITY_TABLE) -> str:
     """Attribute map of a start tag: names lower-cased, entities decoded, ''
     for an attribute without a value, the first of duplicates."""
-    inside = f"regexp_extract({element}, {lit(rf'(?s)^<[^\s/>]++({_ATTRS})>')}, 1)"
-    tokens = f"regexp_extract_all({inside}, {lit(_ATTR)}, 0)"
+    tokens = f"regexp_extract_all({element}, {lit(_ATTR)}, 1)"
+
+    def unquoted(v: str) -> str:
+        quoted = f"{in_list(f'substr({v}, 1, 1)', _QUOTES)} AND length({v}) > 1"
+        quoted += f" AND substr({v}, -1, 1) = substr({v}, 1, 1)"
+        plain = f"IF({quoted}, substr({v}, 2, length({v}) - 2), {v})"
+        # '&' and '\r' are rare enough to test for before doing more
+        decoded = let(_newlines(plain), lambda x: decode_entities_sql(x, True, table))
+        return f"IF(contains({v}, '&') OR contains({v}, '\\r'), {decoded}, {plain})"
 
     def entry(t: str) -> str:
-        value = "".join(
-            f"regexp_extract({t}, {lit(_ATTR_VALUE)}, {g}), " for g in (1, 2)
-        ) + f"regexp_extract({t}, {lit(_ATTR_VALUE)}, 3)"
-        decoded = let(_newlines(f"concat({value})"), lambda v: decode_entities_sql(v, True))
-        name_only = lit(r"^[^\s=/>]++")
-        return struct(k=f"lower(regexp_extract({t}, {name_only}, 0))", v=decoded)
+        at = f"instr({t}, '=')"
+        space = lit(" \t\n\f\r")
+        value = let(f"ltrim({space}, substr({t}, {at} + 1))", unquoted)
+        return (
+            f"IF({at} = 0, {struct(k=f'lower({t})', v=EMPTY)},"
+            f" {struct(k=f'lower(rtrim({space}, substr({t}, 1, {at} - 1)))', v=value)})"
+        )
 
     return f"map_from_entries({first_by_key(each(tokens, entry), lambda e: f'{e}.k')})"
 
@@ -114,7 +130,7 @@ def _content(element: str) -> str:
     return f"regexp_extract({element}, {lit(rf'(?s)^<[^\s/>]++{_ATTRS}>(.*+)$')}, 1)"
 
 
-def text_sql(tag: str, element: str) -> str:
+def text_sql(tag: str, element: str, table: str = ENTITY_TABLE) -> str:
     """Text of an element: that of all descendants, entities decoded, trimmed."""
     raw_end = lit(rf"(?i)</(?:{RAW_TEXT}){_END}[^>]*+>$")
     raw = f"regexp_replace({_content(element)}, {raw_end}, '')"
@@ -123,37 +139,48 @@ def text_sql(tag: str, element: str) -> str:
         _content(element),
         lambda c: f"IF(contains({c}, '<'), regexp_replace({c}, {tags}, ''), {c})",
     )
-    decoded = lambda c: let(_newlines(c), decode_entities_sql)
-    return trim_space_sql(
-        case(
-            (f"{tag} IN {_RCDATA}", decoded(raw)),
-            (f"{tag} RLIKE '^(?:{RAW_TEXT})$'", _newlines(raw)),
-            default=decoded(markup),
-        )
-    )
 
+    def finished(c: str) -> str:
+        newlines = f"IF(contains({c}, '\\r'), {_newlines(c)}, {c})"
+        decoded = let(newlines, lambda t: decode_entities_sql(t, False, table))
+        coded = f"NOT ({in_list(tag, RAW_TEXT.split('|'))}) OR {in_list(tag, _RCDATA)}"
+        return f"IF({coded}, {decoded}, {newlines})"
 
-_HAS_TEXT = f"^(?:a|h[1-6]|{RAW_TEXT})$"
+    is_raw = in_list(tag, RAW_TEXT.split("|"))
+    return trim_space_sql(let(f"IF({is_raw}, {raw}, {markup})", finished))
 
 
-def elements_sql(html: str, names: tuple[str, ...] | None, with_text: bool = True) -> str:
+_WITH_TEXT = ("a", "h1", "h2", "h3", "h4", "h5", "h6", *RAW_TEXT.split("|"))
+
+
+def elements_sql(
+    html: str,
+    names: tuple[str, ...] | None,
+    with_text: bool = True,
+    table: str = ENTITY_TABLE,
+) -> str:
     """array<struct<pos, tag, attrs, text>> of the elements in document order.
 
     ``text`` is NULL for elements of which only the start tag is taken."""
+    return _parsed(_pieces(html, element_pattern(names)), with_text, table)
+
+
+def _parsed(pieces: str, with_text: bool, table: str) -> str:
     first_name = lit(r"^<([^\s/>]++)")
 
     def element(e: str, pos: str) -> str:
-        tag = f"lower(regexp_extract({e}, {first_name}, 1))"
-        text = lambda t: (
-            f"IF({t} RLIKE '{_HAS_TEXT}', {text_sql(t, e)}, NULL)"
-            if with_text
-            else "CAST(NULL AS STRING)"
-        )
-        return let(
-            tag, lambda t: struct(pos=pos, tag=t, attrs=attributes_sql(e), text=text(t))
-        )
+        def fields(tag: str) -> str:
+            text = f"IF({in_list(tag, _WITH_TEXT)}, {text_sql(tag, e, table)}, NULL)"
+            return struct(
+                pos=pos,
+                tag=tag,
+                attrs=attributes_sql(e, table),
+                text=text if with_text else "CAST(NULL AS STRING)",
+            )
+
+        return let(f"lower(regexp_extract({e}, {first_name}, 1))", fields)
 
-    return each_indexed(_pieces(html, element_pattern(names)), element)
+    return each_indexed(pieces, element)
 
 
 def containers_sql(html: str, name: str) -> str:
@@ -161,8 +188,37 @@ def containers_sql(html: str, name: str) -> str:
     return _pieces(html, container_pattern(name))
 
 
-def contained_sql(html: str, container: str, names: tuple[str, ...]) -> str:
-    """array<array<element>>: per container its elements called ``names``."""
-    return each(
-        containers_sql(html, container), lambda c: elements_sql(c, names, with_text=False)
-    )
+def document_sql(html: str, names: tuple[str, ...], inside: dict[str, tuple[str, ...]]) -> str:
+    """struct<elements, form, video, ...>: the elements called ``names``, and for
+    each container in ``inside`` an array with, per occurrence, an array of its
+    elements of the given names.
+
+    A container is only searched for on pages where its start tag occurs. The
+    entity table is bound once for all.
+    """
+
+    def contained(container: str, table: str) -> str:
+        wanted = element_pattern(inside[container])
+        found = each(
+            containers_sql(html, container), lambda c: _parsed(_pieces(c, wanted), False, table)
+        )
+        return f"IF({_occurs(html, [container])}, {found}, array())"
+
+    def build(table: str) -> str:
+        elements = elements_sql(html, names, True, table)
+        if not inside:
+            return struct(elements=elements)
+        return let(
+            _occurs(html, list(inside)),
+            lambda some: struct(
+                elements=elements,
+                **{c: f"IF({some}, {contained(c, table)}, array())" for c in inside},
+            ),
+        )
+
+    return let(ENTITY_TABLE, build)
+
+
+def _occurs(html: str, names: list[str]) -> str:
+    which = "|".join(names)
+    return f"{html} RLIKE {lit(rf'(?i)<(?:{which})[\s/>]')}"

@@ -105,19 +105,22 @@ def _from_code_point(cp: str) -> str:
     )
 
 
-def _decode_piece(p: str) -> str:
+ENTITY_TABLE = lit(_TABLE)
+
+
+def _decode_piece(p: str, table: str) -> str:
     body = f"rtrim(';', substr({p}, 2))"
     number = case(
         (f"{p} RLIKE '^&#[xX]'", f"conv(substr({body}, 3), 16, 10)"),
         default=f"substr({body}, 2)",
     )
-    # The standard table travels as one string, which costs a plan far less than
-    # a map of thousands of literals; only rare names are looked up in it.
+    # The standard table is one string, which costs a plan far less than a map of
+    # thousands of literals; only rare names are looked up in it.
     rare = let(
-        f"instr({lit(_TABLE)}, concat('\\n', {body}, '='))",
+        f"instr({table}, concat('\\n', {body}, '='))",
         lambda at: case(
             (f"{at} = 0", p),
-            default=f"substring_index(substr({lit(_TABLE)}, {at} + length({body}) + 2, 4), '\\n', 1)",
+            default=f"substring_index(substr({table}, {at} + length({body}) + 2, 4), '\\n', 1)",
         ),
     )
     named = case(*[(f"{body} = {lit(k)}", lit(v)) for k, v in _COMMON.items()], default=rare)
@@ -128,9 +131,10 @@ def _decode_piece(p: str) -> str:
     )
 
 
-def decode_entities_sql(c: str, in_attribute: bool = False) -> str:
+def decode_entities_sql(c: str, in_attribute: bool = False, table: str = ENTITY_TABLE) -> str:
+    """``table`` lets a larger expression bind the entity table once and pass it on."""
     pieces = find_all_sql(c, _PIECES_IN_ATTRIBUTE if in_attribute else _PIECES)
-    return f"IF(contains({c}, '&'), array_join({each(pieces, _decode_piece)}, ''), {c})"
+    return f"IF(contains({c}, '&'), array_join({each(pieces, lambda p: _decode_piece(p, table))}, ''), {c})"
 
 
 def decode_entities(c: str, in_attribute: bool = False) -> Column:

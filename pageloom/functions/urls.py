@@ -26,6 +26,12 @@ _PATH_LEGAL = _PATH_PLAIN + r"!'()*\[\]%"
 _FRAGMENT_PLAIN = r"A-Za-z0-9\-_.~$&+,/:;=?@!()*"
 _FRAGMENT_LEGAL = _FRAGMENT_PLAIN + r"'\[\]%"
 
+# A path that resolves to itself, with or without a query: legal characters, no
+# segment that is empty or starts with a dot.
+_PLAIN_PATH = (
+    r"(?:/(?![/.])[A-Za-z0-9\-_.~$&+,:;=@!'()*\[\]]*+)++(?:\?[^#\x00-\x1f\x7f]*+)?$"
+)
+
 _CONTROL = r"[\x00-\x1f\x7f]"
 _TRIPLET = r"%[0-9A-Fa-f]{2}"
 _BAD_PERCENT = r"%(?![0-9A-Fa-f]{2})"
@@ -99,25 +105,26 @@ def _escape_authority(auth: str) -> str:
 def parse_sql(url: str) -> str:
     """Struct of the escaped parts of a URL; NULL if it is not a URL."""
 
-    def part(u: str, group: int) -> str:
-        return f"regexp_extract({u}, {lit(_SPLIT)}, {group})"
-
     def split(u: str) -> str:
-        return struct(
-            raw=u,
-            scheme=f"lower({part(u, 1)})",
-            authority=part(u, 2),
-            path=part(u, 3),
-            query=part(u, 4),
-            fragment=part(u, 5),
+        # one match for all five parts; a URL cannot contain the separator
+        parts = f"split(regexp_replace({u}, {lit(_SPLIT)}, '$1\\0$2\\0$3\\0$4\\0$5'), '\\0')"
+        named = let(
+            parts,
+            lambda p: struct(
+                scheme=f"lower({p}[0])",
+                authority=f"{p}[1]",
+                path=f"{p}[2]",
+                query=f"{p}[3]",
+                fragment=f"{p}[4]",
+            ),
         )
+        return f"IF({_matches(u, _CONTROL)}, NULL, {named})"
 
     def check(s: str) -> str:
         no_authority = f"{s}.authority = ''"
         opaque = f"({s}.scheme != '' AND {no_authority} AND NOT startswith({s}.path, '/'))"
         bad = " OR ".join(
             [
-                _matches(f"{s}.raw", _CONTROL),
                 f"({s}.scheme = '' AND {no_authority} AND {_matches(f'{s}.path', '^[^/]*:')})",
                 f"(NOT {opaque} AND {_matches(f'{s}.path', _BAD_PERCENT)})",
                 _matches(f"{s}.fragment", _BAD_PERCENT),
@@ -134,7 +141,7 @@ def parse_sql(url: str) -> str:
         )
         return f"IF({bad}, NULL, {parts})"
 
-    return let(let(url, split), lambda s: f"IF({s}.raw IS NULL, NULL, {check(s)})")
+    return let(let(url, split), lambda s: f"IF({s} IS NULL, NULL, {check(s)})")
 
 
 def _assemble(scheme: str, authority: str, path: str, query: str, fragment: str) -> str:
@@ -151,9 +158,19 @@ def host_sql(authority: str) -> str:
 
 
 def with_host_sql(p: str) -> str:
-    """A parsed URL with its ``host[:port]`` as one more field."""
+    """A parsed base: its ``host[:port]`` and ``scheme://authority`` as well."""
     names = ("scheme", "authority", "path", "query", "fragment", "opaque")
-    return struct(**{n: f"{p}.{n}" for n in names}, host=host_sql(f"{p}.authority"))
+    known = f"{p}.scheme != '' AND {p}.authority NOT IN ('', '//')"
+    return struct(
+        **{n: f"{p}.{n}" for n in names},
+        host=host_sql(f"{p}.authority"),
+        origin=f"IF({known}, concat({p}.scheme, ':', {p}.authority), '')",
+    )
+
+
+def base_sql(url: str) -> str:
+    """Parsed URL to resolve against, NULL if it does not parse."""
+    return let(parse_sql(url), lambda b: f"IF({b} IS NULL, NULL, {with_host_sql(b)})")
 
 
 def host_name_sql(url: str) -> str:
@@ -214,6 +231,26 @@ def resolve_parsed_sql(base: str, ref: str) -> str:
             opaque=f"{r}.opaque",
         )
 
+    def quick(r: str) -> str:
+        # most references need nothing done: a plain path under the base's host,
+        # or a plain absolute URL
+        rooted = struct(
+            url=f"concat({base}.origin, {r})",
+            host=f"{base}.host",
+            path=f"substring_index({r}, '?', 1)",
+        )
+        absolute = struct(
+            url=r,
+            host=f"split({r}, '/', 4)[2]",
+            path=f"substring_index(substr({r}, length(split({r}, '/', 4)[2]) + instr({r}, '//') + 2), '?', 1)",
+        )
+        return case(
+            (f"{base} IS NULL", unresolved(r)),
+            (f"{base}.origin != '' AND {_matches(r, '^' + _PLAIN_PATH)}", rooted),
+            (_matches(r, "^https?://[A-Za-z0-9.-]++(?::[0-9]++)?" + _PLAIN_PATH), absolute),
+            default=with_base(r),
+        )
+
     def result(t: str) -> str:
         return struct(
             url=_assemble(
@@ -230,12 +267,12 @@ def resolve_parsed_sql(base: str, ref: str) -> str:
     unresolved = lambda r: struct(
         url=r, host="CAST(NULL AS STRING)", path="CAST(NULL AS STRING)"
     )
-    return let(ref, lambda r: f"IF({base} IS NULL, {unresolved(r)}, {with_base(r)})")
+    return let(ref, quick)
 
 
 def resolve_url(base: str, ref: str) -> Column:
     """Absolute URL of ``ref`` on the page ``base``; NULL if it cannot be parsed."""
-    return expr(let(parse_sql(base), lambda b: f"{resolve_parsed_sql(b, ref)}.url"))
+    return expr(let(base_sql(base), lambda b: f"{resolve_parsed_sql(b, ref)}.url"))
 
 
 def canonical_sql(url: str, ignore_query: bool = False) -> str:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pageloom.functions.core import EMPTY_MAP, case, each, first_by_key, keep, let, lit, struct, text_map
-from pageloom.functions.html import contained_sql
 from pageloom.functions.text import truncate_sql
 from pageloom.functions.urls import path_extension_sql
-from pageloom.operators.items import ELEMENTS, HTML, item
+from pageloom.operators.items import DOCUMENT, ELEMENTS, item
 from pageloom.operators.links import resolved_sql
 
 NAME, TYPE = "assets", "asset"
 TAGS = ("img", "script", "link", "a", "picture", "video", "audio")
+INSIDE = {
+    "picture": ("source",),
+    "video": ("video", "source"),
+    "audio": ("audio", "source"),
+}
 
 # Linked files that count as assets, in order of precedence.
 FILE_TYPES = {
@@ -56,19 +60,17 @@ def _srcset(elements: str, tag: str, phase: int, extra=lambda e: EMPTY_MAP) -> s
     return f"flatten({each(elements, urls)})"
 
 
-def _inside(container: str, names: tuple[str, ...]) -> str:
-    """Elements inside every ``container``; only searched for where one occurs."""
-    found = f"flatten({contained_sql(HTML, container, names)})"
-    # positions inside a container start anew, so number them over the page
-    numbered = (
-        f"transform({found}, (e, i) -> "
-        f"{struct(pos='i', tag='e.tag', attrs='e.attrs', text='e.text')})"
+def _inside(container: str) -> str:
+    """Elements inside the page's ``container`` elements, numbered over the page."""
+    return (
+        f"transform(flatten({DOCUMENT}.{container}), (e, i) -> "
+        f"{struct(pos='i', tag='e.tag', attrs='e.attrs')})"
     )
-    return f"IF(exists({ELEMENTS}, e -> e.tag = '{container}'), {numbered}, array())"
 
 
 def file_type_sql(href: str) -> str:
-    return let(
+    ends = "|".join(ext[1:] for ext in FILE_TYPES)
+    kind = let(
         f"lower({href})",
         lambda h: case(
             *[
@@ -77,6 +79,8 @@ def file_type_sql(href: str) -> str:
             ]
         ),
     )
+    # one test settles the many anchors that link no file
+    return f"IF({href} RLIKE '(?i)[.](?:{ends})(?:[?]|$)', {kind}, NULL)"
 
 
 def candidates_sql() -> str:
@@ -98,7 +102,7 @@ def candidates_sql() -> str:
     )
     img_srcset = _srcset(_tags("img", "e.attrs['srcset'] IS NOT NULL"), "img-srcset", 1)
     picture_srcset = _srcset(
-        keep(_inside("picture", ("source",)), lambda e: f"{e}.attrs['srcset'] IS NOT NULL"),
+        keep(_inside("picture"), lambda e: f"{e}.attrs['srcset'] IS NOT NULL"),
         "picture-source",
         2,
         lambda e: text_map(media_type=f"nullif({e}.attrs['type'], '')"),
@@ -154,7 +158,7 @@ def candidates_sql() -> str:
     )
 
     def media(tag: str, phase: int) -> str:
-        found = keep(_inside(tag, (tag, "source")), lambda e: f"{e}.attrs['src'] != ''")
+        found = keep(_inside(tag), lambda e: f"{e}.attrs['src'] != ''")
         return each(
             found, lambda e: _candidate(f"{e}.attrs['src']", f"'{tag}'", tag, phase, f"{e}.pos")
         )

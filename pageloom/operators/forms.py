@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from pageloom.functions.core import each, each_indexed, keep, let, lit, non_empty, struct, text_map
-from pageloom.functions.html import containers_sql, elements_sql
+from pageloom.functions.core import each, each_indexed, keep, non_empty, struct, text_map
 from pageloom.functions.text import truncate_sql
-from pageloom.operators.items import ELEMENTS, HTML, item
+from pageloom.operators.items import DOCUMENT, item
 
 NAME, TYPE, TAGS = "forms", "form", ("form",)
-FIELD_TAGS = ("input", "select", "textarea")
+# what to look for inside a form: the form itself comes first
+INSIDE = {"form": ("form", "input", "select", "textarea")}
 
 
 def _attr(e: str, name: str) -> str:
     return f"coalesce({e}.attrs['{name}'], '')"
 
 
-def forms_sql() -> str:
-    """array<struct<form, fields>> in document order; pages without a form tag
-    are not searched a second time."""
-    parts = each(
-        containers_sql(HTML, "form"),
-        lambda f: struct(
-            form=f"get({elements_sql(f, ('form',), with_text=False)}, 0)",
-            fields=elements_sql(f, FIELD_TAGS, with_text=False),
-        ),
-    )
-    return f"IF(exists({ELEMENTS}, e -> e.tag = 'form'), {parts}, array())"
-
-
 def field_sql(e: str) -> str:
     """``tag[name=..,type=..(,value=..)(,placeholder=..)]``"""
 
@@ -46,6 +33,12 @@ def described_sql() -> str:
     array<struct<tag, attrs, label>>. A field without a name counts only in a
     form with an id."""
 
+    # a nested form tag is none, so every element but the first is a field
+    parts = each(
+        f"{DOCUMENT}.form",
+        lambda f: struct(form=f"get({f}, 0)", fields=f"filter({f}, e -> e.tag != 'form')"),
+    )
+
     def form(x: str, i: str) -> str:
         counted = keep(
             f"{x}.fields",
@@ -61,7 +54,7 @@ def described_sql() -> str:
             fields=each(counted, lambda e: struct(tag=f"{e}.tag", attrs=f"{e}.attrs", label=field_sql(e))),
         )
 
-    return each_indexed(forms_sql(), form)
+    return each_indexed(parts, form)
 
 
 def items_sql() -> str:

@@ -9,7 +9,8 @@ from pageloom.functions.core import case, struct
 from pageloom.functions.text import truncate_sql
 
 # Columns of a prepared page table that the extractors' expressions refer to.
-HTML, BASE, ELEMENTS, TEXT = "_html", "_base", "_elements", "_text"
+HTML, BASE, DOCUMENT, TEXT = "_html", "_base", "_document", "_text"
+ELEMENTS = f"{DOCUMENT}.elements"
 
 
 def item(type: str, value: str, metadata: str, phase: str | int, pos: str, sub: str = "0") -> str:
@@ -25,6 +26,17 @@ def anchor_text(text: str) -> str:
     return case((f"{text} != ''", truncate_sql(text, 200)))
 
 
+def inline_rows(df: DataFrame, array: str, *columns) -> DataFrame:
+    """One row per struct in ``array``, next to ``columns``.
+
+    The plain ``inline`` makes the optimizer add a filter on the array's size and
+    push it to the scan, which computes the whole array a second time. The outer
+    form does not; its one NULL row per empty array is dropped afterwards.
+    """
+    first = df.schema[array].dataType.elementType.names[0]
+    return df.select(*columns, F.inline_outer(array)).where(F.col(first).isNotNull())
+
+
 def keep_first(items: DataFrame, keys: list[str]) -> DataFrame:
     """First item per page, type and key, in ``ord`` order.
 

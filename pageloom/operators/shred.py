@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.core import each, expr
 from pageloom.functions.html import containers_sql, elements_sql
+from pageloom.operators.items import inline_rows
 from pageloom.sources.pages import EFFECTIVE_HTML, as_pages
 
 CONTAINERS = ("form", "picture", "video", "audio")
@@ -19,7 +20,7 @@ def shred_html(pages: DataFrame, tags: tuple[str, ...] | None = None) -> DataFra
     arrays = as_pages(pages).select(
         "page_id", expr(elements_sql(f"({EFFECTIVE_HTML})", tags)).alias("elements")
     )
-    return arrays.select("page_id", F.inline("elements"))
+    return inline_rows(arrays, "elements", "page_id")
 
 
 def contained_elements(pages: DataFrame, container: str, tags: tuple[str, ...]) -> DataFrame:
@@ -29,12 +30,10 @@ def contained_elements(pages: DataFrame, container: str, tags: tuple[str, ...])
         containers_sql(f"({EFFECTIVE_HTML})", container),
         lambda c: elements_sql(c, tags, with_text=False),
     )
-    return (
-        as_pages(pages)
-        .select("page_id", F.posexplode(expr(inside)).alias("parent", "elements"))
-        .select("page_id", "parent", F.inline("elements"))
-        .drop("text")
+    parents = as_pages(pages).select(
+        "page_id", F.posexplode_outer(expr(inside)).alias("parent", "elements")
     )
+    return inline_rows(parents, "elements", "page_id", "parent").drop("text")
 
 
 def select_elements(

@@ -12,63 +12,63 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.functions.core import expr
-from pageloom.functions.html import elements_sql
+from pageloom.functions.html import document_sql
 from pageloom.functions.text import strip_tags_sql
-from pageloom.operators.items import BASE, ELEMENTS, HTML, TEXT
+from pageloom.operators.items import BASE, DOCUMENT, HTML, TEXT, inline_rows
 from pageloom.operators.registry import BUILT_IN, Registry, default_registry, guarded
-from pageloom.schema import PAGE
+from pageloom.schema import PAGE, PAGE_ITEM
 from pageloom.sources.pages import BASE as BASE_SQL
 from pageloom.sources.pages import EFFECTIVE_HTML, as_pages
 
-_HELPERS = (HTML, BASE, ELEMENTS, TEXT)
+ITEMS = T.ArrayType(PAGE_ITEM)
 
 
 @cache
-def _elements(tags: tuple[str, ...]) -> str:
-    return elements_sql(HTML, tags)
+def _document(names: tuple[str, ...]) -> str:
+    used = [BUILT_IN[n] for n in names]
+    tags = tuple(dict.fromkeys(t for m in used for t in m.TAGS))
+    inside = {c: tags for m in used for c, tags in getattr(m, "INSIDE", {}).items()}
+    return document_sql(HTML, tags, inside) if tags else "NULL"
 
 
 @cache
 def _items(name: str) -> str:
-    return BUILT_IN[name].items_sql()
+    return f"coalesce({BUILT_IN[name].items_sql()}, array())"
 
 
 def prepare(pages: DataFrame, names: list[str]) -> DataFrame:
     """Pages with what the named extractors share: effective HTML, parsed base,
     the elements they ask for (shredded once for all of them), naive text."""
-    tags = tuple(dict.fromkeys(t for n in names for t in BUILT_IN[n].TAGS))
-    pages = as_pages(pages) if pages.columns != PAGE.names else pages
-    shared = {BASE: expr(BASE_SQL), TEXT: expr(strip_tags_sql(HTML))}
-    shared[ELEMENTS] = expr(_elements(tags)) if tags else F.lit(None)
+    pages = as_pages(pages)
+    shared = {
+        BASE: expr(BASE_SQL),
+        DOCUMENT: expr(_document(tuple(names))),
+        TEXT: expr(strip_tags_sql(HTML)),
+    }
     return pages.withColumn(HTML, expr(EFFECTIVE_HTML)).withColumns(shared)
 
 
 def page_items(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Pages plus ``items``: array of their findings in registry order."""
     reg = registry or default_registry()
-    ready = prepare(pages, reg.built_in)
-    parts = {}
+    parts = []
     for name in reg.built_in:
         opts = reg.options.get(name)
-        sql = BUILT_IN[name].items_sql(**opts) if opts else _items(name)
-        parts[f"_items_{name}"] = expr(f"coalesce({sql}, array())")
+        sql = f"coalesce({BUILT_IN[name].items_sql(**opts)}, array())" if opts else _items(name)
+        parts.append(expr(sql))
     for name, (fn, columns) in reg.rows.items():
-        parts[f"_items_{name}"] = guarded(name, fn, columns)["items"]
-    empty = expr("array()")
-    return (
-        ready.withColumns(parts)
-        .withColumn("items", F.concat(*parts) if parts else empty)
-        .drop(*_HELPERS, *parts)
-    )
+        parts.append(guarded(name, fn, columns)["items"])
+    items = F.concat(*parts) if parts else expr("array()")
+    return prepare(pages, reg.built_in).select(*PAGE.names, items.cast(ITEMS).alias("items"))
 
 
 def explode_items(with_items: DataFrame) -> DataFrame:
     """One row per finding of a ``page_items`` table."""
-    return with_items.select(
-        "page_id", F.col("url").alias("source_url"), F.inline("items")
-    ).select("page_id", "type", "value", "source_url", "metadata", "ord")
+    rows = inline_rows(with_items, "items", "page_id", F.col("url").alias("source_url"))
+    return rows.select("page_id", "type", "value", "source_url", "metadata", "ord")
 
 
 def extract(pages: DataFrame, name: str, **options) -> DataFrame:

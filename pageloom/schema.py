@@ -36,9 +36,9 @@ PAGE = T.StructType(
 
 ORD = T.StructType(
     [
-        T.StructField("phase", T.IntegerType(), False),
-        T.StructField("pos", T.IntegerType(), False),
-        T.StructField("sub", T.IntegerType(), False),
+        T.StructField("phase", T.IntegerType()),
+        T.StructField("pos", T.IntegerType()),
+        T.StructField("sub", T.IntegerType()),
     ]
 )
 

@@ -23,6 +23,8 @@ def as_pages(df: DataFrame) -> DataFrame:
     ``html`` is taken for ``raw_html`` and a missing ``final_url`` is the ``url``.
     Only columns present are selected from the source, so pruning still works.
     """
+    if df.columns == PAGE.names:
+        return df
     have = set(df.columns)
     fallback: dict[str, Column] = {"final_url": F.col("url"), "page_id": F.xxhash64("url")}
     if "html" in have:
