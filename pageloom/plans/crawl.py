@@ -28,6 +28,9 @@ from pageloom.sources.pages import as_pages, is_ok
 MAX_DEPTH = 3
 MAX_PAGES = 500
 
+# A table is broadcast up to this measured size.
+BROADCAST_BYTES = 10 * 1024 * 1024
+
 # Above this many rows a ranking is not left to a single task.
 _ONE_TASK_ROWS = 100_000
 
@@ -85,10 +88,9 @@ def unique_paths(urls: DataFrame, column: str = "url", order: str = "page_id") -
 
 
 def _small(df: DataFrame, text_column: str) -> bool:
-    """Whether a materialised table fits Spark's own broadcast limit."""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    """Whether a materialised table is small enough to broadcast, by its bytes."""
     size = df.agg(F.sum(F.octet_length(text_column) + 64)).first()[0] or 0
-    return size <= conf.autoBroadcastJoinThreshold()
+    return size <= BROADCAST_BYTES
 
 
 def expand_once(
