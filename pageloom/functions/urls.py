@@ -118,7 +118,7 @@ def parse_sql(url: str) -> str:
                 fragment=f"{p}[4]",
             ),
         )
-        return f"IF({_matches(u, _CONTROL)}, NULL, {named})"
+        return f"IF({u} IS NULL OR {_matches(u, _CONTROL)}, NULL, {named})"
 
     def check(s: str) -> str:
         no_authority = f"{s}.authority = ''"

@@ -71,8 +71,9 @@ def _log_totals(log: DataFrame) -> DataFrame:
         n("page_error").alias("pages_errored"),
         F.min("ts").alias("started_at"),
         F.max("ts").alias("finished_at"),
-        (
-            (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) * F.lit(1000)
+        # works for both timestamp types, whatever the session's time zone
+        F.expr(
+            "CAST(CAST(CAST(max(ts) - min(ts) AS INTERVAL SECOND) AS DECIMAL(20, 6)) * 1000000000 AS BIGINT)"
         ).alias("elapsed_ns"),
     )
 
