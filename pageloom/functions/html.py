@@ -117,10 +117,18 @@ def attributes_sql(element: str, table: str = ENTITY_TABLE) -> str:
     def entry(t: str) -> str:
         at = f"instr({t}, '=')"
         space = lit(" \t\n\f\r")
-        value = let(f"ltrim({space}, substr({t}, {at} + 1))", unquoted)
+        # white space around '=' is allowed but rare
+        left = let(
+            f"substr({t}, 1, {at} - 1)",
+            lambda n: f"lower(IF(substr({n}, -1, 1) > ' ', {n}, rtrim({space}, {n})))",
+        )
+        right = let(
+            f"substr({t}, {at} + 1)",
+            lambda v: f"IF(substr({v}, 1, 1) > ' ', {v}, ltrim({space}, {v}))",
+        )
         return (
             f"IF({at} = 0, {struct(k=f'lower({t})', v=EMPTY)},"
-            f" {struct(k=f'lower(rtrim({space}, substr({t}, 1, {at} - 1)))', v=value)})"
+            f" {struct(k=left, v=let(right, unquoted))})"
         )
 
     return f"map_from_entries({first_by_key(each(tokens, entry), lambda e: f'{e}.k')})"

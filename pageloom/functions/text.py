@@ -41,7 +41,12 @@ _PIECES_IN_ATTRIBUTE = (
 
 
 def trim_space_sql(c: str) -> str:
-    return f"btrim({c}, {lit(WHITE_SPACE)})"
+    # texts that start and end with a visible ASCII character need no trimming
+    trimmed = lambda x: f"btrim({x}, {lit(WHITE_SPACE)})"
+    clean = lambda x: (
+        f"substr({x}, 1, 1) BETWEEN '!' AND '~' AND substr({x}, -1, 1) BETWEEN '!' AND '~'"
+    )
+    return let(c, lambda x: f"IF({clean(x)}, {x}, {trimmed(x)})")
 
 
 def trim_space(c: str) -> Column:
@@ -72,7 +77,7 @@ def clip_bytes(c: str, n: int) -> Column:
 
 
 def strip_tags_sql(html: str) -> str:
-    return f"translate(regexp_replace({html}, '<[^>]*+', ''), '>', ' ')"
+    return f"replace(regexp_replace({html}, '<[^>]*+', ''), '>', ' ')"
 
 
 def strip_tags(html: str) -> Column:

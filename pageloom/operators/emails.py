@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 from pageloom.functions.core import each, each_indexed, first_by_key, keep, lit, struct, text_map
-from pageloom.functions.text import find_all_sql, trim_space_sql
+from pageloom.functions.text import trim_space_sql
 from pageloom.operators.items import TEXT, item
 from pageloom.operators.links import anchors_sql
 
 NAME, TYPE, TAGS = "emails", "email", ("a",)
 
 # What an address looks like, and what only looks like one.
-_LOCAL = r"[a-zA-Z0-9._%+\-]"
+_LOCAL = r"a-zA-Z0-9._%+\-"
 _DOMAIN = r"[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 DENIED_SUFFIXES = (".png", ".jpg", ".gif", ".css", ".js")
 DENIED_PARTS = ("example.com", "sentry.io", "webpack")
 
-# A match can only start where a run of local-part characters starts (or where
-# the last match ended). Saying so keeps long runs without an @, like inlined
-# base64, from being tried from each of their characters.
-PATTERN = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_DOMAIN}"
+# Runs of other characters, and runs of local-part characters that begin no
+# address, are passed over whole; group 1 is the next address. So a long run
+# without an @, like inlined base64, is not tried from each of its characters.
+PATTERN = (
+    rf"(?:[^{_LOCAL}]++|[{_LOCAL}]++(?!@{_DOMAIN}))*+(?:([{_LOCAL}]++@{_DOMAIN})|\z)"
+)
+
+
+def addresses_sql(text: str) -> str:
+    """Addresses in a text; most texts have no @ and are not searched."""
+    found = keep(f"regexp_extract_all({text}, {lit(PATTERN)}, 1)", lambda m: f"{m} != ''")
+    return f"IF(contains({text}, '@'), {found}, array())"
 
 
 def candidates_sql() -> str:
@@ -33,7 +41,7 @@ def candidates_sql() -> str:
         ),
     )
     written = each_indexed(
-        find_all_sql(TEXT, PATTERN),
+        addresses_sql(TEXT),
         lambda m, i: struct(value=m, source="'page_text'", phase="1", pos=i),
     )
     both = f"concat({linked}, {written})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageloom.functions.core import each, first_by_key, keep, let, non_empty, struct, text_map
+from pageloom.functions.core import each, first_by_key, keep, let, lit, non_empty, struct, text_map
 from pageloom.functions.text import trim_space_sql
 from pageloom.functions.urls import link_type_sql, resolve_parsed_sql
 from pageloom.operators.items import BASE, ELEMENTS, anchor_text, item
@@ -44,9 +44,8 @@ def resolved_sql(refs: str, ref) -> str:
 
 
 def _is_link(href: str) -> str:
-    trimmed = trim_space_sql(href)
-    skipped = " OR ".join(f"startswith(t, '{s}')" for s in SKIPPED)
-    return f"{href} != '' AND NOT exists(array({trimmed}), t -> {skipped})"
+    starts = "|".join(SKIPPED)
+    return f"{href} != '' AND NOT {href} RLIKE {lit(rf'^(?U:\s*+)(?:{starts})')}"
 
 
 def links_sql() -> str:

@@ -9,11 +9,14 @@ from pageloom.operators.links import anchors_sql
 
 NAME, TYPE, TAGS = "phones", "phone", ("a",)
 
+# Every number has this; a text without it is not searched.
+_NEEDED = "[0-9]{4}"
+
 # The two written forms, tried one after the other over the whole
 # text, and the least number of characters of a normalised number.
 _GAP = r"[\t\n\f\r .-]?"
 PATTERNS = (
-    rf"\+?1?{_GAP}\(?[0-9]{{3}}\)?{_GAP}[0-9]{{3}}{_GAP}[0-9]{{4}}",
+    rf"(?=[+(0-9\t\n\f\r .-])\+?1?{_GAP}\(?[0-9]{{3}}\)?{_GAP}[0-9]{{3}}{_GAP}[0-9]{{4}}",
     rf"\+[0-9]{{1,3}}{_GAP}[0-9]{{4,14}}",
 )
 MIN_LENGTH = 7
@@ -32,7 +35,7 @@ def items_sql() -> str:
     for phase, pattern in enumerate(PATTERNS, 1):
         sources.append(
             each_indexed(
-                find_all_sql(TEXT, pattern),
+                f"IF({TEXT} RLIKE '{_NEEDED}', {find_all_sql(TEXT, pattern)}, array())",
                 lambda m, i, phase=phase: struct(
                     value=m, source="'page_text'", phase=str(phase), pos=i
                 ),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.sources.pages import as_pages
+from pageloom.sources.pages import as_pages, spread
 
 SITE = "https://shop.test"
 CHILDREN = 20
@@ -69,7 +69,7 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = "IF(c_custkey % 97 = 13, 404, 200)"
     url = "concat('/c/', c_custkey, '?ref=n')"
     return as_pages(
-        table(spark, sf_dir, "customer").selectExpr(*_page("c_custkey", 3, url, _CUSTOMER, status))
+        spread(table(spark, sf_dir, "customer")).selectExpr(*_page("c_custkey", 3, url, _CUSTOMER, status))
     )
 
 
@@ -83,7 +83,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "nation").selectExpr(
             *_page("n_nationkey", 2, "concat('/n/', n_nationkey)", _NATION)
         ),
-        table(spark, sf_dir, "orders").selectExpr(
+        spread(table(spark, sf_dir, "orders")).selectExpr(
             *_page("o_orderkey", 4, "concat('/o/', o_orderkey)", _ORDER)
         ),
     ]
@@ -96,7 +96,7 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the only paragraph of a page."""
     return as_pages(
-        table(spark, sf_dir, "documents").select(
+        spread(table(spark, sf_dir, "documents")).select(
             F.col("doc_id").alias("page_id"),
             F.concat(F.lit(f"{SITE}/doc/"), "doc_id").alias("url"),
             F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("raw_html"),
