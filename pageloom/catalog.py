@@ -532,21 +532,22 @@ def crawl_capped(spark, d):
 @query
 def crawl_external(spark, d):
     reached = crawling.crawl(
-        site_pages(spark, d), SEED, max_depth=4, max_pages=None, allow_external=True
+        site_pages(spark, d), SEED, max_depth=4, max_pages=None, allow_external=True, parse_all=True
     )
     return reached.select("url", "depth", "status")
 
 
 @query
 def crawl_deep(spark, d):
-    reached = crawling.crawl(site_pages(spark, d), SEED, max_depth=7, max_pages=None)
+    reached = crawling.crawl(site_pages(spark, d), SEED, max_depth=7, max_pages=None, parse_all=True)
     return reached.select("url", "depth", "status")
 
 
 @query
 def crawl_no_query(spark, d):
     reached = crawling.crawl(
-        site_pages(spark, d), SEED, max_depth=4, max_pages=None, ignore_query_params=True
+        site_pages(spark, d), SEED, max_depth=4, max_pages=None, ignore_query_params=True,
+        parse_all=True,
     )
     return reached.select("url", "depth", "status")
 
@@ -554,7 +555,8 @@ def crawl_no_query(spark, d):
 @query
 def crawl_items(spark, d):
     site = site_pages(spark, d)
-    items = crawling.crawl_extract(site, crawling.crawl(site, SEED, max_depth=4, max_pages=None))
+    reached = crawling.crawl(site, SEED, max_depth=4, max_pages=None, parse_all=True)
+    items = crawling.crawl_extract(site, reached)
     return stats.items_by_type(items)
 
 

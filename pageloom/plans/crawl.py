@@ -1,10 +1,10 @@
 """Breadth-first expansion of a crawl over captured pages.
 
-The link graph is made once: one node per canonical URL, holding whether its
-page was fetched and its outgoing links. Then every level is a join of the
-frontier with the nodes, on a key that is unique on both sides; a URL to which a
-third of all pages link is reduced on the map side. Only the loop over the
-levels runs on the driver.
+The link graph has one node per canonical URL, holding whether its page was
+fetched and its outgoing links. Every level is a join of the frontier with the
+nodes, on a key that is unique on both sides; a URL to which a third of all
+pages link is reduced on the map side. Only the loop over the levels runs on the
+driver.
 
 Order: the reference takes URLs first in, first out. The place of a URL in that
 order is the list of link positions on its way from the seed, so it needs no
@@ -144,6 +144,17 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("rank", (in_part + start).cast("bigint")).drop("_part")
 
 
+def first_captures(pages: DataFrame, wanted: DataFrame, ignore_query: bool = False) -> DataFrame:
+    """url, page_id, ok of the captures that count for the URLs in ``wanted``, a
+    table small enough to broadcast. Does not read any HTML."""
+    keyed = as_pages(pages).select(
+        canonical_url("url", ignore_query).alias("url"), "page_id", is_ok().alias("ok")
+    )
+    hits = keyed.join(F.broadcast(wanted.select("url")), "url", "left_semi")
+    first = hits.groupBy("url").agg(F.min_by(F.struct("page_id", "ok"), "page_id").alias("n"))
+    return first.select("url", "n.page_id", "n.ok")
+
+
 def crawl(
     pages: DataFrame,
     seed: str,
@@ -151,29 +162,50 @@ def crawl(
     max_pages: int | None = MAX_PAGES,
     allow_external: bool = False,
     ignore_query_params: bool = False,
+    parse_all: bool = False,
 ) -> DataFrame:
     """Follow links from ``seed``: url, depth, rank, status, page_id.
 
     ``status`` is done, error (the fetch failed or the host is out of scope) or
     not_captured. Every URL that was queued holds its place in ``max_pages``.
     With ``max_pages=None`` nothing is ranked: ``rank`` is NULL.
+
+    While a level is small its pages are looked up by URL, and only those are
+    parsed. The first level that is not makes the graph of all pages, once,
+    partitioned by URL so that later levels do not shuffle it again. ``parse_all``
+    makes it at once: cheaper for few pages, or where most will be reached.
     """
+    pages = as_pages(pages)
     spark = pages.sparkSession
     start, domain = _seed(spark, seed, ignore_query_params)
-    nodes = cut(site_graph(pages, ignore_query_params))
-    level = cut(start) if max_pages is None or max_pages > 0 else cut(start.where(F.lit(False)))
-    visited, total = level, level.count()
-    for _ in range(max_depth):
+    level = cut(start if max_pages is None else start.limit(max_pages))
+    added = total = level.count()
+    graph, visited = None, None
+    for depth in range(max_depth + 1):
+        small = _small(level, "url")
+        near = F.broadcast(level) if small else level
+        if small and graph is None and not parse_all:
+            known = cut(first_captures(pages, level, ignore_query_params))
+            ids = known.where("ok").select("page_id")
+            nodes = site_graph(
+                pages.join(F.broadcast(ids), "page_id", "left_semi"), ignore_query_params
+            )
+        else:
+            if graph is None:
+                n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+                graph = cut(site_graph(pages, ignore_query_params).repartition(n, "url"))
+            known = nodes = graph
+        # a small level is broadcast to the captures, and they back to it
+        found = known.join(near.select("url"), "url", "left_semi").select("url", "page_id", "ok")
+        part = level.join(found, "url", "left")
+        visited = cut(part if visited is None else visited.unionByName(part))
         left = None if max_pages is None else max_pages - total
-        if left == 0:
+        if depth == max_depth or added == 0 or left == 0:
             break
-        near = F.broadcast(level) if _small(level, "url") else level
         level = cut(expand_once(near, visited, nodes, allow_external, left))
         added = level.count()
-        if added == 0:
-            break
-        visited, total = cut(visited.unionByName(level)), total + added
-    return _with_status(visited, nodes, total, max_pages is not None, domain, allow_external)
+        total += added
+    return _with_status(visited, total, max_pages is not None, domain, allow_external)
 
 
 def _seed(spark: SparkSession, seed: str, ignore_query: bool) -> tuple[DataFrame, str]:
@@ -189,26 +221,15 @@ def _seed(spark: SparkSession, seed: str, ignore_query: bool) -> tuple[DataFrame
 
 
 def _with_status(
-    visited: DataFrame,
-    nodes: DataFrame,
-    total: int,
-    rank: bool,
-    domain: str,
-    allow_external: bool,
+    visited: DataFrame, total: int, rank: bool, domain: str, allow_external: bool
 ) -> DataFrame:
-    known = nodes.select("url", "page_id", "ok")
-    near = F.broadcast(visited) if _small(visited, "url") else visited
-    # visited is the preserved side, so only the other side may be broadcast;
-    # a small visited set first cuts the nodes down to the ones it names
-    hits = known.join(near.select("url"), "url", "left_semi")
-    joined = visited.join(hits, "url", "left")
     if not rank:
-        joined = joined.withColumn("rank", F.lit(None).cast("bigint"))
+        out = visited.withColumn("rank", F.lit(None).cast("bigint"))
     elif total <= _ONE_TASK_ROWS:
         w = Window.orderBy("depth", "path")
-        joined = joined.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+        out = visited.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
     else:
-        joined = ranked(joined, ["depth", "path"])
+        out = ranked(visited, ["depth", "path"])
     in_scope = in_allowed_domain("url", domain, allow_external)
     status = (
         F.when(~in_scope, "error")
@@ -216,7 +237,7 @@ def _with_status(
         .when(F.col("ok"), "done")
         .otherwise("error")
     )
-    return joined.select("url", "depth", "rank", status.alias("status"), "page_id")
+    return out.select("url", "depth", "rank", status.alias("status"), "page_id")
 
 
 def crawl_extract(pages: DataFrame, crawled: DataFrame, registry=None) -> DataFrame:

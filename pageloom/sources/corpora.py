@@ -66,11 +66,13 @@ _ORDER = """concat('<html><head><title>Order ', o_orderkey, '</title></head><bod
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per customer, with one of everything the extractors look for.
     Some of the fetches failed."""
-    status = "IF(c_custkey % 97 = 13, 404, 200)"
+    return as_pages(_customers(spread(table(spark, sf_dir, "customer"))))
+
+
+def _customers(customer: DataFrame) -> DataFrame:
     url = "concat('/c/', c_custkey, '?ref=n')"
-    return as_pages(
-        spread(table(spark, sf_dir, "customer")).selectExpr(*_page("c_custkey", 3, url, _CUSTOMER, status))
-    )
+    status = "IF(c_custkey % 97 = 13, 404, 200)"
+    return customer.selectExpr(*_page("c_custkey", 3, url, _CUSTOMER, status))
 
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,14 +85,14 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "nation").selectExpr(
             *_page("n_nationkey", 2, "concat('/n/', n_nationkey)", _NATION)
         ),
-        spread(table(spark, sf_dir, "orders")).selectExpr(
+        table(spark, sf_dir, "orders").selectExpr(
             *_page("o_orderkey", 4, "concat('/o/', o_orderkey)", _ORDER)
         ),
     ]
-    out = customer_pages(spark, sf_dir)
+    out = _customers(table(spark, sf_dir, "customer"))
     for part in parts:
-        out = out.unionByName(as_pages(part))
-    return out
+        out = out.unionByName(part)
+    return as_pages(spread(out))
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
