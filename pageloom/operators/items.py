@@ -11,6 +11,7 @@ from pageloom.functions.text import truncate_sql
 # Columns of a prepared page table that the extractors' expressions refer to.
 HTML, BASE, DOCUMENT, TEXT = "_html", "_base", "_document", "_text"
 ELEMENTS = f"{DOCUMENT}.elements"
+ANCHORS = "_anchors"
 
 
 def item(type: str, value: str, metadata: str, phase: str | int, pos: str, sub: str = "0") -> str:

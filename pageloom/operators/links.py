@@ -5,7 +5,7 @@ from __future__ import annotations
 from pageloom.functions.core import each, first_by_key, keep, let, lit, non_empty, struct, text_map
 from pageloom.functions.text import trim_space_sql
 from pageloom.functions.urls import link_type_sql, resolve_parsed_sql
-from pageloom.operators.items import BASE, ELEMENTS, anchor_text, item
+from pageloom.operators.items import ANCHORS, BASE, ELEMENTS, anchor_text, item
 
 NAME, TYPE, TAGS = "links", "link", ("a",)
 
@@ -43,15 +43,20 @@ def resolved_sql(refs: str, ref) -> str:
     return keep(let(BASE, pairs), lambda x: f"{x}.to.url != ''")
 
 
+def resolved_anchors_sql() -> str:
+    """All anchors with a reference, resolved; links and social profiles share it."""
+    return resolved_sql(anchors_sql(), lambda r: f"{r}.href")
+
+
 def _is_link(href: str) -> str:
     starts = "|".join(SKIPPED)
-    return f"{href} != '' AND NOT {href} RLIKE {lit(rf'^(?U:\s*+)(?:{starts})')}"
+    return f"NOT {href} RLIKE {lit(rf'^(?U:\s*+)(?:{starts})')}"
 
 
 def links_sql() -> str:
     """array<struct<pos, url, link_type, text, rel>>: the page's links, first
     occurrence of each resolved URL (fragments included)."""
-    links = resolved_sql(anchors_sql(_is_link), lambda r: f"{r}.href")
+    links = keep(ANCHORS, lambda x: _is_link(f"{x}.of.href"))
     return each(
         first_by_key(links, lambda x: f"{x}.to.url"),
         lambda x: struct(

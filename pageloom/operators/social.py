@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pageloom.functions.core import case, each, first_by_key, keep, let, lit, struct, text_map
-from pageloom.operators.items import anchor_text, item
-from pageloom.operators.links import anchors_sql, resolved_sql
+from pageloom.operators.items import ANCHORS, anchor_text, item
 
 NAME, TYPE, TAGS = "social", "social", ("a",)
 
@@ -43,7 +42,7 @@ def platform_sql(url: str, platforms: dict[str, tuple[str, ...]]) -> str:
 def items_sql(platforms: dict[str, tuple[str, ...]] | None = None) -> str:
     table = platforms or PLATFORMS
     named = each(
-        resolved_sql(anchors_sql(), lambda r: f"{r}.href"),
+        ANCHORS,
         lambda x: struct(of=f"{x}.of", url=f"{x}.to.url", platform=platform_sql(f"{x}.to.url", table)),
     )
     known = first_by_key(keep(named, lambda x: f"{x}.platform IS NOT NULL"), lambda x: f"{x}.url")

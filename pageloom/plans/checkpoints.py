@@ -25,3 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut``, partitioned by ``key`` in a way later joins on it can use.
+
+    Adaptive execution hides how its result is partitioned, so it is off for this
+    one job."""
+    conf = df.sparkSession.conf
+    adaptive, parts = conf.get("spark.sql.adaptive.enabled"), conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(parts), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

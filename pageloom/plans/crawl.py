@@ -20,7 +20,7 @@ from pageloom.functions.core import each_indexed, expr, keep, struct
 from pageloom.functions.urls import canonical_sql, canonical_url, host_name, in_allowed_domain, with_scheme
 from pageloom.operators import links
 from pageloom.operators.items import inline_rows
-from pageloom.plans.checkpoints import cut
+from pageloom.plans.checkpoints import cut, cut_by
 from pageloom.plans.pipeline import extract_all, prepare
 from pageloom.sources.pages import as_pages, is_ok
 
@@ -192,8 +192,7 @@ def crawl(
             )
         else:
             if graph is None:
-                n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-                graph = cut(site_graph(pages, ignore_query_params).repartition(n, "url"))
+                graph = cut_by(site_graph(pages, ignore_query_params), "url")
             known = nodes = graph
         # a small level is broadcast to the captures, and they back to it
         found = known.join(near.select("url"), "url", "left_semi").select("url", "page_id", "ok")

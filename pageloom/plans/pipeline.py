@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from pageloom.functions.core import expr
 from pageloom.functions.html import document_sql
 from pageloom.functions.text import strip_tags_sql
-from pageloom.operators.items import BASE, DOCUMENT, HTML, TEXT, inline_rows
+from pageloom.operators.items import ANCHORS, BASE, DOCUMENT, HTML, TEXT, inline_rows
+from pageloom.operators.links import resolved_anchors_sql
 from pageloom.operators.registry import BUILT_IN, Registry, default_registry, guarded
 from pageloom.schema import PAGE, PAGE_ITEM
 from pageloom.sources.pages import BASE as BASE_SQL
@@ -34,6 +35,11 @@ def _document(names: tuple[str, ...]) -> str:
     return document_sql(HTML, tags, inside) if tags else "NULL"
 
 
+@cache
+def _anchors() -> str:
+    return resolved_anchors_sql()
+
+
 @cache
 def _items(name: str) -> str:
     return f"coalesce({BUILT_IN[name].items_sql()}, array())"
@@ -48,7 +54,10 @@ def prepare(pages: DataFrame, names: list[str]) -> DataFrame:
         DOCUMENT: expr(_document(tuple(names))),
         TEXT: expr(strip_tags_sql(HTML)),
     }
-    return pages.withColumn(HTML, expr(EFFECTIVE_HTML)).withColumns(shared)
+    ready = pages.withColumn(HTML, expr(EFFECTIVE_HTML)).withColumns(shared)
+    if {"links", "social"} & set(names):
+        ready = ready.withColumn(ANCHORS, expr(_anchors()))
+    return ready
 
 
 def page_items(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
