@@ -87,16 +87,15 @@ def _pieces(html: str, pattern: tuple[str, int]) -> str:
     return keep(f"regexp_extract_all({html}, {lit(regex)}, {group})", lambda m: f"{m} != ''")
 
 
-# Attributes follow each other from the tag name up to the closing '>'.
+# Attributes follow each other from the tag name up to the closing '>'. Group 1
+# is the name, group 2 the value without its quotes ('' if there is none).
 _ATTR = (
-    r"\G(?:^<[^\s/>]++|(?!^))[\s/]*+"
-    r"([^\s=/>]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)"
+    r"\G(?:^<[^\s/>]++|(?!^))[\s/]*+([^\s=/>]++)"
+    r"(?:\s*+=\s*+(?:\"(?=[^\"]*+\")|'(?=[^']*+'))?+"
+    r"((?<=\")[^\"]*+|(?<=')[^']*+|[^\s>]*+)[\"']?+)?+"
 )
 
 
-_QUOTES = ('"', "'")
-
-
 def _newlines(c: str) -> str:
     return f"replace(replace({c}, '\\r\\n', '\\n'), '\\r', '\\n')"
 
@@ -104,34 +103,24 @@ def _newlines(c: str) -> str:
 def attributes_sql(element: str, table: str = ENTITY_TABLE) -> str:
     """Attribute map of a start tag: names lower-cased, entities decoded, ''
     for an attribute without a value, the first of duplicates."""
-    tokens = f"regexp_extract_all({element}, {lit(_ATTR)}, 1)"
+    names = each(f"regexp_extract_all({element}, {lit(_ATTR)}, 1)", lambda n: f"lower({n})")
 
-    def unquoted(v: str) -> str:
-        quoted = f"{in_list(f'substr({v}, 1, 1)', _QUOTES)} AND length({v}) > 1"
-        quoted += f" AND substr({v}, -1, 1) = substr({v}, 1, 1)"
-        plain = f"IF({quoted}, substr({v}, 2, length({v}) - 2), {v})"
+    def value(v: str) -> str:
         # '&' and '\r' are rare enough to test for before doing more
-        decoded = let(_newlines(plain), lambda x: decode_entities_sql(x, True, table))
-        return f"IF(contains({v}, '&') OR contains({v}, '\\r'), {decoded}, {plain})"
-
-    def entry(t: str) -> str:
-        at = f"instr({t}, '=')"
-        space = lit(" \t\n\f\r")
-        # white space around '=' is allowed but rare
-        left = let(
-            f"substr({t}, 1, {at} - 1)",
-            lambda n: f"lower(IF(substr({n}, -1, 1) > ' ', {n}, rtrim({space}, {n})))",
-        )
-        right = let(
-            f"substr({t}, {at} + 1)",
-            lambda v: f"IF(substr({v}, 1, 1) > ' ', {v}, ltrim({space}, {v}))",
-        )
+        decoded = let(_newlines(v), lambda x: decode_entities_sql(x, True, table))
+        return f"IF(contains({v}, '&') OR contains({v}, '\\r'), {decoded}, {v})"
+
+    values = each(f"regexp_extract_all({element}, {lit(_ATTR)}, 2)", value)
+
+    def as_map(n: str, vs: str) -> str:
+        pairs = each_indexed(n, lambda k, i: struct(k=k, v=f"get({vs}, {i})"))
+        first = first_by_key(pairs, lambda e: f"{e}.k")
         return (
-            f"IF({at} = 0, {struct(k=f'lower({t})', v=EMPTY)},"
-            f" {struct(k=left, v=let(right, unquoted))})"
+            f"IF(size({n}) < 2 OR size(array_distinct({n})) = size({n}),"
+            f" map_from_arrays({n}, {vs}), map_from_entries({first}))"
         )
 
-    return f"map_from_entries({first_by_key(each(tokens, entry), lambda e: f'{e}.k')})"
+    return let(names, lambda n: let(values, lambda vs: as_map(n, vs)))
 
 
 def _content(element: str) -> str:
