@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageloom.llm import maglev, rule_ledger
+from pageloom.llm import containment, maglev, mixing, rule_ledger
 
 # No page of the tables names a canonical link or a refresh; 'alias' would show one that does.
 OP1 = r"""
@@ -86,4 +86,68 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-ORACLE = {"op1_url_blocks": OP1, "op2_sharding": OP2, "op10_quality_rules": OP10}
+_N5, _SHARE = containment.WORDS, containment.SHARE
+
+
+def _shingles(id_: str, table: str) -> str:
+    """Distinct word shingles; the whole sequence if there are fewer words."""
+    return rf"""
+  SELECT DISTINCT {id_}, unnest([array_to_string(ws[i:i + {_N5 - 1}], ' ')
+    FOR i IN range(1, greatest(2, len(ws) - {_N5 - 2}))]) AS s
+  FROM (SELECT {id_}, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM {table})
+  WHERE len(ws) > 0"""
+
+
+OP6 = f"""
+WITH i AS ({_shingles("item_id", "benchmark")}), d AS ({_shingles("doc_id", "documents")}),
+n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM d JOIN i USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) >= {_SHARE} * any_value(n_item) - 1e-9
+"""
+
+_STEP = mixing.PARTS**-mixing.PASSES
+_TARGET = mixing.Target(entropy=0.99, repeats=4.0)
+
+# Plain bisection on the grid that the operator's passes end on.
+OP7 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+    CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS key,
+    {_HASH.format("coalesce(doc_id::VARCHAR, '')")} % {mixing.BLOCKS} AS block
+  FROM documents
+), b AS (SELECT key, block, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+), t AS (SELECT key, sum(tokens)::BIGINT AS whole FROM b GROUP BY key HAVING sum(tokens) > 0
+), ps AS (SELECT list(whole / (SELECT sum(whole) FROM t)) AS p FROM t
+), h AS (
+  SELECT 0::BIGINT AS lo, {round(1 / _STEP)}::BIGINT AS hi
+  UNION ALL
+  SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT lo, hi, mid, ln(list_sum([pow(x, a) FOR x IN p])) - list_sum([pow(x, a) * a * ln(x) FOR x IN p])
+      / list_sum([pow(x, a) FOR x IN p]) >= {_TARGET.entropy} * ln(len(p)) AS ok
+    FROM (SELECT lo, hi, (lo + hi) // 2 AS mid, (lo + hi) // 2 * {_STEP!r} AS a, p FROM h, ps WHERE hi - lo > 1))
+), r AS (
+  SELECT 0::BIGINT AS lo, {round(1 / _STEP)}::BIGINT AS hi
+  UNION ALL
+  SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM (
+    SELECT lo, hi, mid, list_max([pow(x, a - 1) FOR x IN p]) / list_min([pow(x, a - 1) FOR x IN p]) > {_TARGET.repeats} AS ok
+    FROM (SELECT lo, hi, (lo + hi) // 2 AS mid, (lo + hi) // 2 * {_STEP!r} AS a, p FROM r, ps WHERE hi - lo > 1))
+), a AS (
+  -- at its ends a bisection may not have moved: all alike, or nothing to flatten
+  SELECT greatest(
+    (SELECT lo FROM h WHERE hi - lo = 1),
+    (SELECT CASE WHEN list_max(p) / list_min(p) <= {_TARGET.repeats} THEN 0 ELSE hi END FROM r, ps WHERE hi - lo = 1)
+  ) * {_STEP!r} AS a
+), w AS (SELECT key, whole, pow(whole / (SELECT sum(whole) FROM t), a) AS w FROM t, a
+), g AS (SELECT key, whole, round(w * (1 / (SELECT min(w / whole) FROM w)))::BIGINT AS goal FROM w
+), c AS (
+  SELECT b.key, b.block, CASE WHEN goal IS NULL THEN 0 ELSE goal // whole + (sum(tokens) OVER (PARTITION BY b.key
+    ORDER BY {_HASH.format(f"concat_ws(':', '{mixing.SEED}', b.key, b.block)")}, b.block
+    ROWS UNBOUNDED PRECEDING) <= goal % whole)::BIGINT END AS copies
+  FROM b LEFT JOIN g ON b.key = g.key
+)
+SELECT doc_id, source, n_tokens, block::INT AS block, copies FROM d JOIN c USING (key, block)
+"""
+
+ORACLE = {"op1_url_blocks": OP1, "op2_sharding": OP2, "op6_decontamination": OP6, "op7_mixing": OP7, "op10_quality_rules": OP10}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import maglev, rule_ledger, url_blocks
+from pageloom.llm import (
+    boosted_html, containment, maglev, mixing, rule_ledger, simhash, url_blocks, wordpiece, zstd_lang,
+)
 from pageloom.llm.tables import table
 
 
@@ -19,6 +21,37 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.placed(docs, "doc_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.drawn(table(spark, sf_dir, "documents"), mixing.Target(entropy=0.99, repeats=4.0))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return boosted_html.extracted(pages, boosted_html.trained(pages))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    samples = zstd_lang.dictionaries(docs.where(~held_out))
+    return zstd_lang.identified(docs, samples).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rule_ledger.ledger(table(spark, sf_dir, "documents"))
     failed = ~rule_ledger.passes("base")
@@ -32,5 +65,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_blocks": op1_url_blocks,
     "op2_sharding": op2_sharding,
+    "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
+    "op7_mixing": op7_mixing,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
 }
