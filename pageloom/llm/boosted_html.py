@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,12 +67,11 @@ class Page:
     def __init__(self):
         self.tag, self.parent, self.words = ["#root"], [-1], [frozenset()]
         self.text, self.links, self.controls = [""], [0], [0]
-        self.main = [False]
 
     def add(self, tag: str, parent: int, words=frozenset(), text: str = "", links: int = 0) -> int:
         for column, value in (
             (self.tag, tag), (self.parent, parent), (self.words, words), (self.text, text),
-            (self.links, links), (self.controls, 0), (self.main, False),
+            (self.links, links), (self.controls, 0),
         ):
             column.append(value)
         return len(self.tag) - 1
@@ -82,7 +82,11 @@ def parse(html: str) -> Page:
     there are no tags, and after a quote that never closes quotes count as text."""
     page, open_, run, links, in_link = Page(), [0], [], 0, 0
     end, at, broken = html.rfind(">") + 1, 0, False
-    low = None
+    low, opened = None, Counter()
+
+    def close(k: int) -> None:
+        opened.subtract(page.tag[n] for n in open_[k:])
+        del open_[k:]
 
     def text(piece: str) -> None:
         nonlocal links
@@ -146,19 +150,20 @@ def parse(html: str) -> Page:
             continue
         in_link = 0
         if tag[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if page.tag[open_[k]] == name:
-                    del open_[k:]
-                    break
+            k = len(open_) - 1
+            while opened[name] > 0 and page.tag[open_[k]] != name:
+                k -= 1
+            if opened[name] > 0:
+                close(k)
             continue
         if page.tag[open_[-1]] == "p":  # any block ends a paragraph
-            open_.pop()
-        for k in range(len(open_) - 1, 0, -1):
+            close(len(open_) - 1)
+        closes = CLOSES.get(name)
+        for k in range(len(open_) - 1, 0, -1) if closes else ():
             above = page.tag[open_[k]]
-            if above in CLOSES.get(name, ()):
-                del open_[k:]
-                break
-            if above in SCOPES and above not in CLOSES.get(name, ()):
+            if above in closes:
+                close(k)
+            if above in closes or above in SCOPES:
                 break
         words = set()
         for m in _ATTR.finditer(tag[3]):
@@ -167,6 +172,7 @@ def parse(html: str) -> Page:
         if "hidden" in tag[3]:
             page.words[node] |= {"hidden"}
         open_.append(node)
+        opened[name] += 1
     flush()
     return page
 
@@ -382,9 +388,13 @@ def main_text(page: Page, odds: np.ndarray) -> str:
 
 
 def trained(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Boosted | None:
-    """Fitted on the ``sample_pages`` pages that come first by a hash of their HTML."""
-    rows = plain_columns(pages, "html").where("html <> ''").orderBy(F.xxhash64("html"), "html").limit(sample_pages)
-    return fit([r.html for r in rows.collect()])
+    """Fitted on the ``sample_pages`` different pages that come first by a hash of their HTML.
+
+    Hashes alone are ranked; then only the chosen pages travel, equal ones as one."""
+    rows = plain_columns(pages, "html").where("html <> ''").withColumn("h", F.xxhash64("html"))
+    first = rows.groupBy("h").count().select("h").orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    chosen = rows.where(F.col("h") <= first).groupBy("h").agg(F.min("html").alias("html"))
+    return fit([r.html for r in chosen.orderBy("h").collect()])
 
 
 def extracted(pages: DataFrame, model: Boosted | None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
-    boosted_html, containment, maglev, mixing, rule_ledger, simhash, url_blocks, wordpiece, zstd_lang,
+    boosted_html, bwt_repeats, containment, maglev, mixing, rule_ledger, simhash, url_blocks, wordpiece, zstd_lang,
 )
 from pageloom.llm.tables import table
 
@@ -21,6 +21,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.placed(docs, "doc_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_blocks": op1_url_blocks,
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.core import each_indexed, let
-from pageloom.llm.tables import plain_columns
 
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]"
 BLANKS = "' \\t\\n\\u000b\\u000c\\r'"
@@ -77,10 +76,12 @@ def _without(chars: str) -> str:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements, one row per row of ``docs``. A null text has none of anything."""
-    text = plain_columns(docs, "doc_id", "text").select(
-        "doc_id", F.expr("coalesce(text, '')").alias("text")
-    )
+    """doc_id, the measurements and the row itself as ``_doc``, one row per row of ``docs``.
+    A null text has none of anything."""
+    text = docs.select(
+        docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"),
+    )
     trimmed = f"trim(BOTH {BLANKS} FROM text)"
     words = f"IF({trimmed} = '', array(), split({trimmed}, '{SPACE}+'))"
     lines = f"filter(split(text, '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
@@ -94,14 +95,14 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_upper": _without(upper),
         "n_latin": _without(both),
     }
-    raw = text.select("doc_id", *[F.expr(e).alias(n) for n, e in out.items()])
+    raw = text.select("doc_id", "_doc", *[F.expr(e).alias(n) for n, e in out.items()])
     cols = {n: F.col(n) for n in MEASURES if n in out} | {
         "n_words": F.col("n_words.n"),
         "n_repeat_words": F.col("n_words.r"),
         "n_lines": F.col("lines.n"),
         "n_dup_lines": F.col("lines.d"),
     }
-    return raw.select("doc_id", *[cols[n].cast("long").alias(n) for n in MEASURES])
+    return raw.select("doc_id", "_doc", *[cols[n].cast("long").alias(n) for n in MEASURES])
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -109,10 +110,19 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     One narrow stage over the texts; nothing is shuffled, repeated rows stay
     repeated, an empty table gives an empty ledger."""
+    return _judged(docs).drop("_doc")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     bits = " | ".join(f"IF({cond}, {1 << k}, 0)" for k, cond in enumerate(RULES.values()))
     return measured(docs).withColumn("fail_bits", F.expr(bits))
 
 
+def kept(docs: DataFrame, version: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that pass a policy, with their columns; no shuffle."""
+    return _judged(docs).where(passes(version)).select("_doc.*")
+
+
 def passes(version: str) -> Column:
     """True where no rule of the policy failed."""
     return F.col("fail_bits").bitwiseAND(mask(POLICIES[version])) == 0

@@ -134,13 +134,134 @@ def near_duplicates(docs: DataFrame, words: int = 5, segments: int = SEGMENTS, d
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
-def without_copies(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id.
+# --- similarity of 0.8 and more
+#
+# At a similarity of 0.8, 64-bit fingerprints differ in about ten bits. Within ten bits
+# lie as many chance pairs as there are documents squared, on any grid of popcounts. So
+# candidates come from bands of minimum hashes here; fingerprints only sort them out.
+
+BANDS, ROWS = 16, 5
+SIMILAR = 0.8
+#: five standard deviations above the distance expected at ``SIMILAR``
+FAR_BITS = 24
+#: texts in a band's bucket that are compared each with each
+CROWD = 16
+
+_FACTORS = np.random.default_rng(SEED).integers(1, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int] | None:
+    """A number per band of ``ROWS`` minimum hashes; None for a text without words."""
+    if not len(hashes):
+        return None
+    least = np.full(len(_FACTORS), np.iinfo("u8").max, "u8")
+    for first in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[first : first + 4096, None] * _FACTORS).min(axis=0), out=least)
+    mixed = np.zeros(BANDS, "u8")
+    for column in least.reshape(BANDS, ROWS).T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view("i8").tolist()
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_hash, fp, bands) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t.as_py() or b"", words) for t in b.column(2)]
+            fps, found = [simhash(h) for h in hashes], [bands(h) for h in hashes]
+            columns = [b.column(0), b.column(1), pa.array(fps, "int64"), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _texts(docs).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, bands array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return plain_columns(docs, "doc_id", "text").select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary")
+    )
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or b"", words)).view("i8") for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFrame:
+    """(doc_id, text_hash, component_id): classes of documents connected by texts whose
+    sets of shingles have a Jaccard similarity of ``share`` or more.
+
+    Equal texts are one from the start. Texts that share a band are candidates: in a
+    bucket of up to ``CROWD`` all of them, in a larger one each with the bucket's first
+    and with its neighbours in order of fingerprint and of number, so that a bucket
+    gives rows in proportion to its size. Candidates are verified by their shingles.
+    Null and empty texts are equal to their like and similar to nothing."""
+    marks = stored(sketches(docs, words))
+    texts = marks.groupBy(F.col("text_hash").alias("node")).agg(
+        F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")
+    )
+    texts = stored(texts)
+    entries = texts.select("node", "fp", F.posexplode("bands").alias("band", "key")).select(
+        "node", "fp", F.xxhash64("band", "key").alias("cell")
+    )
+    cell = Window.partitionBy("cell")
+    shared = stored(
+        entries.select("node", "fp", "cell", F.count("*").over(cell).alias("n")).where("n > 1")
+    )
+    small, large = shared.where(F.col("n") <= CROWD), shared.where(F.col("n") > CROWD)
+    end = lambda df, x: df.select("cell", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
+    each = end(small, "a").join(end(small, "b"), "cell").where("a < b")
+    me = F.struct("node", "fp")
+    heads = large.groupBy("cell").agg(F.min(me).alias("head"))
+    chained = [
+        large.join(heads, "cell").select("head", me.alias("me")),
+        large.select(F.lag(me).over(cell.orderBy("fp", "node")).alias("head"), me.alias("me")),
+        large.select(F.lag(me).over(cell.orderBy("node")).alias("head"), me.alias("me")),
+    ]
+    pairs = each.select("a", "b", "fp_a", "fp_b")
+    for c in chained:
+        pairs = pairs.unionByName(
+            c.where("head.node <> me.node").select(
+                F.expr("least(head, me).node").alias("a"), F.expr("greatest(head, me).node").alias("b"),
+                F.expr("least(head, me).fp").alias("fp_a"), F.expr("greatest(head, me).fp").alias("fp_b"),
+            )
+        )
+    near = stored(pairs.where(f"bit_count(fp_a ^ fp_b) <= {FAR_BITS}").select("a", "b").distinct())
+    involved = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    firsts = texts.join(involved, "node").select("node", "first")
+    source = _texts(docs).withColumnRenamed("text_hash", "node")
+    bodies = source.join(firsts, (source["node"] == firsts["node"]) & source["doc_id"].eqNullSafe(firsts["first"])).select(
+        source["node"], "text"
+    )
+    sets = stored(_shingle_sets(bodies, words).dropDuplicates(["node"]))
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    common = both.select("a", "b", F.expr("size(sa) + size(sb)").alias("total"), F.expr("size(array_intersect(sa, sb))").alias("n"))
+    joined = components(common.where(f"n >= {share} * (total - n)"), "a", "b")
+    classes = stored(
+        texts.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    )
+    ids = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    labels = classes.join(ids, "component").select(F.col("node").alias("text_hash"), "component_id")
+    return marks.join(labels, "text_hash").select("doc_id", "text_hash", "component_id")
+
+
+def without_copies(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFrame:
+    """``docs`` with one document of each class of ``similar``, the one with the smallest doc_id.
 
     Rows that repeat the doc_id and text of the document that stays are that document,
     and stay too; rows without a doc_id always stay. A document is told by doc_id and
     a hash of its text, so one doc_id with two texts is judged for each."""
-    found = near_duplicates(docs, words)
+    found = similar(docs, words, share)
     gone = stored(found.where("doc_id <> component_id").select("doc_id", "text_hash").distinct())
     same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")

@@ -8,6 +8,7 @@ the choice is marked as rejected."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,12 +24,20 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_TEXTS = 256
 #: languages at most, so that the driver gathers a bounded sample
 MAX_LANGUAGES = 256
-PIECE_BYTES = 4 << 10
-LEVEL = 3
+PIECE_BYTES = 1 << 10
+#: the shortest match counts three bytes: much of what tells languages apart is short
+LEVEL, MIN_MATCH = 6, 3
 #: sizes closer than this part of the smallest are too close to tell
 MARGIN = 0.01
 UNKNOWN = "und"
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    """Lower-case words with single spaces; digits, marks and line ends say nothing of a language."""
+    return _NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
+
 
 def dictionaries(
     labelled: DataFrame, dictionary_bytes: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS
@@ -50,11 +59,11 @@ def dictionaries(
     found: dict[str, bytearray] = {}
     seen: set[tuple[str, bytes]] = set()
     for r in cut.orderBy("lang", "place").toLocalIterator():
-        have, text = found.setdefault(r.lang, bytearray()), bytes(r.text)
-        if len(have) < dictionary_bytes and (r.lang, text) not in seen:
+        have, text = found.setdefault(r.lang, bytearray()), letters(bytes(r.text).decode("utf-8", "ignore"))
+        if len(have) < dictionary_bytes and text and (r.lang, text) not in seen:
             seen.add((r.lang, text))
-            have += text + b"\n"
-    return {lang: bytes(sample[:dictionary_bytes]) for lang, sample in sorted(found.items())}
+            have += text + b" "
+    return {lang: bytes(sample[:dictionary_bytes]) for lang, sample in sorted(found.items()) if sample}
 
 
 class Classifier:
@@ -62,12 +71,12 @@ class Classifier:
         self.langs, self.piece, self.coders = list(samples), piece, []
         for sample in samples.values():
             content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.coders.append(
-                zstandard.ZstdCompressor(
-                    level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False
-                )
-            )
+            how = zstandard.ZstdCompressionParameters.from_level(
+                level, dict_size=len(sample), source_size=piece, min_match=MIN_MATCH,
+                write_content_size=False, write_dict_id=False,
+            )
+            content.precompute_compress(compression_params=how)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=how))
 
     def sizes(self, text: bytes) -> list[int]:
         pieces = [text[i : i + self.piece] for i in range(0, len(text), self.piece)]
@@ -79,7 +88,7 @@ class Classifier:
         order is taken."""
         if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
-        sizes = self.sizes(text.lower().encode("utf-8", "surrogatepass"))
+        sizes = self.sizes(letters(text))
         best = min(sizes)
         # each percent that another is larger counts as one bit
         score = 1 / sum(2.0 ** (-100 * (s - best) / best) for s in sizes)
@@ -91,10 +100,9 @@ def identified(docs: DataFrame, samples: dict[str, bytes], margin: float = MARGI
     """(doc_id, lang_pred, score, rejected) for every row of ``docs``, from its text alone.
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything
-    if nothing was learned. Texts are compared in lower case. Repeated rows stay
+    if nothing was learned. Only letters count, in lower case. Repeated rows stay
     repeated; an empty table gives no rows."""
-    lowered = {lang: s.decode("utf-8", "ignore").lower().encode() for lang, s in samples.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(lowered)
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Classifier(shared.value).predict
