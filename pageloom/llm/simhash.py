@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.graph import components
-from pageloom.llm.tables import plain_columns, stored
+from pageloom.llm.tables import beside, plain_columns, stored
 
 SEED = 42
 SEGMENTS = 16
@@ -236,7 +236,7 @@ def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFram
         )
     near = stored(pairs.where(f"bit_count(fp_a ^ fp_b) <= {FAR_BITS}").select("a", "b").distinct())
     involved = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    firsts = texts.join(involved, "node").select("node", "first")
+    firsts = beside(stored(texts.join(involved, "node").select("node", "first")))
     source = _texts(docs).withColumnRenamed("text_hash", "node")
     bodies = source.join(firsts, (source["node"] == firsts["node"]) & source["doc_id"].eqNullSafe(firsts["first"])).select(
         source["node"], "text"
@@ -262,6 +262,6 @@ def without_copies(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> D
     and stay too; rows without a doc_id always stay. A document is told by doc_id and
     a hash of its text, so one doc_id with two texts is judged for each."""
     found = similar(docs, words, share)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id", "text_hash").distinct())
+    gone = beside(stored(found.where("doc_id <> component_id").select("doc_id", "text_hash").distinct()))
     same = (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["text_hash"])
     return docs.join(gone, same, "left_anti")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom.plans.checkpoints import shared_dir
 
@@ -36,3 +37,19 @@ def stored(df: DataFrame) -> DataFrame:
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; other columns of the input can't clash with ours."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+#: a side of a join is broadcast up to this size
+BROADCAST_BYTES = 8 << 20
+
+
+def beside(keys: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """A stored table of keys as the smaller side of a join: broadcast if its rows,
+    which are counted, fit into ``BROADCAST_BYTES``; else left for Spark to shuffle."""
+    return F.broadcast(keys) if keys.count() * row_bytes <= BROADCAST_BYTES else keys
+
+
+def hash_share(column: str) -> Column:
+    """A text's place among all texts, from 0 to 1, by its hash: rows below a share are
+    a sample of about that share, the same however the table is dealt out."""
+    return F.xxhash64(column) / F.lit(2.0**64) + F.lit(0.5)
