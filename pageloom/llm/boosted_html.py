@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.tables import plain_columns
+from pageloom.llm.tables import hash_share, plain_columns
 
-#: pages the model is fitted on at most, and variants made of each
+#: pages the model is fitted on, about, and variants made of each
 SAMPLE_PAGES, VARIANTS = 200, 6
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.3, 32, 20
 
@@ -388,13 +388,13 @@ def main_text(page: Page, odds: np.ndarray) -> str:
 
 
 def trained(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Boosted | None:
-    """Fitted on the ``sample_pages`` different pages that come first by a hash of their HTML.
+    """Fitted on about ``sample_pages`` different pages, chosen by a hash of their HTML.
 
-    Hashes alone are ranked; then only the chosen pages travel, equal ones as one."""
-    rows = plain_columns(pages, "html").where("html <> ''").withColumn("h", F.xxhash64("html"))
-    first = rows.groupBy("h").count().select("h").orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
-    chosen = rows.where(F.col("h") <= first).groupBy("h").agg(F.min("html").alias("html"))
-    return fit([r.html for r in chosen.orderBy("h").collect()])
+    Pages are counted before, so that only the sample travels; equal ones count once."""
+    rows = plain_columns(pages, "html").where("html <> ''")
+    share = sample_pages / max(1, rows.count())
+    chosen = rows.where(hash_share("html") <= share).groupBy(F.xxhash64("html").alias("h")).agg(F.min("html").alias("html"))
+    return fit([r.html for r in chosen.orderBy("h").limit(2 * sample_pages).collect()])
 
 
 def extracted(pages: DataFrame, model: Boosted | None) -> DataFrame:

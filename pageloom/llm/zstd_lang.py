@@ -13,14 +13,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.tables import plain_columns
+from pageloom.llm.tables import hash_share, plain_columns
 
 #: bytes of a language's dictionary; what it holds is the whole fitting sample
 DICTIONARY_BYTES = 64 << 10
-#: texts a language's dictionary is filled from, lowest hash first
+#: texts a language's dictionary is filled from, about
 SAMPLE_TEXTS = 256
 #: languages at most, so that the driver gathers a bounded sample
 MAX_LANGUAGES = 256
@@ -44,18 +44,22 @@ def dictionaries(
 ) -> dict[str, bytes]:
     """language -> dictionary, from rows with text and lang (nulls of either are left out).
 
-    The sample is bounded by the parameters: Spark keeps the ``sample_texts`` texts of
-    each language that come first by a hash of the text, and the dictionary takes of
-    them, in that order, as many bytes as it holds. Equal texts count once."""
+    The sample is bounded by the parameters: texts are chosen by hash, about
+    ``sample_texts`` of each language, and the dictionary takes of them, in order of
+    hash, as many bytes as it holds. Rows are counted before, so that nothing but the
+    sample travels; equal texts count once."""
     rows = plain_columns(labelled, "text", "lang").where("text <> '' AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    cut = rows.select(
-        "lang", F.substring(F.col("text").cast("binary"), 1, dictionary_bytes).alias("text"),
-        F.row_number().over(order).alias("place"),
-    ).where(F.col("place") <= sample_texts)
-    known = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if known > MAX_LANGUAGES:
+    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, sample_texts / r["count"])])[F.col("lang")]
+    cut = (
+        rows.where(hash_share("text") <= share)
+        .groupBy("lang", F.xxhash64("text").alias("place"))
+        .agg(F.min(F.substring(F.col("text").cast("binary"), 1, dictionary_bytes)).alias("text"))
+    )
     found: dict[str, bytearray] = {}
     seen: set[tuple[str, bytes]] = set()
     for r in cut.orderBy("lang", "place").toLocalIterator():

@@ -35,5 +35,5 @@ def test_accuracy_and_odd_rows(spark, no_docs):
 def test_dictionary_is_bounded(spark):
     rows = spark.range(500).select(F.expr("concat('text number ', translate(CAST(id AS STRING), '0123456789', 'abcdefghij'))").alias("text"), F.lit("en").alias("lang"))
     assert len(zstd_lang.dictionaries(rows, 1000)["en"]) == 1000
-    few = zstd_lang.dictionaries(rows, 1 << 20, sample_texts=3)["en"]
-    assert few.count(b"text number") <= 3
+    few = zstd_lang.dictionaries(rows, 1 << 20, sample_texts=20)["en"]
+    assert 5 <= few.count(b"text number") <= 50
