@@ -13,25 +13,26 @@ needed: they are sought where they can be.
    the smallest document.
 3. Where an anchor has several surroundings, shards of them get a Burrows-Wheeler
    transform each, and the transforms are merged: the interleave of the shards starts
-   arbitrary and is refined, one symbol a round. After ``LENGTH`` rounds suffixes are
+   arbitrary and is refined, two symbols a round. After ``LENGTH`` rounds suffixes are
    in order by as many symbols, and the boundaries found on the way delimit the
    repeated intervals. No suffix is sorted against another shard's.
 4. The ranges found go back to the documents.
 
 Exact copies of a whole text are told by two hashes beforehand, so a group of copies,
-however large, is one text."""
+however large, is one text. Within a group of documents (``dealt``) an anchor is listed
+once and equal surroundings are one, so what is everywhere is one entry per group."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
+import pickle
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.tables import plain_columns, stored
+from pageloom.llm.tables import beside, plain_columns, stored
 
 LENGTH = 50
 ANCHOR = 26
@@ -118,33 +119,55 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     symbols = np.frombuffer(b"".join(s + b"\0" for s in strings), "u1").astype("u2") + 1
     symbols[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
     order = _suffix_order(symbols, len(strings))
-    return np.roll(symbols, 1)[order], order
+    return _before(symbols, strings, 1)[order], order
+
+
+def _before(symbols: np.ndarray, strings: list[bytes], steps: int) -> np.ndarray:
+    """The symbol so many places before each, around the end of its own string."""
+    sizes = np.array([len(s) + 1 for s in strings])
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    size = np.repeat(sizes, sizes)
+    return symbols[first + (np.arange(len(symbols)) - first - steps) % size]
 
 
 def merged_classes(shards: list[list[bytes]], depth: int = LENGTH) -> np.ndarray:
     """A number for each suffix of the shards, end marks included, in their order of
-    writing: equal for suffixes that agree in ``depth`` symbols, else different."""
+    writing: equal for suffixes that agree in ``depth`` symbols, else different.
+
+    A round puts the suffixes, in the order known by h symbols, behind the one or two
+    symbols before them: they are then in order by h + 1 or h + 2."""
     parts = [transform(s) for s in shards]
     sizes = [len(o) for _, o in parts]
-    bwt = np.concatenate([b for b, _ in parts])
-    places = np.concatenate([o + first for (_, o), first in zip(parts, np.cumsum([0, *sizes[:-1]]), strict=True)])
+    one = np.concatenate([b for b, _ in parts])
+    two = []
+    for (bwt, order), strings in zip(parts, shards, strict=True):
+        symbols = np.empty_like(bwt)
+        symbols[order] = bwt  # by place: the symbol before
+        two.append(_before(symbols, strings, 1)[order])
+    two = np.concatenate(two)
+    dense = np.unique(one)  # 0, the end mark, stays 0
+    one, two = (np.searchsorted(dense, x).astype("u4") for x in (one, two))
+    base = len(dense)
+    pair = np.where(two == 0, 0, two * base + one)  # what begins with an end mark is that end mark
+    step = "u2" if base * base <= 1 << 16 else "u4"
     interleave = np.repeat(np.arange(len(shards), dtype="u2"), sizes)
-    marks = np.repeat(np.arange(len(shards), dtype="u2"), [len(s) for s in shards])
-    n, m = len(bwt), len(marks)
-    block = np.zeros(n, "i4")
-    for _ in range(depth):
+    places = np.concatenate([o + first for (_, o), first in zip(parts, np.cumsum([0, *sizes[:-1]]), strict=True)])
+    block = np.zeros(len(one), "i4")
+    rounds = [(one.astype("u2"), one == 0)] * (depth % 2) + [(pair.astype(step), (pair == 0) | (one == 0))] * (depth // 2)
+    for codes, ended in rounds:
         by_shard = np.argsort(interleave, kind="stable")
-        symbol = np.empty(n, "u2")
-        symbol[by_shard] = bwt
-        order = np.argsort(symbol, kind="stable")
-        interleave, behind, symbol = interleave[order], block[order], symbol[order]
-        # the end marks, all different, in the order of their shards
-        interleave[:m] = marks
-        fresh = np.ones(n, bool)
-        fresh[1:] = (symbol[1:] != symbol[:-1]) | (behind[1:] != behind[:-1])
-        fresh[: m + 1] = True
+        code, ends = np.empty_like(codes), np.empty_like(ended)
+        code[by_shard], ends[by_shard] = codes, ended
+        order = np.argsort(code, kind="stable")
+        interleave, behind, code = interleave[order], block[order], code[order]
+        # strings that end here all differ, and follow each other as their shards do
+        at = np.flatnonzero(ends[order])
+        interleave[at] = interleave[at][np.lexsort((interleave[at], code[at]))]
+        fresh = np.ones(len(code), bool)
+        fresh[1:] = (code[1:] != code[:-1]) | (behind[1:] != behind[:-1])
+        fresh[at] = True
         block = np.cumsum(fresh, dtype="i4")
-    classes = np.empty(n, "i4")
+    classes = np.empty(len(one), "i4")
     classes[places] = block[np.argsort(interleave, kind="stable")]
     return classes
 
@@ -168,18 +191,20 @@ def _smaller_owner(strings: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
     return [smaller[e - k : e - LENGTH] for e, k in zip(ends, lengths, strict=True)]
 
 
-# --- packing: rows carry arrays, so that Spark moves few of them
+# --- what travels: arrays in few rows
 
 
-def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Binary cells with ``counts`` values each."""
-    ends = np.concatenate([[0], np.cumsum(counts)]) * values.dtype.itemsize
-    data = np.ascontiguousarray(values)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype("i4")), pa.py_buffer(data)])
+def _packed(*arrays) -> bytes:
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
 
 
-def _cells(column, dtype: str) -> list[np.ndarray]:
-    return [np.frombuffer(c.as_buffer(), dtype) if c.is_valid else np.empty(0, dtype) for c in column]
+def _unpacked(cells) -> list[tuple]:
+    return [pickle.loads(zstandard.decompress(c.as_py())) for c in cells]
+
+
+def _table(rows: list[tuple], **columns: pa.DataType) -> pa.Table:
+    cells = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.table([pa.array(c, k) for c, k in zip(cells, columns.values(), strict=True)], list(columns))
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -196,212 +221,139 @@ def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for first in range(0, b.num_rows, rows):
-            yield b.slice(first, rows)
-
-
-_LISTED = "slot int, kind int, codes binary, docs binary, dids binary, tags binary"
+def _texts(group: pa.Table):
+    """(did, tag, text) of a group's documents, whole copies left out."""
+    columns = (group[c].to_pylist() for c in ("did", "tag", "copy"))
+    for did, tag, copy, text in zip(*columns, group["text"], strict=True):
+        if not copy:
+            yield did, tag, text.as_py()
 
 
 def _listed(buckets: int):
-    """Per batch of documents and bucket: anchors with the documents they are in.
-
-    An anchor in several documents of the batch is listed once; these documents need
-    no telling from others that it repeats and get a row of kind 1 right away, so an
-    anchor that is everywhere is one entry per batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 1 << 15):
-            did, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
-            found = [np.unique(_codes(anchors(t.as_py() or b"")[1], buckets)) for t in b.column(2)]
-            code = np.concatenate([np.empty(0, "u8"), *found])
-            doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            order = np.lexsort((did[doc], code))
-            code, doc = code[order], doc[order]
-            start = _runs(code)
-            size = np.diff(np.append(start, len(code)))
-            several = np.repeat((did[doc[start]] != did[doc[start + size - 1]]) if len(start) else [], size).astype(bool)
-            # kind 1: document by document
-            c1, d1 = code[several], doc[several]
-            order = np.argsort(d1, kind="stable")
-            c1, d1 = c1[order], d1[order]
-            s1 = _runs(d1)
-            yield _rows(
-                d1[s1] % buckets if len(s1) else s1, 1, c1, np.diff(np.append(s1, len(c1))), np.zeros(len(c1), "u2"),
-                did[d1[s1]], tag[d1[s1]], np.ones(len(s1), "i8"),
-            )
-            # kind 0: bucket by bucket, with a list of its documents
-            first = ~several
-            first[start] = True
-            c0, d0 = code[first], doc[first]
-            slot = (c0 >> np.uint64(32)).astype("i8")
-            order = np.lexsort((d0, slot))
-            c0, d0, slot = c0[order], d0[order], slot[order]
-            s0, own = _runs(slot), _runs(slot, d0)
-            fresh = np.zeros(len(c0), "i8")
-            fresh[own] = 1
-            number = np.cumsum(fresh) - 1
-            size0 = np.diff(np.append(s0, len(c0)))
-            number -= np.repeat(number[s0], size0) if len(s0) else 0
-            docs_in = np.add.reduceat(fresh, s0) if len(s0) else s0
-            yield _rows(slot[s0], 0, c0, size0, number.astype("u2"), did[d0[own]], tag[d0[own]], docs_in)
-
-    return run
+    """A group's anchors, each once, bucket by bucket."""
 
+    def run(group: pa.Table) -> pa.Table:
+        found = [_codes(anchors(text)[1], buckets) for _, _, text in _texts(group)]
+        code = np.unique(np.concatenate([np.empty(0, "u8"), *found]))
+        parts = np.split(code, _runs(code >> np.uint64(32))[1:]) if len(code) else []
+        p = group["p"][0].as_py()
+        rows = [(int(c[0]) >> 32, p, _packed((c & np.uint64(0xFFFFFFFF)).astype("u4"))) for c in parts]
+        return _table(rows, slot=pa.int32(), p=pa.int32(), codes=pa.binary())
 
-def _rows(slot, kind, codes, sizes, docs, dids, tags, docs_in) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.asarray(slot).astype("i4")), pa.array(np.full(len(sizes), kind, "i4")),
-            _binary((codes & np.uint64(0xFFFFFFFF)).astype("u4") if kind == 0 else codes, sizes), _binary(docs, sizes),
-            _binary(np.asarray(dids, "i8"), docs_in), _binary(np.asarray(tags, "i4"), docs_in),
-        ],
-        ["slot", "kind", "codes", "docs", "dids", "tags"],
-    )
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """One bucket: (did, tag, codes) of the anchors that two documents have."""
-    t = table.combine_chunks()
-    kind = t["kind"].to_numpy()
-    slot = np.uint64(t["slot"][0].as_py() if len(t) else 0)
-    code, did, tag = [np.empty(0, "u8")], [np.empty(0, "i8")], [np.empty(0, "i4")]
-    passed: list[tuple[np.ndarray, int, int]] = []
-    listed = zip(kind, t["codes"], _cells(t["docs"], "u2"), _cells(t["dids"], "i8"), _cells(t["tags"], "i4"), strict=True)
-    for k, c, docs, dids, tags in listed:
-        if k:
-            passed.append((np.frombuffer(c.as_buffer(), "u8"), dids[0], tags[0]))
-        else:
-            code.append(np.frombuffer(c.as_buffer(), "u4").astype("u8") | slot << np.uint64(32))
-            did.append(dids[docs])
-            tag.append(tags[docs])
-    c, d, g = np.concatenate(code), np.concatenate(did), np.concatenate(tag)
-    order = np.lexsort((d, c))
-    c, d, g = c[order], d[order], g[order]
-    start = _runs(c)
-    size = np.diff(np.append(start, len(c)))
-    again = np.repeat((d[start] != d[start + size - 1]) if len(start) else [], size).astype(bool)
-    c = np.concatenate([c[again], *(p[0] for p in passed)])
-    d = np.concatenate([d[again], *(np.full(len(p[0]), p[1]) for p in passed)])
-    g = np.concatenate([g[again], *(np.full(len(p[0]), p[2], "i4") for p in passed)])
-    order = np.lexsort((g, d))
-    c, d, g = c[order], d[order], g[order]
-    start = _runs(d, g)
-    return pa.table(
-        {"did": pa.array(d[start]), "tag": pa.array(g[start]), "codes": _binary(c, np.diff(np.append(start, len(c))))}
-    )
+    return run
 
 
-_SURROUNDED = "slot int, kind int, did long, tag int, places binary, texts array<binary>"
+def _repeated(bucket: pa.Table) -> pa.Table:
+    """Of a bucket's anchors those that two groups of documents have, group by group."""
+    p = bucket["p"].to_pylist()
+    lists = [codes for (codes,) in _unpacked(bucket["codes"])]
+    values, counts = np.unique(np.concatenate(lists), return_counts=True)
+    again = values[counts > 1]
+    slot = bucket["slot"][0].as_py()
+    rows = [(g, slot, _packed(np.intersect1d(c, again, assume_unique=True))) for g, c in zip(p, lists, strict=True)]
+    return _table(rows, p=pa.int32(), slot=pa.int32(), codes=pa.binary())
 
 
 def _surrounded(buckets: int):
-    """Per batch and bucket: the surroundings of repeated anchors.
-
-    Within the batch equal surroundings belong to the smallest document; the others'
-    are known to go at once (kind 1: places are ranges)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 1 << 11):
-            # anchor and surroundings, and a document where its id has several texts -> (did, tag, places)
-            owner: dict[tuple, tuple] = {}
-            gone: dict[tuple, list[int]] = {}
-            for j in range(b.num_rows):
-                me = (b.column(0)[j].as_py(), b.column(1)[j].as_py())
-                text = b.column(2)[j].as_py()
-                wanted = np.concatenate(_cells(b.column(3)[j].values, "u8"))
-                at, hashes = anchors(text)
-                codes = _codes(hashes, buckets)
-                hit = np.isin(codes, wanted)
-                first = np.maximum(at[hit] - (LENGTH - ANCHOR), 0).tolist()
-                last = np.minimum(at[hit] + LENGTH, len(text)).tolist()
-                for code, lo, hi in zip(codes[hit].tolist(), first, last, strict=True):
-                    around = code.to_bytes(8, "big") + text[lo:hi]
-                    has = owner.get((around,))
-                    if has is None:
-                        owner[(around,)] = (*me, [lo])
-                    elif has[:2] == me:
-                        has[2].append(lo)
-                    elif has[0] < me[0]:
-                        gone.setdefault(me, []).extend((lo, hi))
-                    elif has[0] == me[0]:
-                        owner.setdefault((around, me), (*me, []))[2].append(lo)
-                    else:
-                        gone.setdefault(has[:2], []).extend(x for p in has[2] for x in (p, p + hi - lo))
-                        owner[(around,)] = (*me, [lo])
-            out: dict[tuple, tuple[list, list]] = {}
-            for (around, *_), (did, tag, places) in owner.items():
-                spans, texts = out.setdefault((int.from_bytes(around[:4], "big"), did, tag), ([], []))
-                spans += places
-                texts += [around[4:]] * len(places)
-            rows = [(s, 0, d, g, np.array(p, "i8").tobytes(), t) for (s, d, g), (p, t) in out.items()]
-            rows += [(d % buckets, 1, d, g, np.array(p, "i8").tobytes(), []) for (d, g), p in gone.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["slot", "kind", "did", "tag", "places", "texts"]
-            )
+    """A group's repeated anchors with their surroundings, bucket by bucket.
+
+    Equal surroundings in the group are sent once, for the smallest document; the others'
+    are known to go (kind 1)."""
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(group):
+            return _table([], slot=pa.int32(), kind=pa.int32(), p=pa.int32(), found=pa.binary())
+        docs = list(_texts(group))
+        found = [anchors(text) for *_, text in docs]
+        codes = [_codes(h, buckets) for _, h in found]
+        # repeated in this group, or between groups
+        own = np.concatenate([np.empty(0, "u8"), *map(np.unique, codes)])
+        values, counts = np.unique(own, return_counts=True)
+        far = [c.astype("u8") | np.uint64(s << 32) for s, (c,) in zip(answers["slot"].to_pylist(), _unpacked(answers["codes"]), strict=True)]
+        wanted = np.unique(np.concatenate([values[counts > 1], *far]))
+        owner: dict[tuple, list] = {}  # anchor, surroundings[, document] -> document, places
+        gone: list[tuple] = []
+        for (did, tag, text), (at, _), code in zip(docs, found, codes, strict=True):
+            place = np.searchsorted(wanted, code)
+            hit = np.flatnonzero((place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == code)) if len(wanted) else []
+            first = np.maximum(at[hit] - (LENGTH - ANCHOR), 0).tolist()
+            last = np.minimum(at[hit] + LENGTH, len(text)).tolist()
+            for c, lo, hi in zip(code[hit].tolist(), first, last, strict=True):
+                key = (c, text[lo:hi])
+                has = owner.get(key)
+                if has is None:
+                    owner[key] = [did, tag, lo]
+                elif has[0] == did and has[1] == tag:
+                    has.append(lo)
+                elif has[0] < did:
+                    gone.append((did, tag, lo, hi))
+                elif has[0] == did:
+                    owner.setdefault((*key, tag), [did, tag]).append(lo)
+                else:
+                    gone += [(has[0], has[1], x, x + hi - lo) for x in has[2:]]
+                    owner[key] = [did, tag, lo]
+        p = group["p"][0].as_py()
+        slots: dict[int, list] = {}
+        for (c, text, *_), (did, tag, *places) in owner.items():
+            slots.setdefault(c >> 32, []).append((c & 0xFFFFFFFF, text, did, tag, places))
+        rows = [(s, 0, p, _packed(x)) for s, x in slots.items()]
+        if gone:
+            rows.append((p % buckets, 1, p, _packed(gone)))
+        return _table(rows, slot=pa.int32(), kind=pa.int32(), p=pa.int32(), found=pa.binary())
 
     return run
 
 
-def _ranges(table: pa.Table) -> pa.Table:
-    """One bucket: (did, tag, ranges) of bytes that go, as pairs of places."""
-    gone: dict[tuple[int, int], list[int]] = {}
-    owners: dict[bytes, int] = {}  # anchor and surroundings -> smallest document
-    seen: list[tuple[bytes, int, int, int]] = []
-    for r in table.to_batches():
-        for kind, did, tag, places, texts in zip(*(r.column(c) for c in ("kind", "did", "tag", "places", "texts")), strict=True):
-            did, tag, at = did.as_py(), tag.as_py(), np.frombuffer(places.as_buffer(), "i8").tolist()
-            if kind.as_py():
-                gone.setdefault((did, tag), []).extend(at)
-                continue
-            for lo, key in zip(at, texts.as_py(), strict=True):
-                owners[key] = min(did, owners.get(key, did))
-                seen.append((key, did, tag, lo))
+def _ranges(bucket: pa.Table) -> pa.Table:
+    """Of a bucket's surroundings the bytes that go, group by group."""
+    gone: dict[int, list[tuple]] = {}
+    owners: dict[tuple, int] = {}  # anchor, surroundings -> smallest document
+    seen: list[tuple] = []
+    for kind, p, (found,) in zip(bucket["kind"].to_pylist(), bucket["p"].to_pylist(), _unpacked(bucket["found"]), strict=True):
+        if kind:
+            gone.setdefault(p, []).extend(found)
+            continue
+        for code, text, did, tag, places in found:
+            key = (code, text)
+            has = owners.get(key)
+            owners[key] = did if has is None or did < has else has
+            seen.append((key, p, did, tag, places))
     # merge the transforms of anchors with several surroundings, whole anchors at a time
-    distinct = sorted(owners)
-    windows: dict[bytes, np.ndarray] = {}
-    group: list[bytes] = []
-    size = k = 0
-    while k < len(distinct):
-        last = k
-        while last < len(distinct) and distinct[last][:4] == distinct[k][:4]:
-            last += 1
-        if last - k > 1:
-            group += distinct[k:last]
-            size += sum(map(len, distinct[k:last]))
-        if group and (size >= MERGE or last == len(distinct)):
-            found = _smaller_owner([g[4:] for g in group], np.array([owners[g] for g in group]))
-            windows |= zip(group, found, strict=True)
+    several: dict[int, list[bytes]] = {}
+    for code, text in owners:
+        several.setdefault(code, []).append(text)
+    windows: dict[tuple, np.ndarray] = {}
+    group: list[tuple] = []
+    size = 0
+    rest = [(c, sorted(t)) for c, t in sorted(several.items()) if len(t) > 1]
+    for k, (code, texts) in enumerate(rest):
+        group += [(code, t) for t in texts]
+        size += sum(map(len, texts))
+        if size >= MERGE or k == len(rest) - 1:
+            found = _smaller_owner([t for _, t in group], np.array([owners[g] for g in group]))
+            windows |= {g: w for g, w in zip(group, found, strict=True) if w.any()}
             group, size = [], 0
-        k = last
-    for key, did, tag, lo in seen:
-        spans = gone.setdefault((did, tag), [])
-        length = len(key) - 4
+    for key, p, did, tag, places in seen:
         if owners[key] < did:
-            spans += (lo, lo + length)
+            spans = [(0, len(key[1]))]
         elif key in windows:
             starts = np.flatnonzero(windows[key])
-            if len(starts):
-                breaks = np.flatnonzero(np.diff(starts) > LENGTH)
-                firsts, lasts = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
-                for a, z in zip(firsts.tolist(), lasts.tolist(), strict=True):
-                    spans += (lo + a, lo + z + LENGTH)
-    rows = [(d, g, np.array(s, "i8").tobytes()) for (d, g), s in gone.items() if s]
-    cols = list(zip(*rows, strict=True)) or [()] * 3
-    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["did", "tag", "ranges"])
+            breaks = np.flatnonzero(np.diff(starts) > LENGTH)
+            firsts, lasts = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
+            spans = list(zip(firsts.tolist(), (lasts + LENGTH).tolist(), strict=True))
+        else:
+            continue
+        gone.setdefault(p, []).extend((did, tag, lo + a, lo + z) for lo in places for a, z in spans)
+    rows = [(p, _packed(np.array(x, "i8").reshape(-1, 4))) for p, x in gone.items()]
+    return _table(rows, p=pa.int32(), ranges=pa.binary())
 
 
-def _cut(text: bytes, ranges: np.ndarray) -> tuple[int, int, bytes]:
+def _cut(text: bytes, ranges: np.ndarray | None) -> tuple[int, int, bytes]:
     """(bytes removed, runs removed, what is left)."""
-    if not len(ranges):
+    if ranges is None:
         return 0, 0, text
-    lo, hi = ranges[::2], ranges[1::2]
-    order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    order = np.argsort(ranges[:, 0], kind="stable")
+    lo, hi = ranges[order, 0], np.maximum.accumulate(ranges[order, 1])
     first = np.append(True, lo[1:] > hi[:-1])
     starts, ends = lo[first].tolist(), hi[np.append(np.flatnonzero(first)[1:] - 1, len(hi) - 1)].tolist()
     left = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)], strict=True))
@@ -431,41 +383,38 @@ def without_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     named = rows.where(F.length("text") >= LENGTH).select("did", "tag", whole.alias("whole"))
     firsts = named.groupBy("whole").agg(F.min("did").alias("least"))
     copies = stored(named.join(firsts, "whole").where("did > least").select("did", "tag").distinct())
-
-    dealt = rows.repartition(buckets, "did", "tag")
-    distinct = dealt.join(copies, ["did", "tag"], "left_anti")
-    listed = distinct.select("did", "tag", "text").mapInArrow(_listed(buckets), _LISTED)
-    repeated = listed.groupBy("slot").applyInArrow(_repeated, "did long, tag int, codes binary")
-    wanted = repeated.groupBy("did", "tag").agg(F.collect_list("codes").alias("codes"))
-    around = (
-        distinct.join(wanted, ["did", "tag"])
-        .select("did", "tag", "text", "codes")
-        .mapInArrow(_surrounded(buckets), _SURROUNDED)
+    marked = rows.join(beside(copies).withColumn("copy", F.lit(True)), ["did", "tag"], "left")
+
+    # three steps read the texts as they are dealt here; all take the same columns, so the
+    # shuffle is made once and used three times
+    group = F.expr(f"CAST(pmod(xxhash64(did, tag), {buckets}) AS INT)").alias("p")
+    dealt = marked.select(group, "doc_id", "did", "tag", "copy", "text").repartition(buckets, "p")
+    listed = dealt.groupBy("p").applyInArrow(_listed(buckets), "slot int, p int, codes binary")
+    repeated = listed.groupBy("slot").applyInArrow(_repeated, "p int, slot int, codes binary")
+    around = dealt.groupBy("p").cogroup(repeated.groupBy("p")).applyInArrow(
+        _surrounded(buckets), "slot int, kind int, p int, found binary"
     )
-    ranges = around.groupBy("slot").applyInArrow(_ranges, "did long, tag int, ranges binary")
-    gathered = stored(ranges.groupBy("did", "tag").agg(F.collect_list("ranges").alias("ranges")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, ranges, copy in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                text = text.as_py()
-                if copy.as_py():
-                    cut = (len(text), 1, b"")
-                else:
-                    cut = _cut(text, np.concatenate(_cells(ranges.values, "i8")) if ranges.is_valid else np.empty(0))
-                out.append((len(text), cut[0], cut[1], hashlib.sha256(cut[2]).hexdigest(), cut[2]))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            kinds = ("int64", "int64", "int64", "string", "binary")
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+    ranges = around.groupBy("slot").applyInArrow(_ranges, "p int, ranges binary")
+
+    def run(group: pa.Table, found: pa.Table) -> pa.Table:
+        gone: dict[tuple, list] = {}
+        for (rows,) in _unpacked(found["ranges"]):
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            start = _runs(rows[:, 0], rows[:, 1])
+            for part in np.split(rows, start[1:]):
+                if len(part):
+                    gone.setdefault((int(part[0, 0]), int(part[0, 1])), []).append(part[:, 2:])
+        out = []
+        columns = (group[c].to_pylist() for c in ("doc_id", "did", "tag", "copy"))
+        for doc_id, did, tag, copy, text in zip(*columns, group["text"], strict=True):
+            text = text.as_py()
+            spans = gone.get((did, tag))
+            cut = (len(text), 1, b"") if copy else _cut(text, np.concatenate(spans) if spans else None)
+            out.append((doc_id, len(text), cut[0], cut[1], hashlib.sha256(cut[2]).hexdigest(), cut[2]))
+        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+        return _table(out, doc_id=group.schema.field("doc_id").type, **kinds)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        dealt.join(gathered, ["did", "tag"], "left")
-        .join(copies.withColumn("copy", F.lit(True)), ["did", "tag"], "left")
-        .select("doc_id", "text", "ranges", "copy")
-        .mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return dealt.groupBy("p").cogroup(ranges.groupBy("p")).applyInArrow(
+        run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
