@@ -38,7 +38,7 @@ from pageloom.plans.pipeline import (
     page_results,
 )
 from pageloom.schema import ITEM_TYPES
-from pageloom.sinks.writers import result_rows, write_items, write_results
+from pageloom.sinks.writers import result_rows, run_writer, write_items, write_results
 from pageloom.sources import pages as P
 from pageloom.sources.corpora import (
     crawl_log,
@@ -46,6 +46,7 @@ from pageloom.sources.corpora import (
     document_pages,
     site_pages,
     table,
+    varied_pages,
     visit_pages,
 )
 from pageloom.streaming import streams
@@ -238,7 +239,7 @@ def truncated_text(spark, d):
 @query
 def trimmed_text(spark, d):
     padded = table(spark, d, "documents").select(
-        "doc_id", F.concat(F.lit(" \t　\xa0"), F.substr("text", F.lit(1), F.lit(50)), F.lit("\n ")).alias("t")
+        "doc_id", F.concat(F.lit(" \t　\xa0"), "text", F.lit("\n ")).alias("t")
     )
     return padded.select("doc_id", trim_space("t").alias("text"))
 
@@ -464,8 +465,8 @@ def page_result_sizes(spark, d):
     return results.select(
         F.col("page.page_id").alias("page_id"),
         F.size("extracted_items").cast("bigint").alias("n_items"),
-        F.expr("extracted_items[0].value").alias("first_value"),
-        F.expr("extracted_items[0].source_url").alias("source_url"),
+        F.expr("get(extracted_items, 0).value").alias("first_value"),
+        F.expr("get(extracted_items, 0).source_url").alias("source_url"),
     )
 
 
@@ -516,6 +517,62 @@ def custom_errors(spark, d):
     return extractor_errors(customer_pages(spark, d), _with_custom())
 
 
+@query
+def custom_results(spark, d):
+    results = page_results(customer_pages(spark, d), _with_custom())
+    kinds = F.expr("array_distinct(transform(extracted_items, i -> i.type))")
+    return results.select(F.col("page.page_id").alias("page_id"), F.array_join(kinds, ",").alias("kinds"))
+
+
+@query
+def custom_report(spark, d):
+    lines = report.report_lines(customer_pages(spark, d), _with_custom())
+    return lines.where("line RLIKE 'shout|status'").select("page_id", "line")
+
+
+@query
+def custom_stats(spark, d):
+    items = extract_all(customer_pages(spark, d), _with_custom())
+    return stats.item_totals(items).select("total_items", F.explode("items_by_type").alias("type", "n"))
+
+
+@query
+def custom_frame_errors(spark, d):
+    """A frame-level extractor that fails while it runs costs its own items only."""
+    reg = _with_custom()
+    broken = F.expr("IF(page_id >= 0, raise_error('cannot be'), '')")
+    reg.register("broken", lambda df: df.select("page_id", broken.alias("value"), F.lit("broken").alias("type")))
+    df = customer_pages(spark, d)
+    failed = extractor_errors(df, reg).where("extractor = 'broken'").select(F.col("extractor").alias("type"))
+    return stats.items_by_type(extract_all(df, reg)).unionByName(failed.withColumn("n", F.lit(-1).cast("long")))
+
+
+# ---- pages that differ by key
+
+
+@query
+def varied_social(spark, d):
+    found = extract(varied_pages(spark, d), "social")
+    return found.select("page_id", "value", *meta("platform", "anchor_text"))
+
+
+@query
+def varied_files(spark, d):
+    found = extract(varied_pages(spark, d), "assets")
+    return found.select("page_id", "value", *meta("asset_type", "tag", "extension"))
+
+
+@query
+def varied_metadata(spark, d):
+    return extract(varied_pages(spark, d), "metadata").select("page_id", "value", *meta("field", "index"))
+
+
+@query
+def varied_links(spark, d):
+    found = extract(varied_pages(spark, d), "links")
+    return found.select("page_id", "value", *meta("link_type", "anchor_text"))
+
+
 # ---- crawling
 
 
@@ -532,30 +589,54 @@ def crawl_capped(spark, d):
 @query
 def crawl_external(spark, d):
     reached = crawling.crawl(
-        site_pages(spark, d), SEED, max_depth=4, max_pages=None, allow_external=True, parse_all=True
+        site_pages(spark, d), SEED, max_depth=4, max_pages=None, allow_external=True
     )
-    return reached.select("url", "depth", "status")
+    return reached.drop("page_id")
 
 
 @query
 def crawl_deep(spark, d):
-    reached = crawling.crawl(site_pages(spark, d), SEED, max_depth=7, max_pages=None, parse_all=True)
-    return reached.select("url", "depth", "status")
+    return crawling.crawl(site_pages(spark, d), SEED, max_depth=7, max_pages=None).drop("page_id")
 
 
 @query
 def crawl_no_query(spark, d):
-    reached = crawling.crawl(
-        site_pages(spark, d), SEED, max_depth=4, max_pages=None, ignore_query_params=True,
-        parse_all=True,
+    return crawling.crawl(
+        site_pages(spark, d), SEED, max_depth=4, max_pages=None, ignore_query_params=True
+    ).drop("page_id")
+
+
+@query
+def crawl_redirected(spark, d):
+    """Nations with odd numbers now answer from another host, whose pages were captured."""
+    site = site_pages(spark, d)
+    odd = "startswith(url, 'https://shop.test/n/') AND try_cast(substr(url, 21) AS INT) % 2 = 1"
+    moved = site.withColumn("final_url", F.expr(f"IF({odd}, replace(url, 'shop.test/n', 'moved.test/n'), final_url)"))
+    elsewhere = site.where("startswith(url, 'https://shop.test/c/')").withColumns(
+        {"url": F.expr("replace(url, 'shop.test', 'moved.test')"), "final_url": F.expr("replace(url, 'shop.test', 'moved.test')"),
+         "page_id": F.expr("page_id + 1000000000000")}
+    )
+    return crawling.crawl(moved.unionByName(elsewhere), SEED, max_depth=5, max_pages=None).drop("page_id")
+
+
+@query
+def crawl_recaptured(spark, d):
+    """Every page was captured three times, without page_id; the first capture counts."""
+    site = site_pages(spark, d).drop("page_id")
+    again = site.withColumn("n", F.explode(F.array(*map(F.lit, (2, 0, 1))))).select(
+        *[c for c in site.columns if c not in ("raw_html", "fetched_at", "status_code")],
+        F.expr("timestamp_seconds(1700000000 + 60 * n)").alias("fetched_at"),
+        F.expr("IF(n = 0, raw_html, '<a href=/later>later</a>')").alias("raw_html"),
+        F.expr("IF(n = 0, status_code, 200)").alias("status_code"),
     )
-    return reached.select("url", "depth", "status")
+    shuffled = again.repartition(7, F.xxhash64("url", "fetched_at"))
+    return crawling.crawl(shuffled, SEED, max_depth=4, max_pages=None).drop("page_id")
 
 
 @query
 def crawl_items(spark, d):
     site = site_pages(spark, d)
-    reached = crawling.crawl(site, SEED, max_depth=4, max_pages=None, parse_all=True)
+    reached = crawling.crawl(site, SEED, max_depth=4, max_pages=None)
     items = crawling.crawl_extract(site, reached)
     return stats.items_by_type(items)
 
@@ -565,10 +646,10 @@ def crawl_items(spark, d):
 
 @query
 def crawl_stats(spark, d):
-    out = stats.crawl_stats(crawl_log(spark, d), extract(pages(spark, d), "links"))
+    out = stats.crawl_stats(crawl_log(spark, d), extract_all(pages(spark, d)))
     return out.select(
         "pages_queued", "pages_crawled", "pages_errored", "items_extracted",
-        F.col("items_by_type")["link"].alias("links"), "elapsed_ns",
+        *[F.col("items_by_type")[t].alias(f"n_{t}") for t in ITEM_TYPES], "elapsed_ns",
         F.round("pages_per_sec", 6).alias("pages_per_sec"),
     )
 
@@ -619,7 +700,7 @@ def ok_failed(spark, d):
 
 @query
 def report_lines(spark, d):
-    return report.report_lines(customer_pages(spark, d), Registry(built_in=["forms", "metadata"]))
+    return report.report_lines(customer_pages(spark, d))
 
 
 @query
@@ -659,12 +740,66 @@ def written_items(spark, d):
 
 @query
 def result_json(spark, d):
-    rows = result_rows(page_results(visit_pages(spark, d)))
-    return rows.select(
-        F.col("page.url").alias("url"), F.size("page.intercepted_requests").alias("calls")
+    path = shared_dir(spark)
+    write_results(page_results(visit_pages(spark, d)), f"{path}/results", "json")
+    calls = F.get_json_object("value", "$.page.intercepted_requests")
+    return spark.read.text(f"{path}/results").select(
+        F.get_json_object("value", "$.page.url").alias("url"), F.json_array_length(calls).alias("calls")
     )
 
 
+class _Folder:
+    """A custom writer: results as JSON in one folder, the summary in another."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write_results(self, results: DataFrame, batch: int) -> None:
+        result_rows(results).write.json(f"{self.path}/results/batch={batch}")
+
+    def finalize(self, summary: DataFrame) -> None:
+        summary.select("target_url", "total_items").write.json(f"{self.path}/summary")
+
+
+@query
+def custom_writer(spark, d):
+    path = shared_dir(spark)
+    run_writer(_Folder(path), page_results(customer_pages(spark, d)), _summary(spark, d))
+    written = spark.read.schema("page struct<url string>, extracted_items array<struct<type string>>").json(f"{path}/results")
+    end = spark.read.schema("target_url string, total_items long").json(f"{path}/summary")
+    pages_ = written.select(F.col("page.url").alias("name"), F.size("extracted_items").cast("long").alias("n"))
+    return pages_.unionByName(end.select(F.col("target_url").alias("name"), F.col("total_items").alias("n")))
+
+
+@query
+def written_report(spark, d):
+    path = shared_dir(spark)
+    report.write_report(customer_pages(spark, d), _summary(spark, d), path)
+    lines = spark.read.text(f"{path}/pages").unionByName(spark.read.text(f"{path}/summary"))
+    return lines.groupBy(F.regexp_extract("value", r"^ *(\+-- [a-z_]+|\[[0-9]+\]|[A-Za-z]+)", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def json_pages(spark, d):
+    """Pages from JSON lines with ``html`` or ``raw_html``, none with page_id, and a crawl over them."""
+    path = shared_dir(spark)
+    site = site_pages(spark, d).select("url", "raw_html", "status_code")
+    old = site.where("xxhash64(url) % 2 = 0")
+    new = site.where("xxhash64(url) % 2 <> 0").withColumnRenamed("raw_html", "html")
+    old.write.json(f"{path}/pages/part=0")
+    new.write.json(f"{path}/pages/part=1")
+    read = P.read_pages(spark, f"{path}/pages", "json")
+    return crawling.crawl(read, SEED, max_depth=4, max_pages=None).drop("page_id")
+
+
+@query
+def csv_pages(spark, d):
+    path = shared_dir(spark)
+    pages(spark, d).select("page_id", "url", F.col("raw_html").alias("html")).write.option("header", True).option("escape", '"').csv(path)
+    found = extract(P.read_pages(spark, path, "csv"), "links")
+    return found.select("page_id", "value", "source_url", *meta("link_type", "anchor_text", "rel"))
+
+
 def _page_stream(spark, d) -> DataFrame:
     schema = spark.read.parquet(f"{d}/pages.parquet").schema
     return streams.read_page_stream(spark, d, schema, glob="pages.parquet")
@@ -673,7 +808,7 @@ def _page_stream(spark, d) -> DataFrame:
 @query
 def stream_extract(spark, d):
     path = shared_dir(spark)
-    items = streams.stream_extract(_page_stream(spark, d), Registry(built_in=["links", "metadata"]))
+    items = streams.stream_extract(_page_stream(spark, d))
     streams.run_available(items.drop("ord"), f"{path}/out", f"{path}/state")
     out = spark.read.parquet(f"{path}/out")
     return out.select("page_id", "type", "value", "source_url")
@@ -704,8 +839,9 @@ def _drain(df: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_stats(spark, d):
-    counts = streams.stream_stats(_page_stream(spark, d), Registry(built_in=["links", "metadata"]))
-    return _drain(counts, "stats").select("pages_crawled", "pages_errored", "items_extracted", "link", "metadata")
+    timed = _page_stream(spark, d).withColumn("fetched_at", F.timestamp_seconds(F.col("page_id") * 2))
+    counts = _drain(streams.stream_stats(timed), "stats")
+    return counts.withColumn("pages_per_sec", F.round("pages_per_sec", 6))
 
 
 @query

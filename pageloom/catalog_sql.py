@@ -6,6 +6,8 @@ ones over derived corpora never look at HTML.
 
 from __future__ import annotations
 
+from pageloom.operators.assets import FILE_TYPES
+from pageloom.operators.social import PLATFORMS
 from pageloom.schema import ITEM_TYPES
 
 ORACLE: dict[str, str] = {}
@@ -118,7 +120,7 @@ ORACLE["decoded_entities"] = f"SELECT page_id, {_text('html')} AS decoded FROM p
 ORACLE["clip_body"] = f"""SELECT page_id, raw_html, strlen(raw_html) AS response_size FROM (
   SELECT page_id, {_cut("html", 1000, "''")} AS raw_html FROM pages)"""
 ORACLE["truncated_text"] = f"SELECT doc_id, {_cut('text', 200)} AS text FROM documents"
-ORACLE["trimmed_text"] = r"""SELECT doc_id, regexp_replace(substr(text, 1, 50),
+ORACLE["trimmed_text"] = r"""SELECT doc_id, regexp_replace(text,
   '^[\s\x0b\x{85}\x{a0}\x{3000}]+|[\s\x0b\x{85}\x{a0}\x{3000}]+$', '', 'g') AS text FROM documents"""
 
 # ---- customer pages
@@ -126,6 +128,8 @@ ORACLE["trimmed_text"] = r"""SELECT doc_id, regexp_replace(substr(text, 1, 50),
 _C = "CAST(c_custkey AS BIGINT) * 8 + 3"
 _S = "https://shop.test"
 _CUST = f"(SELECT *, {_C} AS page_id, '{_S}/c/' || c_custkey || '?ref=n' AS url FROM customer) c"
+# the pages that could be fetched: only these give items
+_LIVE = _CUST.replace("FROM customer)", "FROM customer WHERE c_custkey % 97 != 13)")
 
 ORACLE["base_urls"] = f"""SELECT page_id, CASE WHEN c_custkey % 4 = 1 THEN url || '#x' ELSE url END AS base FROM {_CUST}"""
 ORACLE["provenance"] = f"""SELECT page_id, url AS final_url, 'http' AS fetcher_used, 0 AS depth, true AS timed
@@ -142,15 +146,15 @@ FROM {_CUST}"""
 
 _SITE_LINKS = f"""(
   SELECT page_id, i AS pos, '{_S}/c/' || (25 + 20 * c_custkey + i) || '?ref=n' AS value, 'internal' AS link_type,
-    'c' AS anchor_text, NULL AS rel FROM {_CUST}, range(20) r(i)
-  UNION ALL SELECT page_id, 20, '{_S}/o/' || c_custkey || '#lines', 'internal', 'order', 'nofollow' FROM {_CUST}
-  UNION ALL SELECT page_id, 21, 'https://github.com/cust' || c_custkey, 'external', 'gh', NULL FROM {_CUST}
-  UNION ALL SELECT page_id, 22, '{_S}/d/' || c_custkey || '.pdf', 'internal', 'invoice', NULL FROM {_CUST})"""
+    'c' AS anchor_text, NULL AS rel FROM {_LIVE}, range(20) r(i)
+  UNION ALL SELECT page_id, 20, '{_S}/o/' || c_custkey || '#lines', 'internal', 'order', 'nofollow' FROM {_LIVE}
+  UNION ALL SELECT page_id, 21, 'https://github.com/cust' || c_custkey, 'external', 'gh', NULL FROM {_LIVE}
+  UNION ALL SELECT page_id, 22, '{_S}/d/' || c_custkey || '.pdf', 'internal', 'invoice', NULL FROM {_LIVE})"""
 ORACLE["links_site"] = f"SELECT page_id, value, link_type, anchor_text, rel FROM {_SITE_LINKS}"
 ORACLE["links_by_type"] = f"SELECT link_type, count(*) AS n FROM {_SITE_LINKS} GROUP BY 1"
 ORACLE["social"] = f"""SELECT page_id, 'https://github.com/cust' || c_custkey AS value, 'github' AS platform,
-  'gh' AS anchor_text FROM {_CUST}"""
-ORACLE["http_urls"] = f"SELECT page_id, 'https://github.com/cust' || c_custkey AS value FROM {_CUST}"
+  'gh' AS anchor_text FROM {_LIVE}"""
+ORACLE["http_urls"] = f"SELECT page_id, 'https://github.com/cust' || c_custkey AS value FROM {_LIVE}"
 
 _EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
 
@@ -166,7 +170,7 @@ def _emails(table: str, key: str, html: str, denied: bool = False) -> str:
 
 
 _DOC = "'<p>' || text || '</p>'"
-_SITE_EMAILS = f"SELECT page_id, 'cust' || c_custkey || '@shop.test' AS value, 'mailto_link' AS source FROM {_CUST}"
+_SITE_EMAILS = f"SELECT page_id, 'cust' || c_custkey || '@shop.test' AS value, 'mailto_link' AS source FROM {_LIVE}"
 ORACLE["emails"] = _emails("documents", "doc_id", _DOC)
 ORACLE["emails_pages"] = _emails("pages", "page_id", "html")
 ORACLE["emails_default_deny"] = _emails("documents", "doc_id", _DOC, True) + " UNION ALL " + _SITE_EMAILS
@@ -185,7 +189,7 @@ WHERE length(normalized) >= 7 GROUP BY page_id, normalized"""
 
 _TEL = "'+1-555-010-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')"
 _SITE_PHONES = f"""SELECT page_id, {_TEL} AS value, replace({_TEL}, '-', '') AS normalized,
-  'tel_link' AS source FROM {_CUST}"""
+  'tel_link' AS source FROM {_LIVE}"""
 ORACLE["phones"] = _phones("documents", "doc_id", _DOC)
 ORACLE["phones_site"] = _SITE_PHONES
 ORACLE["normalized_phones"] = "SELECT doc_id, regexp_replace(text, '[^+0-9]', '', 'g') AS digits FROM documents"
@@ -193,8 +197,8 @@ ORACLE["normalized_phones"] = "SELECT doc_id, regexp_replace(text, '[^+0-9]', ''
 _INPUTS = "'input[name=q,type=text,placeholder=Qty] | select[name=size,type=] | textarea[name=,type=]'"
 ORACLE["forms"] = f"""SELECT page_id, 'FORM#1 POST /buy (3 inputs)' AS value, 'POST' AS method, '/buy' AS action,
   'f' || c_custkey AS id, '3' AS input_count, {_INPUTS} AS inputs, CAST(NULL AS VARCHAR) AS enctype,
-  CAST(NULL AS VARCHAR) AS name FROM {_CUST}
-UNION ALL SELECT page_id, 'FORM#2 GET  (0 inputs)', 'GET', NULL, NULL, '0', NULL, NULL, NULL FROM {_CUST}"""
+  CAST(NULL AS VARCHAR) AS name FROM {_LIVE}
+UNION ALL SELECT page_id, 'FORM#2 GET  (0 inputs)', 'GET', NULL, NULL, '0', NULL, NULL, NULL FROM {_LIVE}"""
 ORACLE["form_fields"] = f"""SELECT page_id, unnest([0, 0, 0, 1]) AS parent, unnest([0, 1, 2, 0]) AS pos,
   unnest(['input', 'select', 'textarea', 'input']) AS tag, unnest(['q', 'size', NULL, NULL]) AS name FROM {_CUST}"""
 
@@ -225,7 +229,7 @@ _SITE_META = {
 def _site_meta(*fields: str) -> str:
     return " UNION ALL ".join(
         f"SELECT page_id, {_SITE_META[f]} AS value, '{f}' AS field, "
-        f"""CAST({"'0'" if f == "json-ld" else "NULL"} AS VARCHAR) AS "index" FROM {_CUST}"""
+        f"""CAST({"'0'" if f == "json-ld" else "NULL"} AS VARCHAR) AS "index" FROM {_LIVE}"""
         for f in fields
     )
 
@@ -252,7 +256,7 @@ _EXTRA = ("alt", "width", "height", "media_type", "script_type", "async", "defer
 _SITE_ASSETS = "(" + " UNION ALL ".join(
     f"SELECT page_id, '{_S}' || {path} AS value, '{kind}' AS asset_type, '{tag}' AS tag, '{ext}' AS extension, "
     + ", ".join(f'CAST({extra.get(k, "NULL")} AS VARCHAR) AS "{k}"' for k in _EXTRA)
-    + f" FROM {_CUST}"
+    + f" FROM {_LIVE}"
     for kind, path, tag, ext, extra in _ASSETS
 ) + ")"
 ORACLE["assets_all"] = f"SELECT * FROM {_SITE_ASSETS}"
@@ -311,26 +315,57 @@ FROM {_SITE_ITEMS}"""
 ORACLE["items_by_type"] = f"SELECT type, count(*) AS n FROM {_SITE_ITEMS} GROUP BY 1"
 ORACLE["written_items"] = ORACLE["items_by_type"]
 ORACLE["page_item_counts"] = (
-    f"SELECT page_id, {', '.join(f'{n} AS {t}' for t, n in _SITE_TYPES.items())} FROM {_CUST}"
+    f"SELECT page_id, {', '.join(f'{n} AS {t}' for t, n in _SITE_TYPES.items())} FROM {_LIVE}"
 )
 _LABEL = "[link:23 form:2 email:1 phone:1 social:1 meta:7 asset:11]"
-ORACLE["count_labels"] = f"SELECT page_id, '{_LABEL}' AS label FROM {_CUST}"
+ORACLE["count_labels"] = f"""SELECT page_id, CASE WHEN c_custkey % 97 = 13 THEN '' ELSE '{_LABEL}' END AS label
+FROM {_CUST}"""
 ORACLE["items_with_pages"] = f"""SELECT page_id, CASE WHEN c_custkey % 97 = 13 THEN 404 ELSE 200 END AS status_code,
-  23 AS n FROM {_CUST}"""
+  CASE WHEN c_custkey % 97 = 13 THEN 0 ELSE 23 END AS n FROM {_CUST}"""
 ORACLE["page_result_sizes"] = f"""
-SELECT 0 AS page_id, 7 AS n_items, '{_S}/r/0' AS first_value, '{_S}/' AS source_url
-UNION ALL SELECT r_regionkey * 8 + 1, 7, '{_S}/n/' || r_regionkey || '/', '{_S}/r/' || r_regionkey FROM region
+SELECT 0 AS page_id, count(*) + 2 AS n_items, '{_S}/r/' || min(r_regionkey) AS first_value, '{_S}/' AS source_url FROM region
+UNION ALL SELECT r_regionkey * 8 + 1, count(*) + 2, '{_S}/n/' || min(n_nationkey) || '/', '{_S}/r/' || r_regionkey
+  FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
 UNION ALL SELECT n_nationkey * 8 + 2, 2, '{_S}/c/' || n_nationkey || '?ref=n', '{_S}/n/' || n_nationkey FROM nation
-UNION ALL SELECT page_id, {sum(_SITE_TYPES.values())}, '{_S}/c/' || (25 + 20 * c_custkey) || '?ref=n', url FROM {_CUST}
+UNION ALL SELECT page_id, {sum(_SITE_TYPES.values())}, '{_S}/c/' || (25 + 20 * c_custkey) || '?ref=n', url FROM {_LIVE}
+UNION ALL SELECT page_id, 0, NULL, NULL FROM {_CUST} WHERE c_custkey % 97 = 13
 UNION ALL SELECT o_orderkey * 8 + 4, 2, '{_S}/c/' || o_custkey || '?ref=n', '{_S}/o/' || o_orderkey FROM orders"""
 ORACLE["custom_extractors"] = f"""SELECT page_id, 'shout' AS type, upper(url) AS value, CAST(length(url) AS VARCHAR) AS n
-FROM {_CUST} WHERE page_id % 16 != 11
-UNION ALL SELECT page_id, 'status', CASE WHEN c_custkey % 97 = 13 THEN '404' ELSE '200' END, NULL FROM {_CUST}"""
+FROM {_LIVE} WHERE page_id % 16 != 11
+UNION ALL SELECT page_id, 'status', '200', NULL FROM {_LIVE}"""
 ORACLE["custom_errors"] = f"""SELECT page_id, url, 'shout' AS extractor, 'ValueError: cannot read this page' AS error
-FROM {_CUST} WHERE page_id % 16 = 11"""
+FROM {_LIVE} WHERE page_id % 16 = 11"""
+ORACLE["custom_results"] = f"""SELECT page_id, CASE WHEN c_custkey % 97 = 13 THEN ''
+  WHEN page_id % 16 = 11 THEN 'metadata,status' ELSE 'metadata,shout,status' END AS kinds FROM {_CUST}"""
+ORACLE["custom_report"] = f"""SELECT page_id, '      +-- ' || type || ': ' || value AS line FROM ({ORACLE["custom_extractors"]})"""
+_CUSTOM_TYPES = f"""(SELECT unnest(['metadata', 'shout', 'status']) AS type,
+  unnest([7 * count(*), count(*) FILTER (page_id % 16 != 11), count(*)]) AS n FROM {_LIVE})"""
+ORACLE["custom_stats"] = f"SELECT sum(n) OVER () AS total_items, type, n FROM {_CUSTOM_TYPES}"
+ORACLE["custom_frame_errors"] = f"SELECT type, n FROM {_CUSTOM_TYPES} UNION ALL SELECT 'broken', -1"
 ORACLE["written_results"] = f"""SELECT url, CASE WHEN c_custkey % 97 = 13 THEN '404' ELSE '200' END AS status_code,
   CAST(NULL AS VARCHAR) AS raw_html, CAST(NULL AS VARCHAR) AS error,
-  '{_S}/c/' || (25 + 20 * c_custkey) || '?ref=n' AS first_value FROM {_CUST}"""
+  '{_S}/c/' || (25 + 20 * c_custkey) || '?ref=n' AS first_value FROM {_LIVE}"""
+
+# ---- pages that differ by key
+
+_PLATFORM_NAMES, _PLATFORM_HOSTS = list(PLATFORMS), [p[0] for p in PLATFORMS.values()]
+_FILES, _KINDS = list(FILE_TYPES), list(FILE_TYPES.values())
+_VARIED = f"""(SELECT c_custkey AS k, CAST(c_custkey AS BIGINT) * 8 + 5 AS page_id, '{_S}/v/' AS base,
+  {_PLATFORM_NAMES}[c_custkey % {len(PLATFORMS)} + 1] AS platform,
+  'https://' || {_PLATFORM_HOSTS}[c_custkey % {len(PLATFORMS)} + 1] || 'u' || c_custkey AS profile,
+  {_FILES}[c_custkey % {len(FILE_TYPES)} + 1] AS extension, {_KINDS}[c_custkey % {len(FILE_TYPES)} + 1] AS kind
+  FROM customer)"""
+ORACLE["varied_social"] = f"SELECT page_id, profile AS value, platform, 'me & you' AS anchor_text FROM {_VARIED}"
+ORACLE["varied_files"] = f"""SELECT page_id, base || k || '/files/' || k || upper(extension) || '?v=1' AS value,
+  kind AS asset_type, 'a' AS tag, extension FROM {_VARIED}"""
+ORACLE["varied_metadata"] = f"""SELECT page_id, 'A < B ' || k AS value, 'h' || (k % 6 + 1) AS field,
+  CAST(NULL AS VARCHAR) AS "index" FROM {_VARIED}
+UNION ALL SELECT page_id, 'de', 'language', NULL FROM {_VARIED}
+UNION ALL SELECT page_id, '{{"n": ' || k || '}}', 'json-ld', CAST(i AS VARCHAR) FROM {_VARIED}, range(2) t(i) WHERE i < k % 3"""
+ORACLE["varied_links"] = f"""SELECT page_id, profile AS value, 'external' AS link_type, 'me & you' AS anchor_text FROM {_VARIED}
+UNION ALL SELECT page_id, base || k || '/files/' || k || upper(extension) || '?v=1', 'internal', 'f' FROM {_VARIED}
+UNION ALL SELECT page_id, base || 'up/' || k, 'internal', 'up' FROM {_VARIED}
+UNION ALL SELECT page_id, base || k || '/same/' || k, 'internal', 'same' FROM {_VARIED}"""
 
 # ---- crawling
 
@@ -344,10 +379,12 @@ def _crawl(depth: int, external: bool = False, query: str = "?ref=n") -> str:
   UNION ALL SELECT '{_S}/c/' || c_custkey || '{query}', c_custkey % 97 != 13 FROM customer
   UNION ALL SELECT '{_S}/o/' || o_orderkey, true FROM orders
 ), edges AS (SELECT * FROM (
-  SELECT '{_S}/' AS src, '{_S}/r/' || i AS dst, i AS pos, true AS internal FROM range(5) t(i)
-  UNION ALL SELECT '{_S}/', 'https://partner.test/', 5, false
-  UNION ALL SELECT '{_S}/r/' || r_regionkey, '{_S}/n/' || (r_regionkey + 5 * i), i, true FROM region, range(5) t(i)
-  UNION ALL SELECT '{_S}/r/' || r_regionkey, '{_S}/', 5, true FROM region
+  SELECT '{_S}/' AS src, '{_S}/r/' || r_regionkey AS dst, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos,
+    true AS internal FROM region
+  UNION ALL SELECT '{_S}/', 'https://partner.test/', count(*), false FROM region
+  UNION ALL SELECT '{_S}/r/' || n_regionkey, '{_S}/n/' || n_nationkey,
+    row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1, true FROM nation
+  UNION ALL SELECT '{_S}/r/' || r_regionkey, '{_S}/', (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey), true FROM region
   UNION ALL SELECT '{_S}/n/' || n_nationkey, '{_S}/c/' || n_nationkey || '{query}', 0, true FROM nation
   UNION ALL SELECT '{_S}/c/' || c_custkey || '{query}', '{_S}/c/' || (25 + 20 * c_custkey + i) || '{query}', i, true
     FROM customer, range(20) t(i) WHERE c_custkey % 97 != 13
@@ -372,9 +409,18 @@ def _crawl(depth: int, external: bool = False, query: str = "?ref=n") -> str:
 
 ORACLE["crawl_depth3"] = _crawl(3) + " SELECT * FROM reached WHERE rank < 500"
 ORACLE["crawl_capped"] = _crawl(4) + " SELECT * FROM reached WHERE rank < 500"
-ORACLE["crawl_external"] = _crawl(4, external=True) + " SELECT url, depth, status FROM reached"
-ORACLE["crawl_deep"] = _crawl(7) + " SELECT url, depth, status FROM reached"
-ORACLE["crawl_no_query"] = _crawl(4, query="") + " SELECT url, depth, status FROM reached"
+ORACLE["crawl_external"] = _crawl(4, external=True) + " SELECT * FROM reached"
+ORACLE["crawl_deep"] = _crawl(7) + " SELECT * FROM reached"
+ORACLE["crawl_no_query"] = _crawl(4, query="") + " SELECT * FROM reached"
+ORACLE["crawl_recaptured"] = ORACLE["json_pages"] = _crawl(4) + " SELECT * FROM reached"
+_MOVED = "CASE WHEN n_nationkey % 2 = 1 THEN 'https://moved.test' ELSE 'https://shop.test' END"
+# pages of the other host are queued, never fetched, and lead nowhere
+ORACLE["crawl_redirected"] = (
+    (_crawl(5) + " SELECT * FROM reached")
+    .replace(f"'{_S}/c/' || n_nationkey", f"{_MOVED} || '/c/' || n_nationkey")
+    .replace("CASE WHEN nodes.url IS NULL", "CASE WHEN first.url LIKE 'https://moved.test/%' THEN 'error' WHEN nodes.url IS NULL")
+)
+ORACLE["csv_pages"] = ORACLE["links"]
 _PER_KIND = (
     [("c", t, n) for t, n in _SITE_TYPES.items() if n]
     + [("", "link", 6), ("", "metadata", 1), ("r", "link", 6), ("r", "metadata", 1)]
@@ -398,10 +444,6 @@ _TOTALS = f"""(SELECT count(*) FILTER (event_type = 'page_queued') AS pages_queu
   count(*) FILTER (event_type = 'page_done') AS pages_crawled,
   count(*) FILTER (event_type = 'page_error') AS pages_errored, min(ts) AS started_at, max(ts) AS finished_at,
   (epoch_us(max(ts)) - epoch_us(min(ts))) * 1000 AS elapsed_ns FROM {_LOG})"""
-ORACLE["crawl_stats"] = f"""WITH {_LINKS}
-SELECT pages_queued, pages_crawled, pages_errored, n AS items_extracted, n AS links, elapsed_ns,
-  round(pages_crawled / (elapsed_ns / 1e9), 6) AS pages_per_sec
-FROM {_TOTALS}, (SELECT count(*) AS n FROM page_links)"""
 _ALL_ITEMS = f"WITH {_LINKS}, items AS ({_PAGE_ITEMS})"
 _COUNTS = ", ".join(f"nullif(count(*) FILTER (type = '{t}'), 0) AS n_{t}" for t in ITEM_TYPES)
 _SUMMARY = f"""{_ALL_ITEMS}, summary AS (
@@ -409,6 +451,11 @@ _SUMMARY = f"""{_ALL_ITEMS}, summary AS (
     pages_crawled AS total_pages, pages_errored AS total_errors, i.* FROM {_TOTALS},
     (SELECT count(*) AS total_items, {_COUNTS} FROM items) i)"""
 ORACLE["crawl_summary"] = _SUMMARY + " SELECT * FROM summary"
+ORACLE["crawl_stats"] = f"""{_ALL_ITEMS} SELECT pages_queued, pages_crawled, pages_errored, items_extracted,
+  i.* EXCLUDE (items_extracted), elapsed_ns, round(pages_crawled / (elapsed_ns / 1e9), 6) AS pages_per_sec
+FROM {_TOTALS}, (SELECT count(*) AS items_extracted, {_COUNTS} FROM items) i"""
+ORACLE["custom_writer"] = f"""{_SUMMARY} SELECT url AS name, {sum(_SITE_TYPES.values())} AS n FROM {_LIVE}
+UNION ALL SELECT target_url, total_items FROM summary"""
 ORACLE["status_classes"] = f"""SELECT CASE WHEN status_code BETWEEN 200 AND 299 THEN '2xx'
   WHEN status_code BETWEEN 300 AND 399 THEN '3xx' WHEN status_code >= 400 THEN 'error' ELSE 'other' END
   AS status_class, count(*) AS n FROM {_LOG} GROUP BY 1"""
@@ -429,14 +476,21 @@ ORACLE["durations"] = f"""SELECT event_id, {_duration("ns")} AS duration FROM (
 _REPORT_ITEMS = [
     "'form: FORM#1 POST /buy (3 inputs)'",
     "'form: FORM#2 GET  (0 inputs)'",
+    "'email: cust' || c_custkey || '@shop.test'",
+    f"'phone: ' || {_TEL}",
+    "'social: https://github.com/cust' || c_custkey",
     *[f"'metadata: ' || {v}" for v in _SITE_META.values()],
+    *[f"'asset: {_S}' || {path}" for _, path, *_ in _ASSETS],
 ]
 ORACLE["report_lines"] = f"""SELECT page_id, 0 AS line_no, '  [' || CASE WHEN c_custkey % 97 = 13 THEN 404 ELSE 200 END ||
-  '] ' || url || ' (' || {_duration("((c_custkey * 37000000) % 90000000000)")} || ') [form:2 meta:7]' AS line FROM {_CUST}
+  '] ' || url || ' (' || {_duration("((c_custkey * 37000000) % 90000000000)")} || ') {_LABEL}' AS line FROM {_LIVE}
 """ + " ".join(
-    f"UNION ALL SELECT page_id, {i}, '      +-- ' || {item} FROM {_CUST}"
-    for i, item in enumerate(_REPORT_ITEMS, 1)
-)
+    f"UNION ALL SELECT page_id, {i}, '      +-- ' || {item} FROM {_LIVE}"
+    for i, item in enumerate(_REPORT_ITEMS, _SITE_TYPES["link"] + 1)
+) + f" UNION ALL SELECT page_id, pos + 1, '      +-- link: ' || value FROM {_SITE_LINKS}"
+ORACLE["written_report"] = f"""SELECT '+-- ' || type AS kind, n FROM ({ORACLE["items_by_type"]})
+UNION ALL SELECT '[200]', count(*) FROM {_LIVE}
+UNION ALL SELECT unnest(['Crawl', 'Pages', 'Items', 'Types']), 1"""
 _TYPE_LIST = ", ".join(f"'{t}:' || n_{t}" for t in ITEM_TYPES)
 ORACLE["summary_lines"] = f"""{_SUMMARY} SELECT unnest([0, 1, 2, 3]) AS line_no, unnest(['  Crawl complete',
   '    Pages:  ' || total_pages || ' crawled, ' || total_errors || ' errors',
@@ -447,12 +501,11 @@ ORACLE["report_header"] = """SELECT unnest([0, 1]) AS line_no, unnest(['  Target
 
 # ---- streams
 
-ORACLE["stream_extract"] = f"""WITH {_LINKS}
-SELECT page_id, 'link' AS type, value, url AS source_url FROM page_links
-UNION ALL SELECT page_id, 'metadata', value, url FROM {_PAGE_META}"""
+ORACLE["stream_extract"] = ORACLE["extract_all_pages"]
 ORACLE["stream_new_urls"] = f"WITH {_LINKS} SELECT DISTINCT rtrim(value, '/') AS url FROM page_links"
-ORACLE["stream_stats"] = f"""WITH {_LINKS}, n AS (SELECT (SELECT count(*) FROM page_links) AS l,
-  (SELECT count(*) FROM {_PAGE_META}) AS m)
-SELECT (SELECT count(*) FROM pages) AS pages_crawled, 0 AS pages_errored, l + m AS items_extracted, l AS link,
-  m AS metadata FROM n"""
+_EACH = ", ".join(f"count(*) FILTER (type = '{t}') AS {t}" for t in ITEM_TYPES)
+ORACLE["stream_stats"] = f"""{_ALL_ITEMS} SELECT p.*, i.* FROM
+  (SELECT count(*) AS pages_crawled, 0 AS pages_errored,
+    round(count(*) / (2.0 * (max(page_id) - min(page_id))), 6) AS pages_per_sec FROM pages) p,
+  (SELECT count(*) AS items_extracted, {_EACH} FROM items) i"""
 ORACLE["stream_event_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY 1"

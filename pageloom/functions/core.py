@@ -15,20 +15,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _fresh = count()
-_parsed: dict[tuple[str, str], Column] = {}
 
 
 def expr(text: str) -> Column:
-    """``F.expr`` that parses a text once per application."""
-    key = (SparkContext._active_spark_context.applicationId, text)
-    if key not in _parsed:
-        _parsed[key] = F.expr(text)
-    return _parsed[key]
+    return F.expr(text)
 
 
 def lit(text: str) -> str:

@@ -6,7 +6,10 @@ as a whole, and a ``>`` or a tag name inside a quoted attribute value ends
 nothing. There is no tree repair: implied end tags and misnesting are ignored.
 
 All loops in the patterns are possessive, so Java's regex engine neither
-recurses nor backtracks, and every character is passed a fixed number of times.
+recurses nor backtracks. A tag start without an end would be searched for to the
+end of the document, again and again; there can only be such starts behind the
+last ``>``, where ``<`` is made plain text beforehand (``sealed_sql``). So every
+character is passed a fixed number of times, whatever the markup.
 """
 
 from __future__ import annotations
@@ -20,10 +23,24 @@ _RCDATA = ("textarea", "title")
 
 EMPTY = "''"
 
+# Stands for a '<' that starts no tag; a code point no text can use.
+_PLAIN = "\uFDD0"
+
 _END = r"(?=[\s/>])"
 _ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+"
 
 
+def sealed_sql(html: str) -> str:
+    """HTML in which no tag starts behind the last ``>``; comments may."""
+
+    def seal(tail: str) -> str:
+        head = f"left({html}, length({html}) - length({tail}))"
+        plain = f"regexp_replace({tail}, '<(?!!--)', {lit(_PLAIN)})"
+        return f"IF(contains({tail}, '<'), concat({head}, {plain}), {html})"
+
+    return let(f"substring_index({html}, '>', -1)", seal)
+
+
 def _raw_element(names: str, group: int) -> str:
     """A raw-text element up to its end tag or the end of the document.
 
@@ -143,8 +160,11 @@ def text_sql(tag: str, element: str, table: str = ENTITY_TABLE) -> str:
         coded = f"NOT ({in_list(tag, RAW_TEXT.split('|'))}) OR {in_list(tag, _RCDATA)}"
         return f"IF({coded}, {decoded}, {newlines})"
 
+    def unsealed(t: str) -> str:
+        return f"IF(contains({t}, {lit(_PLAIN)}), replace({t}, {lit(_PLAIN)}, '<'), {t})"
+
     is_raw = in_list(tag, RAW_TEXT.split("|"))
-    return trim_space_sql(let(f"IF({is_raw}, {raw}, {markup})", finished))
+    return trim_space_sql(let(let(f"IF({is_raw}, {raw}, {markup})", finished), unsealed))
 
 
 _WITH_TEXT = ("a", "h1", "h2", "h3", "h4", "h5", "h6", *RAW_TEXT.split("|"))
@@ -159,6 +179,10 @@ def elements_sql(
     """array<struct<pos, tag, attrs, text>> of the elements in document order.
 
     ``text`` is NULL for elements of which only the start tag is taken."""
+    return let(sealed_sql(html), lambda h: _elements(h, names, with_text, table))
+
+
+def _elements(html: str, names: tuple[str, ...] | None, with_text: bool, table: str) -> str:
     return _parsed(_pieces(html, element_pattern(names)), with_text, table)
 
 
@@ -182,6 +206,10 @@ def _parsed(pieces: str, with_text: bool, table: str) -> str:
 
 def containers_sql(html: str, name: str) -> str:
     """array<string>: the markup of every element ``name`` with its content."""
+    return let(sealed_sql(html), lambda h: _containers(h, name))
+
+
+def _containers(html: str, name: str) -> str:
     return _pieces(html, container_pattern(name))
 
 
@@ -194,26 +222,26 @@ def document_sql(html: str, names: tuple[str, ...], inside: dict[str, tuple[str,
     entity table is bound once for all.
     """
 
-    def contained(container: str, table: str) -> str:
+    def contained(h: str, container: str, table: str) -> str:
         wanted = element_pattern(inside[container])
         found = each(
-            containers_sql(html, container), lambda c: _parsed(_pieces(c, wanted), False, table)
+            _containers(h, container), lambda c: _parsed(_pieces(c, wanted), False, table)
         )
-        return f"IF({_occurs(html, [container])}, {found}, array())"
+        return f"IF({_occurs(h, [container])}, {found}, array())"
 
-    def build(table: str) -> str:
-        elements = elements_sql(html, names, True, table)
+    def build(h: str, table: str) -> str:
+        elements = _elements(h, names, True, table)
         if not inside:
             return struct(elements=elements)
         return let(
-            _occurs(html, list(inside)),
+            _occurs(h, list(inside)),
             lambda some: struct(
                 elements=elements,
-                **{c: f"IF({some}, {contained(c, table)}, array())" for c in inside},
+                **{c: f"IF({some}, {contained(h, c, table)}, array())" for c in inside},
             ),
         )
 
-    return let(ENTITY_TABLE, build)
+    return let(sealed_sql(html), lambda h: let(ENTITY_TABLE, lambda table: build(h, table)))
 
 
 def _occurs(html: str, names: list[str]) -> str:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.operators import api, assets, emails, forms, links, metadata, phones, social
+from pageloom.plans.checkpoints import stored
 from pageloom.schema import ITEM, PAGE, PAGE_ITEM
+from pageloom.sources.pages import as_pages, is_ok
 
 log = logging.getLogger(__name__)
 
@@ -34,6 +36,8 @@ def guarded(name: str, fn: Callable[[dict], Iterable], columns: list[str]) -> Co
     """
 
     def run(row):
+        if row is None:
+            return ([], None)
         try:
             found = []
             for pos, x in enumerate(fn(row.asDict()) or ()):
@@ -43,7 +47,8 @@ def guarded(name: str, fn: Callable[[dict], Iterable], columns: list[str]) -> Co
         except Exception as e:  # noqa: BLE001 - user code, any failure is theirs
             return ([], f"{type(e).__name__}: {e}")
 
-    return F.udf(run, _ROW_RESULT, useArrow=True)(F.struct(*columns))
+    # failed fetches reach the function as NULL: it is never called for them
+    return F.udf(run, _ROW_RESULT, useArrow=True)(F.when(is_ok(), F.struct(*columns)))
 
 
 @dataclass
@@ -81,25 +86,29 @@ class Registry:
     def names(self) -> list[str]:
         return [*self.built_in, *self.rows, *self.frames]
 
-    def frame_items(self, pages: DataFrame) -> list[DataFrame]:
-        """Items of the frame-level extractors; one that fails is left out."""
+    def frame_items(self, pages: DataFrame) -> list[tuple[str, DataFrame | None, str | None]]:
+        """(name, items, error) of every frame-level extractor, over pages that were fetched.
+
+        Each runs here, into the shared folder, so that one that fails while it runs
+        costs its own items and nothing else. On a stream nothing can run ahead."""
         out = []
+        good = as_pages(pages).where(is_ok())
         for name, fn in self.frames.items():
             try:
-                items = fn(pages)
+                items = fn(good)
                 have = set(items.columns)
-                out.append(
-                    items.select(
-                        *[
-                            (F.col(f.name) if f.name in have else F.lit(None))
-                            .cast(f.dataType)
-                            .alias(f.name)
-                            for f in ITEM.fields
-                        ]
-                    )
+                items = items.select(
+                    *[
+                        (F.col(f.name) if f.name in have else F.lit(None))
+                        .cast(f.dataType)
+                        .alias(f.name)
+                        for f in ITEM.fields
+                    ]
                 )
-            except Exception:  # noqa: BLE001 - user code, the others must run
+                out.append((name, items if pages.isStreaming else stored(items), None))
+            except Exception as e:  # noqa: BLE001 - user code, the others must run
                 log.exception("extractor %s failed and is skipped", name)
+                out.append((name, None, f"{type(e).__name__}: {e}"))
         return out
 
 

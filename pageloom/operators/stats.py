@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import expr
+from pageloom.functions.core import expr, lit
 from pageloom.schema import ITEM_TYPES
 from pageloom.sources.pages import status_class
 
@@ -22,12 +22,12 @@ def items_by_type(items: DataFrame) -> DataFrame:
     return items.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def type_counts(with_items: DataFrame) -> DataFrame:
+def type_counts(with_items: DataFrame, types: tuple[str, ...] = ITEM_TYPES) -> DataFrame:
     """Add one count column per item type to a ``page_items`` table, in its rows."""
     # one pass over the array, then one lookup per type
-    types = with_items.withColumn("_types", expr("transform(items, i -> i.type)"))
-    return types.withColumns(
-        {t: expr(f"CAST(size(filter(_types, t -> t = '{t}')) AS BIGINT)") for t in ITEM_TYPES}
+    listed = with_items.withColumn("_types", expr("transform(items, i -> i.type)"))
+    return listed.withColumns(
+        {t: expr(f"CAST(size(filter(_types, t -> t = {lit(t)})) AS BIGINT)") for t in types}
     ).drop("_types")
 
 
@@ -49,18 +49,12 @@ def count_label() -> Column:
     return expr(f"IF({' + '.join(ITEM_TYPES)} > 0, concat('[', {joined}, ']'), '')")
 
 
-def _type_map(counts: dict[str, str]) -> Column:
-    pairs = ", ".join(f"'{t}', {c}" for t, c in counts.items())
-    return expr(f"map_filter(map({pairs}), (k, n) -> n > 0)")
-
-
 def item_totals(items: DataFrame) -> DataFrame:
-    """One row: total_items and the map items_by_type."""
-    counts = items.agg(
-        F.count("*").alias("total_items"),
-        *[F.count_if(F.col("type") == t).alias(t) for t in ITEM_TYPES],
+    """One row: total_items and the map items_by_type, of whatever types there are."""
+    return items_by_type(items).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_items"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("items_by_type"),
     )
-    return counts.select("total_items", _type_map({t: t for t in ITEM_TYPES}).alias("items_by_type"))
 
 
 def _log_totals(log: DataFrame) -> DataFrame:

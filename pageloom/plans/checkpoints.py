@@ -19,23 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="pageloom-")
 
 
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write a DataFrame into the shared folder and read it from there: columnar, with
+    sizes that the optimizer can see, and with no way back to how it was made."""
+    path = folder or shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the shared folder and forget how it was made."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
-
-
-def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """``cut``, partitioned by ``key`` in a way later joins on it can use.
-
-    Adaptive execution hides how its result is partitioned, so it is off for this
-    one job."""
-    conf = df.sparkSession.conf
-    adaptive, parts = conf.get("spark.sql.adaptive.enabled"), conf.get("spark.sql.shuffle.partitions")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(df.repartition(int(parts), key))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -1,10 +1,11 @@
 """Breadth-first expansion of a crawl over captured pages.
 
-The link graph has one node per canonical URL, holding whether its page was
-fetched and its outgoing links. Every level is a join of the frontier with the
-nodes, on a key that is unique on both sides; a URL to which a third of all
-pages link is reduced on the map side. Only the loop over the levels runs on the
-driver.
+The pages are read once, for the link graph: one node per canonical URL, with
+whether its page was fetched and where its links lead. The graph is a narrow
+table in the shared folder, for one crawl or for many. Every level joins the
+frontier with it, on a key that is unique on both sides; a URL to which a third
+of all pages link is reduced on the map side. Only the loop over the levels runs
+on the driver.
 
 Order: the reference takes URLs first in, first out. The place of a URL in that
 order is the list of link positions on its way from the seed, so it needs no
@@ -13,6 +14,8 @@ global numbering: level by level, lists compare like the ranks of a queue.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from pageloom.functions.core import each_indexed, expr, keep, struct
 from pageloom.functions.urls import canonical_sql, canonical_url, host_name, in_allowed_domain, with_scheme
 from pageloom.operators import links
 from pageloom.operators.items import inline_rows
-from pageloom.plans.checkpoints import cut, cut_by
+from pageloom.plans.checkpoints import cut, removed, shared_dir, stored
 from pageloom.plans.pipeline import extract_all, prepare
 from pageloom.sources.pages import as_pages, is_ok
 
@@ -28,9 +31,6 @@ from pageloom.sources.pages import as_pages, is_ok
 MAX_DEPTH = 3
 MAX_PAGES = 500
 
-# A table is broadcast up to this measured size.
-BROADCAST_BYTES = 10 * 1024 * 1024
-
 # Above this many rows a ranking is not left to a single task.
 _ONE_TASK_ROWS = 100_000
 
@@ -48,10 +48,12 @@ def _links_sql(ignore_query: bool) -> str:
 
 
 def with_links(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
-    """page_id, src_url (canonical), ok, links: array<struct<pos, dst_url, link_type>>."""
+    """page_id, src_url (canonical), fetched_at, ok, links: array<struct<pos, dst_url,
+    link_type>>; a failed fetch has none."""
     return prepare(pages, ["links"]).select(
         "page_id",
         canonical_url("url", ignore_query).alias("src_url"),
+        "fetched_at",
         is_ok().alias("ok"),
         expr(_links_sql(ignore_query)).alias("links"),
     )
@@ -64,17 +66,23 @@ def link_edges(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
     return edges.select("page_id", "src_url", "dst_url", "link_type", "pos")
 
 
-def site_graph(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
-    """One node per canonical URL: url, page_id, ok, links.
+def site_graph(pages: DataFrame, ignore_query: bool = False, folder: str | None = None) -> DataFrame:
+    """One node per canonical URL: url, page_id, ok, links; stored in ``folder`` or
+    below the shared one. Hand it to ``crawl`` for as many seeds as there are.
 
-    Of several captures of a URL the first (lowest page_id) counts. The choice is
-    an aggregate that combines on the map side, so very many captures of one URL
-    send one row per task."""
+    Of several captures of a URL the first counts, by time and then page_id (which
+    ``as_pages`` makes of the content where a table has none). The HTML is read once;
+    the choice is made on the captures' narrow columns, combined on the map side, so
+    very many captures of one URL send one row per task."""
+    work = shared_dir(pages.sparkSession)
     nodes = with_links(pages, ignore_query).where("src_url IS NOT NULL")
-    first = nodes.groupBy(F.col("src_url").alias("url")).agg(
-        F.min_by(F.struct("page_id", "ok", "links"), F.col("page_id")).alias("n")
-    )
-    return first.select("url", "n.page_id", "n.ok", "n.links")
+    captures = stored(nodes.withColumnRenamed("src_url", "url"), work)
+    first = captures.groupBy("url").agg(F.min(F.struct("fetched_at", "page_id")).alias("_first"))
+    chosen = first.select("url", F.col("_first.page_id").alias("page_id"))
+    graph = captures.join(chosen, ["url", "page_id"]).dropDuplicates(["url"])
+    graph = stored(graph.select("url", "page_id", "ok", "links"), folder)
+    removed(pages.sparkSession, work)
+    return graph
 
 
 def unique_paths(urls: DataFrame, column: str = "url", order: str = "page_id") -> DataFrame:
@@ -87,24 +95,22 @@ def unique_paths(urls: DataFrame, column: str = "url", order: str = "page_id") -
     )
 
 
-def _small(df: DataFrame, text_column: str) -> bool:
-    """Whether a materialised table is small enough to broadcast, by its bytes."""
-    size = df.agg(F.sum(F.octet_length(text_column) + 64)).first()[0] or 0
-    return size <= BROADCAST_BYTES
-
-
 def expand_once(
     frontier: DataFrame,
     visited: DataFrame,
     nodes: DataFrame,
     allow_external: bool = False,
     remaining: int | None = None,
+    domain: str | None = None,
 ) -> DataFrame:
     """The next level: url, depth, path of the URLs first seen now.
 
     ``frontier`` has url, depth, path (the place in the queue); ``remaining`` is
     how many URLs may still be admitted. Internal links only unless external
-    ones are allowed."""
+    ones are allowed. Pages outside ``domain`` are not followed: a crawl never
+    fetches them."""
+    if domain is not None:
+        frontier = frontier.where(in_allowed_domain("url", domain, allow_external))
     here = frontier.join(nodes.where("ok"), "url")
     followed = "links" if allow_external else "filter(links, l -> l.link_type = 'internal')"
     reached = inline_rows(
@@ -144,17 +150,6 @@ def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("rank", (in_part + start).cast("bigint")).drop("_part")
 
 
-def first_captures(pages: DataFrame, wanted: DataFrame, ignore_query: bool = False) -> DataFrame:
-    """url, page_id, ok of the captures that count for the URLs in ``wanted``, a
-    table small enough to broadcast. Does not read any HTML."""
-    keyed = as_pages(pages).select(
-        canonical_url("url", ignore_query).alias("url"), "page_id", is_ok().alias("ok")
-    )
-    hits = keyed.join(F.broadcast(wanted.select("url")), "url", "left_semi")
-    first = hits.groupBy("url").agg(F.min_by(F.struct("page_id", "ok"), "page_id").alias("n"))
-    return first.select("url", "n.page_id", "n.ok")
-
-
 def crawl(
     pages: DataFrame,
     seed: str,
@@ -162,49 +157,38 @@ def crawl(
     max_pages: int | None = MAX_PAGES,
     allow_external: bool = False,
     ignore_query_params: bool = False,
-    parse_all: bool = False,
+    graph: DataFrame | None = None,
 ) -> DataFrame:
     """Follow links from ``seed``: url, depth, rank, status, page_id.
 
     ``status`` is done, error (the fetch failed or the host is out of scope) or
     not_captured. Every URL that was queued holds its place in ``max_pages``.
-    With ``max_pages=None`` nothing is ranked: ``rank`` is NULL.
-
-    While a level is small its pages are looked up by URL, and only those are
-    parsed. The first level that is not makes the graph of all pages, once,
-    partitioned by URL so that later levels do not shuffle it again. ``parse_all``
-    makes it at once: cheaper for few pages, or where most will be reached.
-    """
-    pages = as_pages(pages)
+    ``graph`` is the ``site_graph`` of the pages, made here if it isn't given.
+
+    Each level is written once and read by those after it; what is written on the
+    way is deleted at the end."""
     spark = pages.sparkSession
+    work = shared_dir(spark)
+    nodes = site_graph(pages, ignore_query_params, f"{work}/graph") if graph is None else graph
     start, domain = _seed(spark, seed, ignore_query_params)
-    level = cut(start if max_pages is None else start.limit(max_pages))
+    level = stored(start if max_pages is None else start.limit(max_pages), f"{work}/level-0")
+    levels = [level]
     added = total = level.count()
-    graph, visited = None, None
-    for depth in range(max_depth + 1):
-        small = _small(level, "url")
-        near = F.broadcast(level) if small else level
-        if small and graph is None and not parse_all:
-            known = cut(first_captures(pages, level, ignore_query_params))
-            ids = known.where("ok").select("page_id")
-            nodes = site_graph(
-                pages.join(F.broadcast(ids), "page_id", "left_semi"), ignore_query_params
-            )
-        else:
-            if graph is None:
-                graph = cut_by(site_graph(pages, ignore_query_params), "url")
-            known = nodes = graph
-        # a small level is broadcast to the captures, and they back to it
-        found = known.join(near.select("url"), "url", "left_semi").select("url", "page_id", "ok")
-        part = level.join(found, "url", "left")
-        visited = cut(part if visited is None else visited.unionByName(part))
+    for depth in range(max_depth):
         left = None if max_pages is None else max_pages - total
-        if depth == max_depth or added == 0 or left == 0:
+        if added == 0 or left == 0:
             break
-        level = cut(expand_once(near, visited, nodes, allow_external, left))
+        visited = reduce(DataFrame.unionByName, levels)
+        level = expand_once(level, visited, nodes, allow_external, left, domain)
+        level = stored(level, f"{work}/level-{depth + 1}")
+        levels.append(level)
         added = level.count()
         total += added
-    return _with_status(visited, total, max_pages is not None, domain, allow_external)
+    queued = reduce(DataFrame.unionByName, levels)
+    found = queued.join(nodes.select("url", "page_id", "ok"), "url", "left")
+    out = stored(_with_status(found, total, domain, allow_external))
+    removed(spark, work)
+    return out
 
 
 def _seed(spark: SparkSession, seed: str, ignore_query: bool) -> tuple[DataFrame, str]:
@@ -219,12 +203,8 @@ def _seed(spark: SparkSession, seed: str, ignore_query: bool) -> tuple[DataFrame
     return level, one.select(host_name("url").alias("host")).first()["host"] or ""
 
 
-def _with_status(
-    visited: DataFrame, total: int, rank: bool, domain: str, allow_external: bool
-) -> DataFrame:
-    if not rank:
-        out = visited.withColumn("rank", F.lit(None).cast("bigint"))
-    elif total <= _ONE_TASK_ROWS:
+def _with_status(visited: DataFrame, total: int, domain: str, allow_external: bool) -> DataFrame:
+    if total <= _ONE_TASK_ROWS:
         w = Window.orderBy("depth", "path")
         out = visited.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
     else:
@@ -240,12 +220,9 @@ def _with_status(
 
 
 def crawl_extract(pages: DataFrame, crawled: DataFrame, registry=None) -> DataFrame:
-    """Items of the pages a crawl reached and could fetch.
-
-    A small set of reached pages is sent to the scan, so only those are parsed;
-    with a large one the items, not the pages, go through the join."""
-    done = cut(crawled.where("status = 'done'").select("page_id", "url"))
-    keys = done.select("page_id")
-    if _small(done, "url"):
-        return extract_all(as_pages(pages).join(F.broadcast(keys), "page_id", "left_semi"), registry)
-    return extract_all(pages, registry).join(keys, "page_id", "left_semi")
+    """Items of the pages a crawl reached and could fetch; only those are parsed.
+
+    The reached pages are a table of known size: Spark sends it to the scan while it
+    is small, and else joins on page_id."""
+    keys = stored(crawled.where("status = 'done'").select("page_id").distinct())
+    return extract_all(as_pages(pages).join(keys, "page_id", "left_semi"), registry)

@@ -22,7 +22,7 @@ from pageloom.operators.links import resolved_anchors_sql
 from pageloom.operators.registry import BUILT_IN, Registry, default_registry, guarded
 from pageloom.schema import PAGE, PAGE_ITEM
 from pageloom.sources.pages import BASE as BASE_SQL
-from pageloom.sources.pages import EFFECTIVE_HTML, as_pages
+from pageloom.sources.pages import EFFECTIVE_HTML, as_pages, is_ok
 
 ITEMS = T.ArrayType(PAGE_ITEM)
 
@@ -54,15 +54,42 @@ def prepare(pages: DataFrame, names: list[str]) -> DataFrame:
         DOCUMENT: expr(_document(tuple(names))),
         TEXT: expr(strip_tags_sql(HTML)),
     }
-    ready = pages.withColumn(HTML, expr(EFFECTIVE_HTML)).withColumns(shared)
+    html = F.when(is_ok(), expr(EFFECTIVE_HTML))  # a failed fetch is not taken apart
+    ready = pages.withColumn(HTML, html).withColumns(shared)
     if {"links", "social"} & set(names):
         ready = ready.withColumn(ANCHORS, expr(_anchors()))
     return ready
 
 
 def page_items(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """Pages plus ``items``: array of their findings in registry order."""
+    """Pages plus ``items``: array of their findings in registry order.
+
+    Failed fetches have none. Items of frame-level extractors are joined in by
+    page_id, which a stream can't do."""
     reg = registry or default_registry()
+    rows = _row_items(pages, reg)
+    if not reg.frames:
+        return rows
+    if pages.isStreaming:
+        raise ValueError("frame-level extractors can't be joined to a stream's pages; use extract_all")
+    found = None
+    for n, (_, items, _) in enumerate(reg.frame_items(pages)):
+        if items is not None:
+            items = items.withColumn("_n", F.lit(n))
+            found = items if found is None else found.unionByName(items)
+    if found is None:
+        return rows
+    listed = F.sort_array(F.collect_list(F.struct("_n", "ord", "type", "value", F.to_json("metadata").alias("m"))))
+    more = found.groupBy("page_id").agg(listed.alias("_more")).withColumnRenamed("page_id", "_page")
+    own = (
+        "transform(coalesce(_more, array()), i -> named_struct('type', i.type, 'value', i.value,"
+        " 'metadata', from_json(i.m, 'map<string,string>'), 'ord', i.ord))"
+    )
+    joined = rows.join(more, rows["page_id"] == more["_page"], "left")
+    return joined.select(*PAGE.names, F.concat("items", F.expr(own).cast(ITEMS)).alias("items"))
+
+
+def _row_items(pages: DataFrame, reg: Registry) -> DataFrame:
     parts = []
     for name in reg.built_in:
         opts = reg.options.get(name)
@@ -71,7 +98,8 @@ def page_items(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
     for name, (fn, columns) in reg.rows.items():
         parts.append(guarded(name, fn, columns)["items"])
     items = F.concat(*parts) if parts else expr("array()")
-    return prepare(pages, reg.built_in).select(*PAGE.names, items.cast(ITEMS).alias("items"))
+    kept = F.when(is_ok(), items.cast(ITEMS)).otherwise(expr("array()").cast(ITEMS))
+    return prepare(pages, reg.built_in).select(*PAGE.names, kept.alias("items"))
 
 
 def explode_items(with_items: DataFrame) -> DataFrame:
@@ -89,16 +117,22 @@ def extract(pages: DataFrame, name: str, **options) -> DataFrame:
 def extract_all(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
     """Items of all extractors: one row per finding."""
     reg = registry or default_registry()
-    items = explode_items(page_items(pages, reg))
-    for custom in reg.frame_items(pages):
-        items = items.unionByName(custom)
+    items = explode_items(_row_items(pages, reg))
+    for _, custom, _ in reg.frame_items(pages):
+        if custom is not None:
+            items = items.unionByName(custom)
     return items
 
 
 def extractor_errors(pages: DataFrame, registry: Registry) -> DataFrame:
-    """Pages on which a row-level extractor failed: page_id, url, extractor, error."""
+    """What failed: page_id, url, extractor, error.
+
+    A row-level extractor fails page by page, a frame-level one as a whole (page_id and
+    url are NULL). Failed fetches are never handed to either."""
     pages = as_pages(pages)
-    out = None
+    whole = [(None, None, name, error) for name, _, error in registry.frame_items(pages) if error]
+    schema = "page_id long, url string, extractor string, error string"
+    out = pages.sparkSession.createDataFrame(whole, schema) if whole or not registry.rows else None
     for name, (fn, columns) in registry.rows.items():
         failed = pages.select(
             "page_id",
@@ -107,13 +141,12 @@ def extractor_errors(pages: DataFrame, registry: Registry) -> DataFrame:
             guarded(name, fn, columns)["error"].alias("error"),
         ).where("error IS NOT NULL")
         out = failed if out is None else out.unionByName(failed)
-    if out is None:
-        raise ValueError("no row-level extractor is registered")
     return out
 
 
 def page_results(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """struct page and array extracted_items per page; pages without items stay.
+    """struct page and array extracted_items per page; pages without items stay, and
+    failed fetches, which have none.
 
     The nested items keep their order. Needs no join: the items are made in the
     page's row."""

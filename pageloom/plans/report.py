@@ -11,14 +11,15 @@ from pageloom.operators.registry import Registry
 from pageloom.operators.stats import count_label, type_counts
 from pageloom.plans.pipeline import page_items
 from pageloom.schema import ITEM_TYPES
-from pageloom.sources.pages import as_pages
+from pageloom.sources.pages import as_pages, is_ok
 
 
 def report_lines(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
-    """page_id, line_no, line: a line per page, then one per item of it.
+    """page_id, line_no, line: a line per page, then one per item of it. Failed
+    fetches are not reported.
 
     The lines of a page are made in its row; nothing is shuffled or sorted."""
-    counted = type_counts(page_items(pages, registry)).withColumn("label", count_label())
+    counted = type_counts(page_items(pages, registry).where(is_ok())).withColumn("label", count_label())
     head = (
         "concat('  [', coalesce(status_code, 0), '] ', url, ' (',"
         f" {format_duration_sql('coalesce(fetch_duration_ns, 0)')}, ') ', label)"

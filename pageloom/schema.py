@@ -66,15 +66,3 @@ ITEM = T.StructType(
 
 # The item types in display order.
 ITEM_TYPES = ("link", "form", "email", "phone", "social", "metadata", "asset", "api_endpoint")
-
-# The crawl event types.
-EVENT_TYPES = (
-    "page_queued",
-    "page_started",
-    "page_done",
-    "page_error",
-    "extraction_done",
-    "crawl_started",
-    "crawl_finished",
-    "progress",
-)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.operators.assets import FILE_TYPES
+from pageloom.operators.social import PLATFORMS
 from pageloom.sources.pages import as_pages, spread
 
 SITE = "https://shop.test"
@@ -32,12 +34,12 @@ def _page(key: str, kind: int, url: str, html: str, status: str = "200") -> list
     ]
 
 
-_ROOT = """'<html><head><title>Shop</title></head><body>
-<a href="/r/0">r0</a><a href="/r/1">r1</a><a href="/r/2">r2</a><a href="/r/3">r3</a><a href="/r/4">r4</a>
-<a href="https://partner.test/">partner</a></body></html>'"""
+_ROOT = """concat('<html><head><title>Shop</title></head><body>',
+ array_join(transform(keys, k -> concat('<a href="/r/', k, '">r</a>')), ''),
+ '<a href="https://partner.test/">partner</a></body></html>')"""
 
 _REGION = """concat('<html><head><title>', r_name, '</title></head><body>',
- array_join(transform(sequence(0, 4), i -> concat('<a href="../n/', r_regionkey + 5 * i, '/">n</a>')), ''),
+ array_join(transform(coalesce(keys, array()), k -> concat('<a href="../n/', k, '/">n</a>')), ''),
  '<a href="#top">top</a><a href="/">home</a></body></html>')"""
 
 _NATION = """concat('<html><head><title>', n_name, '</title></head><body><a href="/c/', n_nationkey,
@@ -78,11 +80,16 @@ def _customers(customer: DataFrame) -> DataFrame:
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawlable site: home, regions, nations, customers (a tree of 20 each),
     orders (which lead back to customers)."""
-    region = table(spark, sf_dir, "region")
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    # the home page lists all regions, a region's page its nations
+    listed = lambda key: F.sort_array(F.collect_list(key)).alias("keys")
+    nations = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(listed("n_nationkey"))
     parts = [
-        region.where("r_regionkey = 0").selectExpr(*_page("0", 0, "'/'", _ROOT)),
-        region.selectExpr(*_page("r_regionkey", 1, "concat('/r/', r_regionkey)", _REGION)),
-        table(spark, sf_dir, "nation").selectExpr(
+        region.agg(listed("r_regionkey")).selectExpr(*_page("0", 0, "'/'", _ROOT)),
+        region.join(nations, "r_regionkey", "left").selectExpr(
+            *_page("r_regionkey", 1, "concat('/r/', r_regionkey)", _REGION)
+        ),
+        nation.selectExpr(
             *_page("n_nationkey", 2, "concat('/n/', n_nationkey)", _NATION)
         ),
         table(spark, sf_dir, "orders").selectExpr(
@@ -95,6 +102,24 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_pages(spread(out))
 
 
+_VARIED = """concat('<html lang=''de''><body><!-- <a href="/hidden/', c_custkey, '">no</a> --><a href=''https://',
+ social[c_custkey % size(social)], 'u', c_custkey, chr(39), '>me &amp; you</a><a href="files/', c_custkey,
+ upper(files[c_custkey % size(files)]), '?v=1">f</a><a href="../up/', c_custkey, '">up<a title="a > b" href=./same/', c_custkey,
+ '>same</a><h', c_custkey % 6 + 1, '>A &lt; B ', c_custkey, '</h', c_custkey % 6 + 1, '><p><b>unclosed',
+ repeat(concat('<script type="application/ld+json">{"n": ', c_custkey, '}</script>'), CAST(c_custkey % 3 AS INT)), '</body>')"""
+
+
+def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per customer that differs by key: all platforms, linked file types and
+    heading levels, up to two JSON-LD blocks, relative references, comments, unclosed tags."""
+    lists = {
+        "social": F.array(*[F.lit(patterns[0]) for patterns in PLATFORMS.values()]),
+        "files": F.array(*map(F.lit, FILE_TYPES)),
+    }
+    made = spread(table(spark, sf_dir, "customer")).withColumns(lists)
+    return as_pages(made.selectExpr(*_page("c_custkey", 5, "concat('/v/', c_custkey, '/page')", _VARIED)))
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the only paragraph of a page."""
     return as_pages(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.functions.core import case, each, expr, in_list, keep, let, struct
 from pageloom.functions.text import clip_bytes
@@ -20,23 +21,25 @@ CAPTURED_TYPES = ("xhr", "fetch", "websocket", "eventsource", "other")
 def as_pages(df: DataFrame) -> DataFrame:
     """Give any table the page layout: known columns cast, missing ones NULL.
 
-    ``html`` is taken for ``raw_html`` and a missing ``final_url`` is the ``url``.
-    Only columns present are selected from the source, so pruning still works.
+    ``html`` is taken for ``raw_html``, a missing ``final_url`` is the ``url``, and a
+    missing ``page_id`` a hash of what tells captures apart: URL, time and body. Only
+    columns present are selected from the source, so pruning still works. A table that
+    has the layout is left as it is.
     """
     if df.columns == PAGE.names:
         return df
     have = set(df.columns)
-    fallback: dict[str, Column] = {"final_url": F.col("url"), "page_id": F.xxhash64("url")}
+    body = [c for c in ("url", "fetched_at", "raw_html", "html", "rendered_html") if c in have]
+    fallback: dict[str, Column] = {"final_url": F.col("url"), "page_id": F.xxhash64(*body)}
     if "html" in have:
         fallback["raw_html"] = F.col("html")
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in have else fallback.get(f.name, F.lit(None)))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in PAGE.fields
-        ]
-    )
+
+    def column(name: str) -> Column:
+        if name in have and name in fallback and name != "final_url":
+            return F.coalesce(F.col(name), fallback[name])
+        return F.col(name) if name in have else fallback.get(name, F.lit(None))
+
+    return df.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in PAGE.fields])
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -50,11 +53,18 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Captured pages from files. JSON is read with the declared schema, never
-    by inference."""
+    """Captured pages from files. JSON and CSV are read with the declared schema, never
+    by inference; CSV, with a header, has the columns that are no lists or maps."""
     reader = spark.read.format(format)
+    declared = T.StructType([*PAGE.fields, T.StructField("html", T.StringType())])
+    if format == "csv":
+        flat = [f for f in declared if not isinstance(f.dataType, T.ArrayType | T.MapType)]
+        given = spark.read.option("header", True).csv(path).columns
+        kinds = {f.name: f for f in flat}
+        declared = T.StructType([kinds.get(c, T.StructField(c, T.StringType())) for c in given])
+        reader = reader.options(header=True, multiLine=True, escape='"')
     if format in ("json", "csv"):
-        reader = reader.schema(PAGE)
+        reader = reader.schema(declared)
     return as_pages(spread(reader.load(path)))
 
 
@@ -91,12 +101,10 @@ def clip_body(pages: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
     )
 
 
-_OK = "(error IS NULL OR error = '') AND (status_code IS NULL OR status_code < 203)"
-
-
-def is_ok() -> Column:
+def is_ok(prefix: str = "") -> Column:
     """The fetch worked: no error, and a status below 203 where there is one."""
-    return expr(_OK)
+    error, status = f"{prefix}error", f"{prefix}status_code"
+    return expr(f"({error} IS NULL OR {error} = '') AND ({status} IS NULL OR {status} < 203)")
 
 
 def split_ok_failed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

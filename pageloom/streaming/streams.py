@@ -6,8 +6,6 @@ and a stream gives the rows a batch run gives.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +16,7 @@ from pageloom.operators.registry import Registry
 from pageloom.operators.stats import event_counts, type_counts
 from pageloom.plans.pipeline import extract_all, page_items, page_results
 from pageloom.schema import ITEM_TYPES
+from pageloom.sinks.writers import Writer
 from pageloom.sources.pages import as_pages, is_ok
 
 
@@ -47,8 +46,11 @@ def stream_stats(pages: DataFrame, registry: Registry | None = None) -> DataFram
     """Running totals over a page stream, one row: pages, errors, items and items
     by type, pages per second between the first and last fetch.
 
+    A column per built-in type, and per name of a registered row-level extractor,
+    whose items have that type unless they name another; the total has them all.
     The counts are made in the page's row; the state is a single row."""
-    counted = type_counts(page_items(pages, registry))
+    types = (*ITEM_TYPES, *(registry.rows if registry else ()))
+    counted = type_counts(page_items(pages, registry), types)
     ok = F.coalesce(is_ok(), F.lit(False))
     seconds = (
         F.unix_micros(F.max("fetched_at")) - F.unix_micros(F.min("fetched_at"))
@@ -60,7 +62,7 @@ def stream_stats(pages: DataFrame, registry: Registry | None = None) -> DataFram
         F.sum(F.when(ok, F.size("items")).otherwise(0)).cast("bigint").alias("items_extracted"),
         *[
             F.coalesce(F.sum(F.when(ok, F.col(t))), F.lit(0)).cast("bigint").alias(t)
-            for t in ITEM_TYPES
+            for t in types
         ],
         F.when(seconds > 0, done / seconds).otherwise(F.lit(0.0)).alias("pages_per_sec"),
     )
@@ -69,7 +71,9 @@ def stream_stats(pages: DataFrame, registry: Registry | None = None) -> DataFram
 def stream_new_urls(urls: DataFrame, column: str = "url", watermark: tuple[str, str] | None = None) -> DataFrame:
     """Each canonical URL once.
 
-    Without a watermark the state remembers every URL for good, as a crawl does.
+    Without a watermark the state remembers every URL for good, as a crawl does: about
+    a hundred bytes and the URL for each, so ask for the RocksDB state store
+    (``rocksdb_state``) rather than keep them on the heap.
     With ``(time column, delay)`` it forgets a URL after the delay: bounded state,
     but a URL that comes back later is new again."""
     canonical = urls.withColumn("url", canonical_url(column)).where("url IS NOT NULL")
@@ -81,6 +85,14 @@ def stream_new_urls(urls: DataFrame, column: str = "url", watermark: tuple[str,
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """State of streams started from now on lives on the executors' disks."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def stream_event_counts(log: DataFrame) -> DataFrame:
     """Running count per event type."""
     return event_counts(log)
@@ -100,15 +112,16 @@ def run_available(df: DataFrame, path: str, checkpoint: str, format: str = "parq
 
 def write_stream(
     pages: DataFrame,
-    writer: Callable[[DataFrame, int], None],
+    writer: Writer,
     checkpoint: str,
     registry: Registry | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Page results to a custom writer, batch by batch (results, batch number)."""
+    """Page results to a custom writer, batch by batch. When the query has ended,
+    ``writer.finalize`` is for the caller, who knows that it won't go on."""
     return (
         page_results(pages.where(is_ok()), registry)
-        .writeStream.foreachBatch(writer)
+        .writeStream.foreachBatch(writer.write_results)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

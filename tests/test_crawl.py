@@ -32,7 +32,9 @@ def test_first_in_first_out_until_the_depth_limit(spark):
         ("c", 2, 4, "done"), ("d", 2, 5, "not_captured"), ("e", 3, 6, "done"),
     ]
     assert reached(crawl(pages, "h")) == want
-    assert reached(crawl(pages, "h", parse_all=True)) == want
+    graph = C.site_graph(pages)
+    assert reached(crawl(pages, "h", graph=graph)) == want
+    assert reached(crawl(pages, "b", graph=graph)) == [("https://b/", 0, 0, "not_captured")]
     assert reached(crawl(pages, "h", max_depth=0)) == want[:1]
     assert reached(crawl(pages, "h", max_pages=5)) == want[:5]
     assert crawl(pages, "h", max_pages=0).count() == 0
@@ -41,7 +43,6 @@ def test_first_in_first_out_until_the_depth_limit(spark):
 def test_large_levels_give_the_same(spark, monkeypatch):
     pages = site(spark, LINKS, bad=500)
     small = crawl(pages, "h").orderBy("url").collect()
-    monkeypatch.setattr(C, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(C, "_ONE_TASK_ROWS", 0)
     assert crawl(pages, "h").orderBy("url").collect() == small
 
@@ -62,18 +63,35 @@ def test_first_capture_of_a_url_counts(spark):
     assert [r.url for r in crawl(pages, "h").orderBy("rank").collect()] == ["https://h/", "https://h/a"]
 
 
+def test_pages_out_of_scope_lead_nowhere(spark):
+    rows = [(1, "https://a/", "https://b/", "<a href=/x>x</a>"), (2, "https://b/x", None, "<a href=/y>y</a>"),
+            (3, "https://b/y", None, "<a href=/z>z</a>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, final_url string, html string")
+    got = {r.url: r.status for r in crawl(pages, "a").collect()}
+    assert got == {"https://a/": "done", "https://b/x": "error"}
+
+
+def test_captures_without_id_in_any_order(spark):
+    rows = [("https://h/", "<a href=/a>x</a>", 200, 1), ("https://h/", "<a href=/b>x</a>", 200, 2), ("https://h/", "x", 500, 3)]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        pages = spark.createDataFrame(order, "url string, html string, status_code int, t int").selectExpr(
+            "url", "html", "status_code", "timestamp_seconds(t) AS fetched_at"
+        )
+        done = crawl(pages, "h")
+        assert [(r.url, r.status) for r in done.orderBy("rank").collect()] == [("https://h/", "done"), ("https://h/a", "not_captured")]
+        assert [r.value for r in crawl_extract(pages, done).collect()] == ["https://h/a"]
+
+
 def test_ignore_query(spark):
     pages = site(spark, {"": ["/a?x=1", "/a?x=2"], "a?x=9": ["/b"]})
     got = {r.url for r in crawl(pages, "h", ignore_query_params=True).collect()}
     assert got == {"https://h/", "https://h/a", "https://h/b"}
 
 
-def test_crawl_extract_both_ways(spark, monkeypatch):
+def test_crawl_extract(spark):
     pages = site(spark, LINKS, bad=500)
     done = crawl(pages, "h", max_depth=1)
     few = crawl_extract(pages, done).orderBy("page_id", "value").collect()
-    monkeypatch.setattr(C, "BROADCAST_BYTES", -1)
-    assert crawl_extract(pages, done).orderBy("page_id", "value").collect() == few
     assert {r.page_id for r in few} == {0, 1, 2}
 
 

@@ -184,7 +184,10 @@ def test_registry(page):
     df = page("<a href=/x>y</a>")
     got = {(r.type, r.value) for r in extract_all(df, reg).collect()}
     assert got == {("link", "https://shop.test/x"), ("words", "16")}
-    assert [r.error for r in extractor_errors(df, reg).collect()] == ["ValueError: no"]
+    errors = {r.extractor: (r.page_id, r.error) for r in extractor_errors(df, reg).collect()}
+    assert errors["broken"] == (1, "ValueError: no")
+    assert errors["worse"][0] is None and errors["worse"][1].startswith("AnalysisException")
+    assert set(errors) == {"broken", "worse"}
     with pytest.raises(ValueError):
         reg.register("links", broken)
 

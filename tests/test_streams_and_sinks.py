@@ -14,6 +14,30 @@ from pageloom.streaming import streams
 D = "/root/testdata/sf0.001"
 
 
+class Seen:
+    def __init__(self):
+        self.seen, self.ends = [], []
+
+    def write_results(self, results, batch):
+        self.seen.append(results.count())
+
+    def finalize(self, summary):
+        self.ends.append(summary.count())
+
+
+def test_batch_and_stream_agree_on_failures(spark, tmp_path):
+    rows = [(i, f"https://h/{i}", "<a href=/x>x</a>", 404 if i % 3 == 0 else 200) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, status_code int")
+    pages.write.parquet(str(tmp_path / "in"))
+    stream = streams.read_page_stream(spark, str(tmp_path / "in"), pages.schema)
+    streams.run_available(streams.stream_extract(stream).drop("ord"), str(tmp_path / "o"), str(tmp_path / "s"))
+    key = ["page_id", "value"]
+    got = spark.read.parquet(str(tmp_path / "o")).select(key).orderBy(key).collect()
+    assert got == extract_all(pages).select(key).orderBy(key).collect() and len(got) == 6
+    sizes = page_results(pages).selectExpr("page.page_id AS i", "size(extracted_items) AS n").collect()
+    assert {r.i: r.n for r in sizes} == {i: int(i % 3 > 0) for i in range(9)}
+
+
 def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     source = spark.read.parquet(f"{D}/pages.parquet")
     source.repartition(5).write.parquet(str(tmp_path / "in"))
@@ -39,10 +63,9 @@ def test_new_urls_once_across_batches(spark, tmp_path):
 def test_custom_stream_writer_sees_every_page(spark, tmp_path):
     schema = spark.read.parquet(f"{D}/pages.parquet").schema
     stream = streams.read_page_stream(spark, D, schema, glob="pages.parquet")
-    seen = []
-    writer = lambda results, batch: seen.append(results.count())
+    writer = Seen()
     streams.write_stream(stream, writer, str(tmp_path / "s"), Registry(built_in=["links"])).awaitTermination()
-    assert sum(seen) == spark.read.parquet(f"{D}/pages.parquet").count()
+    assert sum(n for n in writer.seen) == spark.read.parquet(f"{D}/pages.parquet").count()
 
 
 def test_written_json_leaves_out_html_and_empty_values(spark, page, tmp_path):
@@ -62,9 +85,11 @@ def test_report_and_custom_writer(spark, page, tmp_path):
     write_report(df, summary, str(tmp_path / "r"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "r" / "pages")).collect()]
     assert lines == ["  [0] https://shop.test/dir/page (0ms) [meta:1]", "      +-- metadata: t"]
-    seen = []
-    run_writer(lambda r, s: seen.append((r.count(), s.count())), page_results(df), summary)
-    assert seen == [(1, 1)]
+    writer = Seen()
+    failed = page("<title>t</title>", error="gone").selectExpr("page_id + 1 AS page_id", "url", "html", "error")
+    results = page_results(df.selectExpr("*", "CAST(NULL AS STRING) AS error").unionByName(failed))
+    run_writer(writer, results, summary)
+    assert (writer.seen, writer.ends) == ([1], [1])
 
 
 def test_json_pages_are_read_with_the_declared_schema(spark, tmp_path):
