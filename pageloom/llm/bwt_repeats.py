@@ -150,7 +150,7 @@ def merged_classes(shards: list[list[bytes]], depth: int = LENGTH) -> np.ndarray
     base = len(dense)
     pair = np.where(two == 0, 0, two * base + one)  # what begins with an end mark is that end mark
     step = "u2" if base * base <= 1 << 16 else "u4"
-    interleave = np.repeat(np.arange(len(shards), dtype="u2"), sizes)
+    interleave = np.repeat(np.arange(len(shards), dtype="u1" if len(shards) <= 256 else "u2"), sizes)
     places = np.concatenate([o + first for (_, o), first in zip(parts, np.cumsum([0, *sizes[:-1]]), strict=True)])
     block = np.zeros(len(one), "i4")
     rounds = [(one.astype("u2"), one == 0)] * (depth % 2) + [(pair.astype(step), (pair == 0) | (one == 0))] * (depth // 2)
@@ -172,23 +172,46 @@ def merged_classes(shards: list[list[bytes]], depth: int = LENGTH) -> np.ndarray
     return classes
 
 
-def _smaller_owner(strings: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
-    """For each string, which of its windows also starts in a string with a smaller owner."""
+#: stands for an anchor in a string; no byte of a text in UTF-8
+_ANCHOR_BYTE = b"\xff"
+
+
+def _smaller_owner(strings: list[tuple[bytes, int]], owner: np.ndarray) -> dict[int, np.ndarray]:
+    """By number of string, where it has windows that also start in one with a smaller owner.
+
+    A string is an anchor's surroundings and the anchor's place in them. All its windows
+    contain the anchor, so the anchor becomes one symbol, and windows are equal if their
+    symbols and their anchors are."""
+    depth = LENGTH - ANCHOR + 1
+    number: dict[bytes, int] = {}
+    anchor = np.array([number.setdefault(s[at : at + ANCHOR], len(number)) for s, at in strings])
+    short = [s[:at] + _ANCHOR_BYTE + s[at + ANCHOR :] for s, at in strings]
     shards: list[list[bytes]] = [[]]
     size = 0
-    for s in strings:
+    for s in short:
         if size > SHARD:
             shards.append([])
             size = 0
         shards[-1].append(s)
         size += len(s) + 1
-    classes = merged_classes(shards)
-    lengths = np.array([len(s) + 1 for s in strings])
-    least = np.full(int(classes.max()) + 1, np.iinfo("i8").max)
-    np.minimum.at(least, classes, np.repeat(owner, lengths))
-    smaller = least[classes] < np.repeat(owner, lengths)
-    ends = np.cumsum(lengths)
-    return [smaller[e - k : e - LENGTH] for e, k in zip(ends, lengths, strict=True)]
+    lengths = np.array([len(s) + 1 for s in short])
+    classes = merged_classes(shards, depth)
+    # places of windows, and of these the ones that are not alone in their class
+    string = np.repeat(np.arange(len(short)), lengths)
+    first = np.cumsum(lengths) - lengths
+    start = np.arange(len(classes)) - first[string]
+    at = np.flatnonzero((start < (lengths - depth)[string]) & (np.bincount(classes)[classes] > 1))
+    string, start = string[at], start[at]
+    key = classes[at].astype("i8") * len(number) + anchor[string]
+    order = np.lexsort((owner[string], key))
+    string, start, key = string[order], start[order], key[order]
+    run = _runs(key)
+    least = np.repeat(owner[string[run]], np.diff(np.append(run, len(key))))
+    gone = np.flatnonzero(owner[string] > least)
+    gone = gone[np.lexsort((start[gone], string[gone]))]
+    string, start = string[gone], start[gone]
+    run = _runs(string)
+    return dict(zip(string[run].tolist(), np.split(start, run[1:]), strict=True)) if len(run) else {}
 
 
 # --- what travels: arrays in few rows
@@ -271,15 +294,16 @@ def _surrounded(buckets: int):
         values, counts = np.unique(own, return_counts=True)
         far = [c.astype("u8") | np.uint64(s << 32) for s, (c,) in zip(answers["slot"].to_pylist(), _unpacked(answers["codes"]), strict=True)]
         wanted = np.unique(np.concatenate([values[counts > 1], *far]))
-        owner: dict[tuple, list] = {}  # anchor, surroundings[, document] -> document, places
+        # anchor, surroundings, its place in them[, document] -> document, places
+        owner: dict[tuple, list] = {}
         gone: list[tuple] = []
         for (did, tag, text), (at, _), code in zip(docs, found, codes, strict=True):
             place = np.searchsorted(wanted, code)
             hit = np.flatnonzero((place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == code)) if len(wanted) else []
             first = np.maximum(at[hit] - (LENGTH - ANCHOR), 0).tolist()
             last = np.minimum(at[hit] + LENGTH, len(text)).tolist()
-            for c, lo, hi in zip(code[hit].tolist(), first, last, strict=True):
-                key = (c, text[lo:hi])
+            for c, lo, hi, x in zip(code[hit].tolist(), first, last, at[hit].tolist(), strict=True):
+                key = (c, text[lo:hi], x - lo)
                 has = owner.get(key)
                 if has is None:
                     owner[key] = [did, tag, lo]
@@ -294,8 +318,8 @@ def _surrounded(buckets: int):
                     owner[key] = [did, tag, lo]
         p = group["p"][0].as_py()
         slots: dict[int, list] = {}
-        for (c, text, *_), (did, tag, *places) in owner.items():
-            slots.setdefault(c >> 32, []).append((c & 0xFFFFFFFF, text, did, tag, places))
+        for (c, text, inside, *_), (did, tag, *places) in owner.items():
+            slots.setdefault(c >> 32, []).append((text, inside, did, tag, places))
         rows = [(s, 0, p, _packed(x)) for s, x in slots.items()]
         if gone:
             rows.append((p % buckets, 1, p, _packed(gone)))
@@ -307,40 +331,43 @@ def _surrounded(buckets: int):
 def _ranges(bucket: pa.Table) -> pa.Table:
     """Of a bucket's surroundings the bytes that go, group by group."""
     gone: dict[int, list[tuple]] = {}
-    owners: dict[tuple, int] = {}  # anchor, surroundings -> smallest document
+    owners: dict[tuple, int] = {}  # surroundings, the anchor's place in them -> smallest document
     seen: list[tuple] = []
     for kind, p, (found,) in zip(bucket["kind"].to_pylist(), bucket["p"].to_pylist(), _unpacked(bucket["found"]), strict=True):
         if kind:
             gone.setdefault(p, []).extend(found)
             continue
-        for code, text, did, tag, places in found:
-            key = (code, text)
+        for text, inside, did, tag, places in found:
+            key = (text, inside)
             has = owners.get(key)
             owners[key] = did if has is None or did < has else has
             seen.append((key, p, did, tag, places))
     # merge the transforms of anchors with several surroundings, whole anchors at a time
-    several: dict[int, list[bytes]] = {}
-    for code, text in owners:
-        several.setdefault(code, []).append(text)
+    several: dict[bytes, list[tuple]] = {}
+    for text, inside in owners:
+        several.setdefault(text[inside : inside + ANCHOR], []).append((text, inside))
     windows: dict[tuple, np.ndarray] = {}
     group: list[tuple] = []
     size = 0
-    rest = [(c, sorted(t)) for c, t in sorted(several.items()) if len(t) > 1]
-    for k, (code, texts) in enumerate(rest):
-        group += [(code, t) for t in texts]
-        size += sum(map(len, texts))
+    rest = [several[anchor] for anchor in sorted(several) if len(several[anchor]) > 1]
+    for k, strings in enumerate(rest):
+        group += strings
+        size += sum(len(text) for text, _ in strings)
         if size >= MERGE or k == len(rest) - 1:
-            found = _smaller_owner([t for _, t in group], np.array([owners[g] for g in group]))
-            windows |= {g: w for g, w in zip(group, found, strict=True) if w.any()}
+            found = _smaller_owner(group, np.array([owners[g] for g in group]))
+            windows |= {group[n]: starts for n, starts in found.items()}
             group, size = [], 0
     for key, p, did, tag, places in seen:
         if owners[key] < did:
-            spans = [(0, len(key[1]))]
+            spans = [(0, len(key[0]))]
         elif key in windows:
-            starts = np.flatnonzero(windows[key])
+            starts = windows[key]
             breaks = np.flatnonzero(np.diff(starts) > LENGTH)
-            firsts, lasts = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
-            spans = list(zip(firsts.tolist(), (lasts + LENGTH).tolist(), strict=True))
+            if len(breaks):
+                firsts, lasts = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)]
+                spans = list(zip(firsts.tolist(), (lasts + LENGTH).tolist(), strict=True))
+            else:
+                spans = [(int(starts[0]), int(starts[-1]) + LENGTH)]
         else:
             continue
         gone.setdefault(p, []).extend((did, tag, lo + a, lo + z) for lo in places for a, z in spans)
