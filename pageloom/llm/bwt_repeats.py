@@ -38,8 +38,9 @@ LENGTH = 50
 ANCHOR = 26
 #: bytes of a document that are hashed at once; pieces overlap, so no window is lost
 PIECE = 1 << 20
-#: symbols of a shard, and of the shards that are merged at once (whole anchors)
-SHARD, MERGE = 1 << 17, 1 << 21
+#: symbols of a shard, and of the shards that are merged at once (whole anchors): what a
+#: round reads and writes then stays in a processor's cache
+SHARD, MERGE = 1 << 16, 1 << 18
 #: text bytes to a bucket of anchors
 BUCKET_BYTES = 8 << 20
 
@@ -387,10 +388,10 @@ def _cut(text: bytes, ranges: np.ndarray | None) -> tuple[int, int, bytes]:
     return len(text) - len(left), len(starts), left
 
 
-def without_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, buckets: int | None = None, with_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``.
 
-    ``kept`` is what is left, as bytes. Null texts are empty. A null doc_id comes after
+    ``kept`` is what is left, as bytes, or null without ``with_text``. Null texts are empty. A null doc_id comes after
     all others; rows with one doc_id don't count against each other, whether repeated or
     with different texts. An empty table gives no rows.
 
@@ -437,7 +438,7 @@ def without_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             text = text.as_py()
             spans = gone.get((did, tag))
             cut = (len(text), 1, b"") if copy else _cut(text, np.concatenate(spans) if spans else None)
-            out.append((doc_id, len(text), cut[0], cut[1], hashlib.sha256(cut[2]).hexdigest(), cut[2]))
+            out.append((doc_id, len(text), cut[0], cut[1], hashlib.sha256(cut[2]).hexdigest(), cut[2] if with_text else None))
         kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
         return _table(out, doc_id=group.schema.field("doc_id").type, **kinds)
 

@@ -22,7 +22,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bwt_repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return bwt_repeats.without_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
