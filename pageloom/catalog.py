@@ -25,6 +25,7 @@ from pageloom.functions.urls import (
 from pageloom.operators import stats
 from pageloom.operators.items import keep_first
 from pageloom.operators.registry import Registry
+from pageloom.operators.social import platforms_of
 from pageloom.operators.shred import contained_elements, select_elements, shred_html
 from pageloom.plans import crawl as crawling
 from pageloom.plans import report
@@ -290,6 +291,17 @@ def social(spark, d):
     return found.select("page_id", "value", *meta("platform", "anchor_text"))
 
 
+@query
+def social_table(spark, d):
+    """Platforms from a user's table: a region each, told by the first digit of a customer's name there."""
+    rows = table(spark, d, "region").select(
+        F.lower("r_name").alias("platform"), F.concat(F.lit("github.com/CUST"), "r_regionkey").alias("pattern"),
+        F.col("r_regionkey").alias("rank"),
+    )
+    found = extract(customer_pages(spark, d), "social", platforms=platforms_of(rows))
+    return found.select("page_id", "value", *meta("platform"))
+
+
 # ---- forms, metadata, assets, API calls
 
 

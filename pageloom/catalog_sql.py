@@ -154,6 +154,8 @@ ORACLE["links_site"] = f"SELECT page_id, value, link_type, anchor_text, rel FROM
 ORACLE["links_by_type"] = f"SELECT link_type, count(*) AS n FROM {_SITE_LINKS} GROUP BY 1"
 ORACLE["social"] = f"""SELECT page_id, 'https://github.com/cust' || c_custkey AS value, 'github' AS platform,
   'gh' AS anchor_text FROM {_LIVE}"""
+ORACLE["social_table"] = f"""SELECT page_id, 'https://github.com/cust' || c_custkey AS value, lower(r_name) AS platform
+FROM {_LIVE} JOIN region ON substr(CAST(c_custkey AS VARCHAR), 1, 1) = CAST(r_regionkey AS VARCHAR)"""
 ORACLE["http_urls"] = f"SELECT page_id, 'https://github.com/cust' || c_custkey AS value FROM {_LIVE}"
 
 _EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"

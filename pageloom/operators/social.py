@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from pageloom.functions.core import case, each, first_by_key, keep, let, lit, struct, text_map
 from pageloom.operators.items import ANCHORS, anchor_text, item
 
@@ -26,6 +29,24 @@ PLATFORMS = {
 }
 
 
+# A user's table of platforms becomes part of the expression, up to this many patterns.
+MAX_PATTERNS = 2000
+
+
+def platforms_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
+    """Platforms from a table (platform, pattern, rank), for the option ``platforms``.
+
+    Lower ranks come first where several patterns match. The table is counted before it
+    is read, and refused if it has more than ``MAX_PATTERNS`` rows."""
+    rows = table.select("platform", F.lower("pattern").alias("pattern"), "rank")
+    if rows.count() > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    out: dict[str, tuple[str, ...]] = {}
+    for r in rows.where("platform IS NOT NULL AND pattern <> ''").orderBy("rank", "platform", "pattern").collect():
+        out[r.platform] = (*out.get(r.platform, ()), r.pattern)
+    return out
+
+
 def platform_sql(url: str, platforms: dict[str, tuple[str, ...]]) -> str:
     """First platform one of whose patterns occurs in the lower-cased URL."""
     return let(
