@@ -195,14 +195,84 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The (a, b) whose sets are as similar as ``share``."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    sized = both.select("a", "b", F.expr("size(sa) + size(sb)").alias("total"), F.expr("size(array_intersect(sa, sb))").alias("n"))
+    return sized.where(f"n >= {share} * (total - n)").select("a", "b")
+
+
+def _prefixes(crowd: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(token, node, size, pos): the shingles that may be the first a text has in common
+    with one as similar as ``share``, in one order of all shingles, the rarest first."""
+    mine = sets.join(crowd.select("node"), "node").select("node", F.size("shingles").alias("size"), "shingles")
+    tokens = mine.select("node", "size", F.explode("shingles").alias("token"))
+    often = stored(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"))
+    ordered = tokens.join(often, "token").groupBy("node", "size").agg(
+        F.sort_array(F.collect_list(F.struct("often", "token"))).alias("known")
+    )
+    # shingles that no other text has come before these
+    return ordered.select("node", "size", "known", F.posexplode("known").alias("k", "x")).select(
+        F.col("x.token").alias("token"), "node", "size", F.expr("size - size(known) + k + 1").alias("pos")
+    ).where(f"size - pos + 1 >= {share} * size")
+
+
+def _crowd_classes(crowd: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(old, new): what the components of ``crowd`` (node, score, component) become when
+    all pairs of its texts as similar as ``share`` are linked.
+
+    Texts are listed by the shingles of their prefixes: two that are similar are in a list
+    together. A short list is paired up. In a longer one, a text is taken out and compared
+    with all of the list that isn't in its class yet, then 4, 16 and so on, the best
+    connected ones first, until the list is one class or empty. So the original of many
+    edits joins them in one round, and no pair is left out."""
+    labels = stored(crowd.select("node", "component", F.col("component").alias("old"), "score"))
+    entries = stored(_prefixes(crowd, sets, share))
+    turns = 1
+    while True:
+        marked = entries.join(labels.select("node", "component", "score"), "node")
+        marked = stored(marked)
+        lists = marked.groupBy("token").agg(
+            F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")
+        )
+        lists = stored(lists.where("x <> y").select("token", "n"))
+        if not lists.head(1):
+            break
+        live = stored(marked.join(lists, "token"))
+        # those taken out: one of each part of a list, all of a short one
+        part = F.when(F.col("n") <= CROWD, F.col("node")).otherwise(F.expr(f"pmod(xxhash64(node, {turns}), {turns})"))
+        out = live.groupBy("token", part.alias("part")).agg(F.max(F.struct("score", "node", "size", "pos", "component")).alias("m"))
+        out = stored(out.select("token", "m.*").drop("score"))
+        a = out.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "pos", "component")])
+        most = "(1 + least(size_a - pos_a, size - pos))"
+        fits = f"component <> component_a AND {most} >= {share} * (size_a + size - {most})"
+        pairs = live.join(a, "token").where(fits).select(
+            F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")
+        )
+        new = _verified(stored(pairs.distinct()), sets, share)
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        joined = components(new.join(side("a"), "a").join(side("b"), "b"), "ca", "cb").select(
+            F.col("node").alias("component"), F.col("component").alias("joined")
+        )
+        labels = stored(
+            labels.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"), "old", "score")
+        )
+        entries = stored(live.join(out.select("token", "node"), ["token", "node"], "left_anti").select("token", "node", "size", "pos"))
+        turns *= 4
+    return labels.groupBy("old").agg(F.min("component").alias("new"))
+
+
 def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFrame:
     """(doc_id, text_hash, component_id): classes of documents connected by texts whose
     sets of shingles have a Jaccard similarity of ``share`` or more.
 
     Equal texts are one from the start. Texts that share a band are candidates: in a
-    bucket of up to ``CROWD`` all of them, in a larger one each with the bucket's first
-    and with its neighbours in order of fingerprint and of number, so that a bucket
-    gives rows in proportion to its size. Candidates are verified by their shingles.
+    bucket of up to ``CROWD`` all of them, in a larger one at first each with the bucket's
+    first and with its neighbours in order of fingerprint and of number. Where that doesn't
+    make a larger bucket one class, all its texts go on to ``_crowd_classes``, which leaves
+    no pair of them out. Candidates are verified by their shingles.
     Null and empty texts are equal to their like and similar to nothing."""
     marks = stored(sketches(docs, words))
     texts = marks.groupBy(F.col("text_hash").alias("node")).agg(
@@ -235,21 +305,30 @@ def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFram
             )
         )
     near = stored(pairs.where(f"bit_count(fp_a ^ fp_b) <= {FAR_BITS}").select("a", "b").distinct())
-    involved = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    involved = near.select(F.col("a").alias("node")).union(near.select("b")).union(large.select("node")).distinct()
     firsts = beside(stored(texts.join(involved, "node").select("node", "first")))
     source = _texts(docs).withColumnRenamed("text_hash", "node")
     bodies = source.join(firsts, (source["node"] == firsts["node"]) & source["doc_id"].eqNullSafe(firsts["first"])).select(
         source["node"], "text"
     )
     sets = stored(_shingle_sets(bodies, words).dropDuplicates(["node"]))
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    common = both.select("a", "b", F.expr("size(sa) + size(sb)").alias("total"), F.expr("size(array_intersect(sa, sb))").alias("n"))
-    joined = components(common.where(f"n >= {share} * (total - n)"), "a", "b")
+    joined = components(_verified(near, sets, share), "a", "b")
     classes = stored(
         texts.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     )
+    # cells of which the above left more than one class
+    apart = stored(large.join(classes.select("node", "component"), "node"))
+    split = apart.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    crowd = apart.join(split.select("cell"), "cell").groupBy("node").agg(
+        F.sum("n").alias("score"), F.any_value("component").alias("component")
+    )
+    crowd = stored(crowd)
+    merged = _crowd_classes(crowd, sets, share) if crowd.head(1) else None
+    if merged is not None:
+        m = merged.select(F.col("old").alias("component"), "new")
+        classes = stored(
+            classes.join(m, "component", "left").select("node", "first", F.coalesce("new", "component").alias("component"))
+        )
     ids = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = classes.join(ids, "component").select(F.col("node").alias("text_hash"), "component_id")
     return marks.join(labels, "text_hash").select("doc_id", "text_hash", "component_id")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -102,3 +104,39 @@ def test_large_buckets(spark):
     rows = [(k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(0, 120, 2)] + [(999, "quite another text of some words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.without_copies(docs).collect()) == [0, 999]
+
+
+def test_a_star_of_edits(spark):
+    """An original and 1000 edits that are similar to it, but not to each other."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(5000, " ".join(base))]
+    for k in range(1000):
+        at = {5 + rng.randrange(40), 55 + rng.randrange(40), 105 + rng.randrange(40)}
+        rows.append((k, " ".join(f"e{k}x{j}" if j in at else w for j, w in enumerate(base))))
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert all(alike(sets[0], s) >= 0.8 for s in sets[1:])
+    assert sum(alike(sets[1], s) < 0.8 for s in sets[2:]) > 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar(docs).collect()} == {0}
+
+
+def test_unlike_texts_in_a_crowd(spark, monkeypatch):
+    """Texts of one bucket that fall into many classes, in long and in short lists."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for group in range(12):
+        own = base[:80] + [f"g{group}x{j}" for j in range(rng.choice([5, 20, 30]))]
+        for _ in range(6):
+            at = {rng.randrange(len(own)) for _ in range(rng.randint(1, 4))}
+            rows.append((len(rows), " ".join(f"e{len(rows)}" if j in at else w for j, w in enumerate(own))))
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    want = classes(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert len(set(want.values())) > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "bands", lambda hashes: [0] * simhash.BANDS if len(hashes) else None)
+    for crowd in (16, 2):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
