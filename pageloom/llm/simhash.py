@@ -138,12 +138,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, segments: int = SEGMENTS, d
 #
 # At a similarity of 0.8, 64-bit fingerprints differ in about ten bits. Within ten bits
 # lie as many chance pairs as there are documents squared, on any grid of popcounts. So
-# candidates come from bands of minimum hashes here; fingerprints only sort them out.
+# candidates come from bands of minimum hashes here; fingerprints only put the texts of a
+# large bucket in order. They count a repeated shingle as often as it occurs, the
+# similarity once, so they can't rule out a pair.
 
 BANDS, ROWS = 16, 5
 SIMILAR = 0.8
-#: five standard deviations above the distance expected at ``SIMILAR``
-FAR_BITS = 24
 #: texts in a band's bucket that are compared each with each
 CROWD = 16
 
@@ -287,24 +287,20 @@ def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFram
         entries.select("node", "fp", "cell", F.count("*").over(cell).alias("n")).where("n > 1")
     )
     small, large = shared.where(F.col("n") <= CROWD), shared.where(F.col("n") > CROWD)
-    end = lambda df, x: df.select("cell", F.col("node").alias(x), F.col("fp").alias(f"fp_{x}"))
+    end = lambda df, x: df.select("cell", F.col("node").alias(x))
     each = end(small, "a").join(end(small, "b"), "cell").where("a < b")
-    me = F.struct("node", "fp")
-    heads = large.groupBy("cell").agg(F.min(me).alias("head"))
+    heads = large.groupBy("cell").agg(F.min("node").alias("head"))
     chained = [
-        large.join(heads, "cell").select("head", me.alias("me")),
-        large.select(F.lag(me).over(cell.orderBy("fp", "node")).alias("head"), me.alias("me")),
-        large.select(F.lag(me).over(cell.orderBy("node")).alias("head"), me.alias("me")),
+        large.join(heads, "cell").select("head", "node"),
+        large.select(F.lag("node").over(cell.orderBy("fp", "node")).alias("head"), "node"),
+        large.select(F.lag("node").over(cell.orderBy("node")).alias("head"), "node"),
     ]
-    pairs = each.select("a", "b", "fp_a", "fp_b")
+    pairs = each.select("a", "b")
     for c in chained:
         pairs = pairs.unionByName(
-            c.where("head.node <> me.node").select(
-                F.expr("least(head, me).node").alias("a"), F.expr("greatest(head, me).node").alias("b"),
-                F.expr("least(head, me).fp").alias("fp_a"), F.expr("greatest(head, me).fp").alias("fp_b"),
-            )
-        )
-    near = stored(pairs.where(f"bit_count(fp_a ^ fp_b) <= {FAR_BITS}").select("a", "b").distinct())
+            c.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+        )
+    near = stored(pairs.distinct())
     involved = near.select(F.col("a").alias("node")).union(near.select("b")).union(large.select("node")).distinct()
     firsts = beside(stored(texts.join(involved, "node").select("node", "first")))
     source = _texts(docs).withColumnRenamed("text_hash", "node")

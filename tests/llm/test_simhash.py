@@ -140,3 +140,16 @@ def test_unlike_texts_in_a_crowd(spark, monkeypatch):
     for crowd in (16, 2):
         monkeypatch.setattr(simhash, "CROWD", crowd)
         assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
+
+
+def test_a_repeated_phrase(spark):
+    """A run of one word changes the fingerprint by many bits, the set of shingles hardly."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(20):
+        text = " ".join(f"v{rng.randrange(10**6)}" for _ in range(400))
+        rows += [(2 * k, text), (2 * k + 1, text + " la" * 60)]
+    far = [(fingerprint(rows[k][1], 5) ^ fingerprint(rows[k + 1][1], 5)).bit_count() > 24 for k in range(0, 40, 2)]
+    assert sum(far) > 10
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(40)}
