@@ -113,7 +113,8 @@ _TARGET = mixing.Target(entropy=0.99, repeats=4.0)
 # Plain bisection on the grid that the operator's passes end on.
 OP7 = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens,
     CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS key,
     {_HASH.format("coalesce(doc_id::VARCHAR, '')")} % {mixing.BLOCKS} AS block
   FROM documents
@@ -150,4 +151,32 @@ WITH RECURSIVE d AS (
 SELECT doc_id, source, n_tokens, block::INT AS block, copies FROM d JOIN c USING (key, block)
 """
 
-ORACLE = {"op1_url_blocks": OP1, "op2_sharding": OP2, "op6_decontamination": OP6, "op7_mixing": OP7, "op10_quality_rules": OP10}
+# The text itself is what must come back.
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), k AS (
+  SELECT doc_id, t, length(t) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d
+), c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN p END AS prefix_chars,
+  CASE WHEN form != 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || t[:p] || '<S>' || t[q + 1:] || '<M>' || t[p + 1:q]
+    ELSE '<S>' || t[q + 1:] || '<P>' || t[:p] || '<M>' || t[p + 1:q] END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLE = {
+    "op1_url_blocks": OP1,
+    "op2_sharding": OP2,
+    "op6_decontamination": OP6,
+    "op7_mixing": OP7,
+    "op10_quality_rules": OP10,
+    "op12_fill_in_middle": OP12,
+}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import (
-    boosted_html, bwt_repeats, containment, maglev, mixing, rule_ledger, simhash, url_blocks, wordpiece, zstd_lang,
+    boosted_html, bwt_repeats, containment, diagonal_align, fim_scatter, maglev, mixing, rule_ledger, simhash,
+    transducer_bpe, url_blocks, wordpiece, zstd_lang,
 )
 from pageloom.llm.tables import table
 
@@ -66,6 +67,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transducer_bpe.decoded(transducer_bpe.encoded(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim_scatter.restored(fim_scatter.transformed(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = diagonal_align.aligned(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    rows = rows.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "pairs")
+    return diagonal_align.scored(rows)
+
+
 QUERIES = {
     "op1_url_blocks": op1_url_blocks,
     "op2_sharding": op2_sharding,
@@ -77,4 +101,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_language": op9_language,
     "op10_quality_rules": op10_quality_rules,
+    "op11_bpe": op11_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_alignment": op13_alignment,
 }
