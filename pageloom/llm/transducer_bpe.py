@@ -26,7 +26,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import tokenizers
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +37,16 @@ from pageloom.plans.checkpoints import shared_dir
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
 #: words compiled into the automaton, and the bytes of the longest of them
-LEXICON_WORDS, LEXICON_BYTES = 50_000, 48
-#: words a worker remembers beyond the automaton, or counts before it hands them on
-MEMORY = 100_000
+LEXICON_WORDS, LEXICON_BYTES = 200_000, 48
+#: words a worker remembers beyond the automaton, and words it counts before it hands them on
+MEMORY, COUNTED = 100_000, 300_000
+#: bytes of a word up to which its ranks are searched as a list, not as a heap
+SHORT = 64
+#: ids whose texts are joined at a time
+DECODED = 250_000
 
 # How the tokenizer splits a normalised text, and the end of a word.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+"
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+"
 WORD_END = "</w>"
 
 
@@ -54,34 +57,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
-def unicode_rules() -> tuple[str, dict[str, str]]:
-    """The splitting pattern, and lower-case letters that the interpreter doesn't know.
+def unicode_rules() -> tuple[dict[str, str], dict[str, str]]:
+    """The code points of letters, digits and white space, as ranges, and the lower-case
+    letters that the interpreter doesn't know.
 
-    Unicode tables differ by version: letters and digits are those of the tokenizers
-    library, not all of those that the regex package has; so are the lower-case letters."""
+    Unicode tables differ by version; these are the tokenizers library's own."""
     points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
     every = "".join(points)
 
-    def without(kind: str) -> str:
+    def ranges(kind: str) -> str:
         split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(kind), "removed", invert=True)
-        known = {c for found, _ in split.pre_tokenize_str(every) for c in found}
         runs: list[list[int]] = []
-        for c in map(ord, regex.findall(kind, every)):
-            if chr(c) in known:
-                continue
+        for c in sorted(ord(c) for found, _ in split.pre_tokenize_str(every) for c in found):
             if runs and runs[-1][1] == c - 1:
                 runs[-1][1] = c
             else:
                 runs.append([c, c])
-        later = "".join(rf"\U{lo:08x}-\U{hi:08x}" for lo, hi in runs)
-        return f"[{kind}--[{later}]]" if later else kind
+        return "".join(rf"\U{lo:08x}-\U{hi:08x}" for lo, hi in runs)
 
-    pattern = "(?V1)" + SPLIT.format(letter=without(r"\p{L}"), digit=without(r"\p{N}"))
+    kinds = {"letter": ranges(r"\p{L}"), "digit": ranges(r"\p{N}"), "space": ranges(r"\s")}
     own = tokenizers.normalizers.Lowercase().normalize_str("\n".join(points)).split("\n")
     # the line feed itself left an empty line and one more
     own[10:12] = ["\n"]
-    lower = {c: low for c, low in zip(points, own, strict=True) if c.lower() != low}
-    return pattern, lower
+    return kinds, {c: low for c, low in zip(points, own, strict=True) if c.lower() != low}
 
 
 @dataclass
@@ -91,7 +89,7 @@ class Model:
     ids: dict[str, int]
     merges: dict[tuple[int, int], tuple[int, int]]  # pair -> rank, merged id
     special: dict[str, int]
-    pattern: str
+    kinds: dict[str, str]
     lower: dict[str, str]
     texts: list[str] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)  # id of each byte, at a word's end
@@ -120,11 +118,17 @@ class Splitter:
     def __init__(self, model: Model):
         self.special = model.special
         self.any_special = re.compile("|".join(map(re.escape, sorted(model.special, key=len, reverse=True))) or r"(?!)")
-        self.words = regex.compile(model.pattern).findall
+        # the same pattern for texts of more and fewer planes: a class of few planes is faster
+        self.words = re.compile(SPLIT.format(**model.kinds)).findall
+        basic = {k: re.sub(r"\\U(?!0000)\w+-\\U\w+", "", v) for k, v in model.kinds.items()}
+        self.basic_words = re.compile(SPLIT.format(**basic)).findall
+        self.ascii_words = re.compile(SPLIT.format(letter="a-z", digit="0-9", space=r"\t-\r ")).findall
+        self.beyond_basic = re.compile("[\U00010000-\U0010ffff]").search
         self.lower = model.lower
-        self.any_lower = re.compile("|".join(map(re.escape, model.lower)) or r"(?!)")
-        # the same words where a text has nothing beyond ASCII
-        self.ascii_words = re.compile(SPLIT.format(letter="a-z", digit="0-9"), re.ASCII).findall
+        self.any_lower = re.compile(f"[{''.join(map(re.escape, model.lower))}]" if model.lower else r"(?!)")
+        # one range holds them all, and is found faster
+        span = map(re.escape, (min(model.lower), max(model.lower))) if model.lower else ()
+        self.maybe_lower = re.compile(f"[{'-'.join(span)}]" if model.lower else r"(?!)").search
 
     def __call__(self, text: str) -> list[str]:
         if "<|" not in text or not self.any_special.search(text):
@@ -141,45 +145,66 @@ class Splitter:
             return self.ascii_words(text.lower())
         # letter by letter, so a final sigma is no special case
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words(self.any_lower.sub(lambda m: self.lower[m.group()], text).lower())
+        if self.maybe_lower(text):
+            text = self.any_lower.sub(lambda m: self.lower[m.group()], text)
+        text = text.lower()
+        return (self.words if self.beyond_basic(text) else self.basic_words)(text)
 
 
 class Merger:
-    """Exact merges: always the pair of lowest rank, the leftmost of equals.
-
-    A heap of places over a linked list: a word of n bytes takes n log n steps."""
+    """Exact merges: always the pair of lowest rank, the leftmost of equals."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.rank_of = {pair: rank for pair, (rank, _) in model.merges.items()}.get
+        self.merged = [m for _, m in model.merges.values()]  # by rank
 
     def __call__(self, word: str) -> list[int]:
-        model, data = self.model, word.encode()
+        model = self.model
         if word in model.special:
             return [model.special[word]]
+        data = word.encode()
         if not data:
             return []
         piece = [model.starts[b] for b in data]
         piece[-1] = model.ends[data[-1]]
-        n = len(piece)
+        return self._short(piece) if len(piece) <= SHORT else self._long(piece)
+
+    def _short(self, piece: list[int]) -> list[int]:
+        """A list of the ranks of all neighbours, kept up to date."""
+        rank_of, none = self.rank_of, len(self.merged)
+        ranks = [rank_of(pair, none) for pair in zip(piece, piece[1:])]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            piece[i] = self.merged[low]
+            del piece[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((piece[i - 1], piece[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((piece[i], piece[i + 1]), none)
+        return piece
+
+    def _long(self, piece: list[int]) -> list[int]:
+        """A heap of places over a linked list: a word of n bytes takes n log n steps."""
+        n, rank_of = len(piece), self.rank_of
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = model.merges
-        heap = [(*merges[pair], i) for i in range(n - 1) if (pair := (piece[i], piece[i + 1])) in merges]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of((piece[i], piece[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, merged, i = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
             # the place has changed since
-            if piece[i] < 0 or j >= n or merges.get((piece[i], piece[j]), (0, -1))[1] != merged:
+            if piece[i] < 0 or j >= n or rank_of((piece[i], piece[j])) != rank:
                 continue
-            piece[i], piece[j] = merged, -1
+            piece[i], piece[j] = self.merged[rank], -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (pair := (merged, piece[k])) in merges:
-                    heapq.heappush(heap, (*merges[pair], i))
+                if (r := rank_of((piece[i], piece[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
             h = before[i]
-            if h >= 0 and (pair := (piece[h], merged)) in merges:
-                heapq.heappush(heap, (*merges[pair], h))
+            if h >= 0 and (r := rank_of((piece[h], piece[i]))) is not None:
+                heapq.heappush(heap, (r, h))
         return [p for p in piece if p >= 0]
 
 
@@ -192,14 +217,17 @@ def compiled(entries: Iterable[tuple[bytes, list[int]]]) -> np.ndarray:
     word, where each word's ids start, and the ids. The start is state 0."""
     arcs: list[dict[int, int]] = [{}]  # of every state, by byte in ascending order
     final = [False]
+    free: list[int] = []  # states that were replaced
     register: dict[tuple, int] = {}
 
     def settle(path: list[tuple[int, int]], keep: int) -> None:
         while len(path) > keep:
             parent, byte = path.pop()
             state = arcs[parent][byte]
-            shape = (final[state], *arcs[state].items())
-            arcs[parent][byte] = register.setdefault(shape, state)
+            equal = register.setdefault((final[state], *arcs[state].items()), state)
+            if equal != state:
+                arcs[parent][byte] = equal
+                free.append(state)
 
     path: list[tuple[int, int]] = []  # (parent, byte) on the way to the last word's end
     last, where, ids = b"", [0], []
@@ -210,11 +238,15 @@ def compiled(entries: Iterable[tuple[bytes, list[int]]]) -> np.ndarray:
         settle(path, same)
         state = arcs[path[-1][0]][path[-1][1]] if path else 0
         for byte in word[same:]:
-            arcs.append({})
-            final.append(False)
-            arcs[state][byte] = len(arcs) - 1
             path.append((state, byte))
-            state = len(arcs) - 1
+            if free:
+                new = free.pop()
+                arcs[new], final[new] = {}, False
+            else:
+                new = len(arcs)
+                arcs.append({})
+                final.append(False)
+            arcs[state][byte] = state = new
         final[state] = True
         last = word
         ids += own
@@ -297,7 +329,7 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for text in b.column(0):
                 counted.update(split(text.as_py()))
-                if len(counted) > MEMORY:
+                if len(counted) > COUNTED:
                     yield out()
                     counted.clear()
         if counted:
@@ -410,10 +442,12 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
         text = sent.value.__getitem__
         for b in batches:
             lists = b.column(names.index("ids"))
-            own = list(map(text, lists.flatten().to_numpy().tolist()))
-            ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())
-            out = [" ".join(own[lo:hi]) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, "string")], [*names, "decoded"])
+            ends = np.cumsum([0, *pc.list_value_length(lists).fill_null(0).to_numpy()])
+            for lo, hi in slices(ends, DECODED):
+                own = list(map(text, lists.slice(lo, hi - lo).flatten().to_numpy().tolist()))
+                places = (ends[lo : hi + 1] - ends[lo]).tolist()
+                out = [" ".join(own[x:y]) for x, y in zip(places, places[1:])]
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(out, "string")], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{fields}, decoded string")
