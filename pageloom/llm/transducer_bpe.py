@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.arrow_texts import list_array, slices, text_bytes
-from pageloom.llm.tables import plain_columns
+from pageloom.llm.tables import plain_columns, stored
 from pageloom.plans.checkpoints import shared_dir
 
 MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -340,19 +340,31 @@ def word_counts(docs: DataFrame, model: Model) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, words: int) -> list[str]:
+    """At most ``words`` of the most frequent words of a (word, n) table that can be read twice.
+
+    How many words there are of each order of magnitude, in sixteenths of a doubling, says
+    from which one on they fit; only those words reach the driver, no other ranks."""
+    size = F.floor(16 * F.log2("n")).cast("int")
+    room, least = words, None
+    for r in sorted(counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        least = r["size"]
+    return [] if least is None else [r.word for r in counts.where(size >= least).select("word").collect()]
+
+
 def lexicon_file(docs: DataFrame, model: Model, words: int = LEXICON_WORDS) -> str:
     """Compile the most frequent words of ``docs``; the name of a file every worker finds.
 
-    Words of over ``LEXICON_BYTES`` bytes are left to the merges, so what reaches the driver
-    is bounded by its two parameters. The file goes to the shared folder, and from there
-    to the executors, also to those that start later."""
-    spark = docs.sparkSession
-    short = word_counts(docs, model).where(F.octet_length("word") <= LEXICON_BYTES)
-    top = [r["word"] for r in short.orderBy(F.desc("n"), "word").limit(words).collect()]
+    Words of over ``LEXICON_BYTES`` bytes, and those that occur once, are left to the merges, so
+    what reaches the driver is bounded by the two parameters. The file goes to the
+    shared folder, and from there to the executors, also to those that start later."""
+    counts = stored(word_counts(docs, model).where((F.octet_length("word") <= LEXICON_BYTES) & (F.col("n") > 1)))
     merge = Merger(model)
-    array = compiled(sorted((w.encode(), merge(w)) for w in top))
-    name = f"lexicon-{uuid4().hex}.bin"
-    return _sent_file(spark, name, array.tobytes())
+    array = compiled(sorted((w.encode(), merge(w)) for w in frequent(counts, words)))
+    return _sent_file(docs.sparkSession, f"lexicon-{uuid4().hex}.bin", array.tobytes())
 
 
 def _sent_file(spark: SparkSession, name: str, content: bytes) -> str:

@@ -43,8 +43,8 @@ def test_splits_and_merges_as_the_library(model, library, odd_texts):
 
 
 def test_code_points(model, library):
-    """Every 7th code point, in and at the end of words, next to digits and signs."""
-    points = [c for c in range(0, sys.maxunicode + 1, 7) if not 0xD800 <= c < 0xE000]
+    """Every 37th code point, in and at the end of words, next to digits and signs."""
+    points = [c for c in range(0, sys.maxunicode + 1, 37) if not 0xD800 <= c < 0xE000]
     texts = [f"a{chr(c)}b1{chr(c)}?{chr(c)}" for c in points]
     split, merge = transducer_bpe.Splitter(model), transducer_bpe.Merger(model)
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
@@ -97,6 +97,15 @@ def test_counts_cover_all_texts(spark, model, odd_docs):
     assert {r.word: r.n for r in transducer_bpe.word_counts(odd_docs, model).collect()} == want
 
 
+def test_frequent_words_fit(spark):
+    counts = spark.range(1, 300).selectExpr("concat('w', id) AS word", "1000 DIV id AS n").where("n > 1")
+    by_count = [f"w{i}" for i in range(1, 300)]
+    for words in (0, 1, 3, 50, 1000):
+        got = transducer_bpe.frequent(counts, words)
+        assert len(got) <= words and sorted(got) == sorted(by_count[: len(got)])
+    assert len(transducer_bpe.frequent(counts, 50)) > 40
+
+
 def test_query_equals_the_library(spark, library):
     sf = "/root/testdata/sf0.001"
     rows = {r.doc_id: r for r in queries.op11_bpe(spark, sf).collect()}
