@@ -39,11 +39,11 @@ MODEL = public_tokenizers.path("word_bpe_49k.json")
 #: words compiled into the automaton, and the bytes of the longest of them
 LEXICON_WORDS, LEXICON_BYTES = 200_000, 48
 #: words a worker remembers beyond the automaton, and words it counts before it hands them on
-MEMORY, COUNTED = 100_000, 300_000
+MEMORY, COUNTED = 100_000, 150_000
 #: bytes of a word up to which its ranks are searched as a list, not as a heap
 SHORT = 64
-#: ids whose texts are joined at a time
-DECODED = 250_000
+#: bytes of text encoded at a time, and ids whose texts are joined at a time
+SLICE_BYTES, DECODED = 1 << 20, 250_000
 
 # How the tokenizer splits a normalised text, and the end of a word.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+"
@@ -395,7 +395,7 @@ def encoded(docs: DataFrame, path: str = MODEL, words: int = LEXICON_WORDS) -> D
         merged: dict[str, list[int]] = {}
         for b in batches:
             ends = text_bytes(b.column(1))[1]
-            for lo, hi in slices(ends):
+            for lo, hi in slices(ends, SLICE_BYTES):
                 known: defaultdict[str, int] = defaultdict()
                 known.default_factory = known.__len__  # a new word gets the next number
                 number = known.__getitem__
