@@ -46,10 +46,14 @@ def dictionaries(
 
     The sample is bounded by the parameters: texts are chosen by hash, about
     ``sample_texts`` of each language, and the dictionary takes of them, in order of
-    hash, as many bytes as it holds. Rows are counted before, so that nothing but the
-    sample travels; equal texts count once."""
+    hash, as many bytes as it holds. The different texts of each language are counted
+    before, so that nothing but the sample travels, and a language with few texts is
+    learned from all of them, however often each is repeated. More than
+    ``MAX_LANGUAGES`` languages are an error."""
     rows = plain_columns(labelled, "text", "lang").where("text <> '' AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    # by sketches, which are exact or nearly so where there are few
+    different = F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("count")
+    sizes = rows.groupBy("lang").agg(different).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
