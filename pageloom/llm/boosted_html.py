@@ -15,7 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +27,8 @@ from pageloom.llm.tables import hash_share, plain_columns
 
 #: pages the model is fitted on, about, and variants made of each
 SAMPLE_PAGES, VARIANTS = 200, 6
+#: characters of the longest page to learn from; longer ones are extracted like any other
+SAMPLE_CHARS = 1 << 20
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.3, 32, 20
 
 RAW = frozenset("script style template noscript iframe svg math object canvas title textarea noframes xmp".split())
@@ -82,10 +84,12 @@ def parse(html: str) -> Page:
     there are no tags, and after a quote that never closes quotes count as text."""
     page, open_, run, links, in_link = Page(), [0], [], 0, 0
     end, at, broken = html.rfind(">") + 1, 0, False
-    low, opened = None, Counter()
+    low = None
+    places: dict[str, list[int]] = defaultdict(list)  # where the open elements of each name are
 
     def close(k: int) -> None:
-        opened.subtract(page.tag[n] for n in open_[k:])
+        for n in open_[k:]:
+            places[page.tag[n]].pop()
         del open_[k:]
 
     def text(piece: str) -> None:
@@ -150,29 +154,24 @@ def parse(html: str) -> Page:
             continue
         in_link = 0
         if tag[1]:
-            k = len(open_) - 1
-            while opened[name] > 0 and page.tag[open_[k]] != name:
-                k -= 1
-            if opened[name] > 0:
-                close(k)
+            if places[name]:
+                close(places[name][-1])
             continue
         if page.tag[open_[-1]] == "p":  # any block ends a paragraph
             close(len(open_) - 1)
         closes = CLOSES.get(name)
-        for k in range(len(open_) - 1, 0, -1) if closes else ():
-            above = page.tag[open_[k]]
-            if above in closes:
+        if closes:
+            k = max((places[t][-1] for t in (*closes, *SCOPES) if places[t]), default=0)
+            if page.tag[open_[k]] in closes:
                 close(k)
-            if above in closes or above in SCOPES:
-                break
         words = set()
         for m in _ATTR.finditer(tag[3]):
             words.update(_WORD.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()))
         node = page.add(name, open_[-1], frozenset(words))
         if "hidden" in tag[3]:
             page.words[node] |= {"hidden"}
+        places[name].append(len(open_))
         open_.append(node)
-        opened[name] += 1
     flush()
     return page
 
@@ -310,6 +309,8 @@ _BAD = ["nav", "ul class=menu", "div class=navbar", "header", "header class=mast
         "form", "form class=newsletter", "div class=related", "div class=share", "div class=breadcrumb", "div role=alert"]
 _INSIDE = ["aside", "div class=ad", "div class=advert", "section class=comments", "div class=comments", "form",
            "div class=share", "div class=related", "nav class=breadcrumb", "header", "footer", "div class=notice"]
+#: a page that may mark its main text
+_MARKED = r"(?i)<(article|main)\b"
 _MAIN = re.compile(r"(?is)<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)")
 
 
@@ -387,12 +388,16 @@ def main_text(page: Page, odds: np.ndarray) -> str:
     return " ".join(t for t, k in zip(page.text, kept, strict=True) if k and t)
 
 
-def trained(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Boosted | None:
-    """Fitted on about ``sample_pages`` different pages, chosen by a hash of their HTML.
+def trained(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, page_chars: int = SAMPLE_CHARS) -> Boosted | None:
+    """Fitted on about ``sample_pages`` different pages that name an article or main element,
+    of at most ``page_chars`` characters, chosen by a hash of their HTML; on all of them where
+    there are fewer. None if no page names one.
 
-    Pages are counted before, so that only the sample travels; equal ones count once."""
-    rows = plain_columns(pages, "html").where("html <> ''")
-    share = sample_pages / max(1, rows.count())
+    The different pages of that kind are counted before, so that only the sample travels,
+    and neither copies nor pages without a mark take a place in it."""
+    rows = plain_columns(pages, "html").where(F.col("html").rlike(_MARKED) & (F.length("html") <= page_chars))
+    # by a sketch, which is exact or nearly so where there are few
+    share = sample_pages / max(1, rows.agg(F.approx_count_distinct(F.xxhash64("html"), 0.02)).first()[0])
     chosen = rows.where(hash_share("html") <= share).groupBy(F.xxhash64("html").alias("h")).agg(F.min("html").alias("html"))
     return fit([r.html for r in chosen.orderBy("h").limit(2 * sample_pages).collect()])
 

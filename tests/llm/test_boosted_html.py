@@ -83,3 +83,49 @@ def test_pages(spark, model):
     assert bh.extracted(df.limit(0), model).count() == 0
     assert bh.trained(df.limit(0)) is None and bh.trained(df.where("page_id < 3")) is None
     assert {r.text for r in bh.extracted(df.where("page_id = 3"), None).collect()} == {"plain text only"}
+
+
+@pytest.mark.parametrize("piece", ["<li></li>", "<td></td>", "</y>", "<dd><option>"])
+def test_depth_is_no_square(piece):
+    """Many open elements first, then many tags that look for one to close."""
+
+    def spent(n):
+        html = "<x>" * n + piece * n
+        start = time.process_time()
+        bh.parse(html)
+        return time.process_time() - start
+
+    spent(1000)
+    assert spent(40_000) < 8 * max(spent(10_000), 0.02)
+
+
+def test_decode_is_the_best_labelling():
+    """Against every labelling of small trees in which a dropped node keeps nothing."""
+    rng = random.Random(8)
+    for _ in range(60):
+        page = bh.Page()
+        for _ in range(rng.randint(1, 8)):
+            page.add("div", rng.randrange(len(page.tag)))
+        n = len(page.tag)
+        odds = bh.np.array([rng.gauss(0, 1) for _ in range(n)])
+
+        def total(kept, odds=odds, page=page, n=n):
+            if not kept[0] or any(kept[k] and not kept[page.parent[k]] for k in range(1, n)):
+                return -1e9
+            return sum(o if k else -o for o, k in zip(odds[1:], kept[1:], strict=True))
+
+        best = max(total([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n))
+        assert abs(total(bh.decode(page, odds)) - best) < 1e-9
+
+
+def test_copies_and_unmarked_pages_take_no_place_in_the_sample(spark):
+    """100 article pages are learned from, whatever the number of copies of a page without one."""
+    marked = [(k, "u", h) for k, h in enumerate(pages(100))]
+    one = "<nav><a href=/>home</a></nav><div>This is some other text.</div>"
+    rest = spark.range(100_000).selectExpr("id + 1000 AS page_id", "'u' AS url", f"concat('{one}', IF(id % 3 = 0, CAST(id AS STRING), '')) AS html")
+    df = spark.createDataFrame(marked, "page_id long, url string, html string").unionByName(rest)
+    learned = bh.trained(df)
+    assert learned is not None
+    got = {r.page_id: r.text for r in bh.extracted(df.where("page_id < 5"), learned).collect()}
+    assert all(got[k] == read(bh.fit([h for _, _, h in marked]), h) for k, _, h in marked[:5])
+    assert bh.trained(df, page_chars=10) is None
