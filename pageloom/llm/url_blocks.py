@@ -43,9 +43,12 @@ def _attr(name: str) -> str:
 def page_links(pages: DataFrame) -> DataFrame:
     """(source, target): canonical links and refresh redirects in the pages' HTML, resolved.
 
-    Only pages that name one of them at all are taken apart."""
+    Only pages that name one of them at all are taken apart, up to their last ``>``: a tag that
+    starts behind it has no end, and looking for one again and again takes the square of
+    the page's length."""
     named = plain_columns(pages, "url", "html").where("html RLIKE '(?i)canonical|refresh'")
-    tags = named.select("url", F.explode(F.expr(f"regexp_extract_all(html, {lit(_TAGS)}, 0)")).alias("tag"))
+    closed = "left(html, length(html) - length(substring_index(html, '>', -1)))"
+    tags = named.select("url", F.explode(F.expr(f"regexp_extract_all({closed}, {lit(_TAGS)}, 0)")).alias("tag"))
     canonical = f"IF(lower(tag) LIKE '<link%' AND {_attr('rel')} RLIKE '(?i)(^|\\\\s)canonical(\\\\s|$)', {_attr('href')}, '')"
     refresh = (
         f"IF(lower(tag) LIKE '<meta%' AND lower({_attr('http-equiv')}) = 'refresh',"

@@ -1,3 +1,5 @@
+import time
+
 from pageloom.llm import url_blocks
 from pageloom.llm.graph import components
 
@@ -56,3 +58,14 @@ def test_components(spark):
     got = {r.node: r.component for r in components(rows, "a", "b").collect()}
     want = {k: 0 for k in range(41)} | dict.fromkeys((100, 101, 102), 100) | dict.fromkeys(range(1000, 1200), 1000)
     assert got == want
+
+
+def test_open_tags_without_end_are_linear(spark):
+    """320 kB of link tags that never end, with and without a tag behind them."""
+    for tail in ("", "<p>"):
+        html = "<link canonical " * 20_000 + tail
+        df = spark.createDataFrame([(1, "https://a.test/", html)], "page_id long, url string, html string")
+        url_blocks.page_links(df).count()
+        start = time.time()
+        assert url_blocks.page_links(df).count() == 0
+        assert time.time() - start < 5
