@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 _fresh = count()
 
 
+def fresh() -> int:
+    """A number for the names of lambda variables that no other expression uses."""
+    return next(_fresh)
+
+
 def expr(text: str) -> Column:
     return F.expr(text)
 
@@ -52,10 +57,12 @@ def keep(array: str, test: Callable[[str], str]) -> str:
 def let(value: str, body: Callable[[str], str]) -> str:
     """Evaluate ``value`` once and hand it to ``body``.
 
-    Text used five times runs five times; going through a one-element array
-    binds the result to a lambda variable.
+    Text used five times runs five times; an aggregate over no elements binds its start
+    value to a lambda variable. Unlike a transform of a one-element array it copies
+    nothing: neither the value nor the result, which may hold all elements of a page.
     """
-    return f"get({each(f'array({value})', body)}, 0)"
+    n = next(_fresh)
+    return f"aggregate(array(), {value}, (a{n}, x{n}) -> a{n}, v{n} -> {body(f'v{n}')})"
 
 
 def case(*branches: tuple[str, str], default: str = "NULL") -> str:

@@ -14,7 +14,7 @@ character is passed a fixed number of times, whatever the markup.
 
 from __future__ import annotations
 
-from pageloom.functions.core import each, each_indexed, first_by_key, in_list, keep, let, lit, struct
+from pageloom.functions.core import each, each_indexed, first_by_key, fresh, in_list, keep, let, lit, struct
 from pageloom.functions.text import ENTITY_TABLE, decode_entities_sql, trim_space_sql
 
 # Elements whose content is not markup.
@@ -56,15 +56,17 @@ def _run(stop: str, group: int) -> str:
     )
 
 
-def element_pattern(names: tuple[str, ...] | None) -> tuple[str, int]:
+def element_pattern(names: tuple[str, ...] | None, closing: tuple[str, ...] = ()) -> tuple[str, int]:
     """Pattern and group number that yield the elements called ``names`` (all
     elements for None): raw-text elements whole, anchors and headings up to
-    where they must end, any other as its start tag only."""
+    where they must end, any other as its start tag only; and the end tags of
+    those in ``closing``."""
     wanted = set(names or ())
     raw = sorted(wanted & set(RAW_TEXT.split("|"))) if names else RAW_TEXT.split("|")
     plain = sorted(wanted - set(raw) - {"a", "h1", "h2", "h3", "h4", "h5", "h6"})
     heads = sorted(n for n in wanted if n in ("h1", "h2", "h3", "h4", "h5", "h6"))
     stop = rf"(?:{'|'.join(sorted(wanted))}){_END}" if names else "[a-z]"
+    ends = rf"/(?:{'|'.join(closing)}){_END}"
     # group 1 is the raw name inside the skipped run, group 2 the element
     group = 3
     shapes = []
@@ -83,22 +85,16 @@ def element_pattern(names: tuple[str, ...] | None) -> tuple[str, int]:
         which = rf"(?:{'|'.join(plain)}){_END}" if names else "[a-z]"
         shapes.append(rf"{which}{_ATTRS}>")
     consumed = rf"{_raw_element('|'.join(raw), group)}|" if raw else ""
+    if closing:
+        stop = rf"(?:{stop}|{ends})"
+        shapes.append(rf"{ends}[^>]*+>")
+        consumed += "/[^>]*+>|"
     return (
         rf"(?is){_run(stop, 1)}(?:(?=(<(?:{'|'.join(shapes)})))<(?:{consumed}[a-z]{_ATTRS}>)|<|\z)",
         2,
     )
 
 
-def container_pattern(name: str) -> tuple[str, int]:
-    """Pattern and group number for elements with all they contain, up to the
-    first matching end tag. A nested one of the same name is part of the outer."""
-    return (
-        rf"(?is){_run(rf'{name}{_END}', 1)}"
-        rf"(?:(<{name}{_END}{_ATTRS}>{_run(rf'/{name}{_END}', 3)})|<|\z)",
-        2,
-    )
-
-
 def _pieces(html: str, pattern: tuple[str, int]) -> str:
     regex, group = pattern
     return keep(f"regexp_extract_all({html}, {lit(regex)}, {group})", lambda m: f"{m} != ''")
@@ -186,64 +182,92 @@ def _elements(html: str, names: tuple[str, ...] | None, with_text: bool, table:
     return _parsed(_pieces(html, element_pattern(names)), with_text, table)
 
 
-def _parsed(pieces: str, with_text: bool, table: str) -> str:
-    first_name = lit(r"^<([^\s/>]++)")
+def _tag_sql(piece: str) -> str:
+    """Lower-case name of a piece of markup, with the slash of an end tag."""
+    return f"lower(regexp_extract({piece}, {lit(r'^<(/?+[^\s/>]++)')}, 1))"
 
-    def element(e: str, pos: str) -> str:
-        def fields(tag: str) -> str:
-            text = f"IF({in_list(tag, _WITH_TEXT)}, {text_sql(tag, e, table)}, NULL)"
-            return struct(
-                pos=pos,
-                tag=tag,
-                attrs=attributes_sql(e, table),
-                text=text if with_text else "CAST(NULL AS STRING)",
-            )
-
-        return let(f"lower(regexp_extract({e}, {first_name}, 1))", fields)
-
-    return each_indexed(pieces, element)
 
-
-def containers_sql(html: str, name: str) -> str:
-    """array<string>: the markup of every element ``name`` with its content."""
-    return let(sealed_sql(html), lambda h: _containers(h, name))
+def _fields(pos: str, tag: str, markup: str, with_text: bool, table: str) -> str:
+    text = f"IF({in_list(tag, _WITH_TEXT)}, {text_sql(tag, markup, table)}, NULL)"
+    return struct(
+        pos=pos,
+        tag=tag,
+        attrs=attributes_sql(markup, table),
+        text=text if with_text else "CAST(NULL AS STRING)",
+    )
 
 
-def _containers(html: str, name: str) -> str:
-    return _pieces(html, container_pattern(name))
+def _parsed(pieces: str, with_text: bool, table: str) -> str:
+    return each_indexed(
+        pieces, lambda e, pos: let(_tag_sql(e), lambda tag: _fields(pos, tag, e, with_text, table))
+    )
 
 
 def document_sql(html: str, names: tuple[str, ...], inside: dict[str, tuple[str, ...]]) -> str:
     """struct<elements, form, video, ...>: the elements called ``names``, and for
     each container in ``inside`` an array with, per occurrence, an array of its
-    elements of the given names.
+    elements of the given names, the container itself first where it is one of them.
 
-    A container is only searched for on pages where its start tag occurs. The
-    entity table is bound once for all.
+    One pass over the HTML cuts out everything that is asked for, and the containers'
+    end tags. A piece's place in that list is its label: a container holds the pieces
+    between its start tag and the first end tag of its name, whatever is nested, so its
+    content is a stretch of the list. The entity table is bound once for all.
     """
-
-    def contained(h: str, container: str, table: str) -> str:
-        wanted = element_pattern(inside[container])
-        found = each(
-            _containers(h, container), lambda c: _parsed(_pieces(c, wanted), False, table)
-        )
-        return f"IF({_occurs(h, [container])}, {found}, array())"
+    every = tuple(dict.fromkeys([*names, *inside, *(n for ns in inside.values() for n in ns)]))
 
     def build(h: str, table: str) -> str:
-        elements = _elements(h, names, True, table)
         if not inside:
-            return struct(elements=elements)
-        return let(
-            _occurs(h, list(inside)),
-            lambda some: struct(
-                elements=elements,
-                **{c: f"IF({some}, {contained(h, c, table)}, array())" for c in inside},
-            ),
-        )
+            return struct(elements=_elements(h, names, True, table))
+        pieces = _pieces(h, element_pattern(every, tuple(inside)))
+        tagged = each(pieces, lambda e: struct(tag=_tag_sql(e), markup=e))
+
+        def parts(p: str) -> str:
+            own = keep(p, lambda x: in_list(f"{x}.tag", names)) if names else "array()"
+            return struct(
+                elements=_tagged(own, True, table) if names else "array()",
+                **{c: _contained(p, c, inside[c], table) for c in inside},
+            )
+
+        return let(tagged, parts)
 
     return let(sealed_sql(html), lambda h: let(ENTITY_TABLE, lambda table: build(h, table)))
 
 
-def _occurs(html: str, names: list[str]) -> str:
-    which = "|".join(names)
-    return f"{html} RLIKE {lit(rf'(?i)<(?:{which})[\s/>]')}"
+def _tagged(pieces: str, with_text: bool, table: str) -> str:
+    return each_indexed(
+        pieces, lambda x, pos: _fields(pos, f"{x}.tag", f"{x}.markup", with_text, table)
+    )
+
+
+def _contained(pieces: str, container: str, names: tuple[str, ...], table: str) -> str:
+    """Per occurrence of a container, its elements, out of a page's tagged pieces.
+
+    Of the container's own tags in order, a start tag opens one unless the tag before it
+    is a start tag too (it is nested then), and an end tag closes one if the tag before it
+    is a start tag. The k-th that opens and the k-th that closes belong together; what
+    isn't closed ends with the page."""
+    start, end = lit(container), lit(f"/{container}")
+    placed = each_indexed(pieces, lambda x, i: struct(tag=f"{x}.tag", i=i))
+    marks = keep(placed, lambda m: in_list(f"{m}.tag", (container, f"/{container}")))
+
+    def where(own: str, tag: str, first: str) -> str:
+        n = fresh()
+        before = f"get({own}, j{n} - 1).tag"
+        other = end if tag == start else start
+        return f"filter({own}, (m{n}, j{n}) -> m{n}.tag = {tag} AND (j{n} = 0 AND {first} OR {before} = {other}))"
+
+    def stretches(opens: str, closes: str) -> str:
+        def content(o: str, k: str) -> str:
+            upto = f"coalesce(get({closes}, {k}).i, size({pieces}))"
+            held = f"slice({pieces}, {o}.i + 1, {upto} - {o}.i)"
+            return _tagged(keep(held, lambda x: in_list(f"{x}.tag", names)), False, table)
+
+        return each_indexed(opens, content)
+
+    return let(
+        marks,
+        lambda own: let(
+            where(own, start, "true"),
+            lambda opens: let(where(own, end, "false"), lambda closes: stretches(opens, closes)),
+        ),
+    )

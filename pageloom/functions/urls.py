@@ -32,6 +32,13 @@ _PLAIN_PATH = (
     r"(?:/(?![/.])[A-Za-z0-9\-_.~$&+,:;=@!'()*\[\]]*+)++(?:\?[^#\x00-\x1f\x7f]*+)?$"
 )
 
+# A whole URL of the commonest kind, for which nothing is to be escaped, checked or cut:
+# http or https, a plain host, no empty or dotted segment, no fragment.
+_PLAIN_URL = (
+    r"^https?://[A-Za-z0-9.-]++(?::[0-9]++)?"
+    r"(?:/(?=\?|\z)|(?:/(?![/.])[A-Za-z0-9\-_.~$&+,:;=@!'()*\[\]]++)++)(?:\?[^#\x00-\x1f\x7f]*+)?\z"
+)
+
 _CONTROL = r"[\x00-\x1f\x7f]"
 _TRIPLET = r"%[0-9A-Fa-f]{2}"
 _BAD_PERCENT = r"%(?![0-9A-Fa-f]{2})"
@@ -141,7 +148,28 @@ def parse_sql(url: str) -> str:
         )
         return f"IF({bad}, NULL, {parts})"
 
-    return let(let(url, split), lambda s: f"IF({s} IS NULL, NULL, {check(s)})")
+    def plain(u: str) -> str:
+        rest = let(
+            f"split({u}, '/', 4)",
+            lambda p: struct(scheme=f"substring_index({u}, ':', 1)", authority=f"concat('//', {p}[2])", rest=f"concat('/', {p}[3])"),
+        )
+        return let(
+            rest,
+            lambda p: struct(
+                scheme=f"{p}.scheme",
+                authority=f"{p}.authority",
+                path=f"substring_index({p}.rest, '?', 1)",
+                query=f"IF(contains({p}.rest, '?'), substr({p}.rest, instr({p}.rest, '?')), '')",
+                fragment="''",
+                opaque="false",
+            ),
+        )
+
+    def whole(u: str) -> str:
+        any_ = let(split(u), lambda s: f"IF({s} IS NULL, NULL, {check(s)})")
+        return f"IF({_matches(u, _PLAIN_URL)}, {plain(u)}, {any_})"
+
+    return let(url, whole)
 
 
 def _assemble(scheme: str, authority: str, path: str, query: str, fragment: str) -> str:
@@ -175,7 +203,9 @@ def base_sql(url: str) -> str:
 
 def host_name_sql(url: str) -> str:
     without_port = lambda p: f"regexp_replace({host_sql(f'{p}.authority')}, ':[0-9]*$', '')"
-    return let(parse_sql(url), lambda p: f"btrim({without_port(p)}, '[]')")
+    plain = lambda u: f"substring_index(split({u}, '/', 4)[2], ':', 1)"
+    any_ = lambda u: let(parse_sql(u), lambda p: f"btrim({without_port(p)}, '[]')")
+    return let(url, lambda u: f"IF({_matches(u, _PLAIN_URL)}, {plain(u)}, {any_(u)})")
 
 
 def host_name(url: str) -> Column:
@@ -294,7 +324,11 @@ def canonical_sql(url: str, ignore_query: bool = False) -> str:
         )
         return f"IF({p}.scheme IN ('http', 'https'), {built}, NULL)"
 
-    return let(parse_sql(url), canon)
+    def whole(u: str) -> str:
+        own = f"substring_index({u}, '?', 1)" if ignore_query else u
+        return f"IF({_matches(u, _PLAIN_URL)}, {own}, {let(parse_sql(u), canon)})"
+
+    return let(url, whole)
 
 
 def canonical_url(url: str, ignore_query: bool = False) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.core import each, expr
-from pageloom.functions.html import containers_sql, elements_sql
+from pageloom.functions.core import expr
+from pageloom.functions.html import document_sql, elements_sql
 from pageloom.operators.items import inline_rows
 from pageloom.sources.pages import EFFECTIVE_HTML, as_pages
 
@@ -26,10 +26,7 @@ def shred_html(pages: DataFrame, tags: tuple[str, ...] | None = None) -> DataFra
 def contained_elements(pages: DataFrame, container: str, tags: tuple[str, ...]) -> DataFrame:
     """The descendant selector ``container tag``: page_id, parent (ordinal of
     the container), pos, tag, attrs."""
-    inside = each(
-        containers_sql(f"({EFFECTIVE_HTML})", container),
-        lambda c: elements_sql(c, tags, with_text=False),
-    )
+    inside = f"{document_sql(f'({EFFECTIVE_HTML})', (), {container: tags})}.{container}"
     parents = as_pages(pages).select(
         "page_id", F.posexplode_outer(expr(inside)).alias("parent", "elements")
     )
