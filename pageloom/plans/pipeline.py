@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions.core import expr
+from pageloom.functions.core import expr, struct
 from pageloom.functions.html import document_sql
 from pageloom.functions.text import strip_tags_sql
 from pageloom.operators.items import ANCHORS, BASE, DOCUMENT, HTML, TEXT, inline_rows
 from pageloom.operators.links import resolved_anchors_sql
-from pageloom.operators.registry import BUILT_IN, Registry, default_registry, guarded
-from pageloom.schema import PAGE, PAGE_ITEM
+from pageloom.operators.registry import BUILT_IN, Registry, default_registry, found_by
+from pageloom.plans.checkpoints import shared_dir, stored
+from pageloom.schema import ITEM, PAGE, PAGE_ITEM
 from pageloom.sources.pages import BASE as BASE_SQL
 from pageloom.sources.pages import EFFECTIVE_HTML, as_pages, is_ok
 
@@ -89,17 +90,31 @@ def page_items(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
     return joined.select(*PAGE.names, F.concat("items", F.expr(own).cast(ITEMS)).alias("items"))
 
 
-def _row_items(pages: DataFrame, reg: Registry) -> DataFrame:
+#: what row-level functions found on a page, and what failed
+_FOUND = "_found"
+
+
+def _placed(items: str, nth: int) -> str:
+    """A built-in extractor's items with its number in front of their places."""
+    place = struct(nth=f"CAST({nth} AS INT)", phase="i.ord.phase", pos="i.ord.pos", sub="i.ord.sub")
+    item = struct(type="i.type", value="i.value", metadata="i.metadata", ord=place)
+    return f"transform({items}, i -> {item})"
+
+
+def _row_items(pages: DataFrame, reg: Registry, *more) -> DataFrame:
+    """Pages, their items by built-in and row-level extractors, and ``more`` columns."""
     parts = []
-    for name in reg.built_in:
+    for nth, name in enumerate(reg.built_in):
         opts = reg.options.get(name)
         sql = f"coalesce({BUILT_IN[name].items_sql(**opts)}, array())" if opts else _items(name)
-        parts.append(expr(sql))
-    for name, (fn, columns) in reg.rows.items():
-        parts.append(guarded(name, fn, columns)["items"])
+        parts.append(expr(_placed(sql, nth)))
+    ready = prepare(pages, reg.built_in)
+    if reg.rows:
+        ready = ready.withColumn(_FOUND, found_by(reg.rows, len(reg.built_in)))
+        parts.append(F.col(f"{_FOUND}.items"))
     items = F.concat(*parts) if parts else expr("array()")
     kept = F.when(is_ok(), items.cast(ITEMS)).otherwise(expr("array()").cast(ITEMS))
-    return prepare(pages, reg.built_in).select(*PAGE.names, kept.alias("items"))
+    return ready.select(*PAGE.names, kept.alias("items"), *more)
 
 
 def explode_items(with_items: DataFrame) -> DataFrame:
@@ -124,24 +139,56 @@ def extract_all(pages: DataFrame, registry: Registry | None = None) -> DataFrame
     return items
 
 
+def extract_checked(
+    pages: DataFrame, registry: Registry, folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(items, errors) of all extractors from one run: what ``extract_all`` and
+    ``extractor_errors`` give, but every page is taken apart once and every function called
+    once for it. The findings and failures are written together, into ``folder`` or below
+    the shared one, and both tables read them from there."""
+    spark = pages.sparkSession
+    path = folder or shared_dir(spark)
+    frames = registry.frame_items(pages)
+    none = expr("CAST(array() AS array<struct<extractor: string, error: string>>)")
+    errors = F.col(f"{_FOUND}.errors") if registry.rows else none
+    rows = _row_items(pages, registry, errors.alias("_errors"))
+    names = PAGE_ITEM.names
+    kinds = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in PAGE_ITEM.fields)
+    kind = f"array<struct<{kinds}, extractor: string, error: string>>"
+    finding = struct(**{n: f"i.{n}" for n in names}, extractor="NULL", error="NULL")
+    failure = struct(**dict.fromkeys(names, "NULL"), extractor="e.extractor", error="e.error")
+    both = (
+        f"concat(CAST(transform(items, i -> {finding}) AS {kind}),"
+        f" CAST(transform(_errors, e -> {failure}) AS {kind}))"
+    )
+    listed = rows.select("page_id", F.col("url").alias("source_url"), expr(both).alias("_rows"))
+    flat = listed.select("page_id", "source_url", F.inline_outer("_rows")).where("type IS NOT NULL OR extractor IS NOT NULL")
+    run = stored(flat, path)
+    items = run.where("extractor IS NULL").select(*ITEM.names)
+    failed = run.where("extractor IS NOT NULL").select("page_id", F.col("source_url").alias("url"), "extractor", "error")
+    for name, custom, error in frames:
+        if custom is not None:
+            items = items.unionByName(custom)
+        else:
+            whole = spark.createDataFrame([(None, None, name, error)], failed.schema)
+            failed = failed.unionByName(whole)
+    return items, failed
+
+
 def extractor_errors(pages: DataFrame, registry: Registry) -> DataFrame:
     """What failed: page_id, url, extractor, error.
 
     A row-level extractor fails page by page, a frame-level one as a whole (page_id and
-    url are NULL). Failed fetches are never handed to either."""
+    url are NULL). Failed fetches are never handed to either. Runs the registered functions
+    and nothing else; ``extract_checked`` gives the items of the same run too."""
     pages = as_pages(pages)
     whole = [(None, None, name, error) for name, _, error in registry.frame_items(pages) if error]
     schema = "page_id long, url string, extractor string, error string"
-    out = pages.sparkSession.createDataFrame(whole, schema) if whole or not registry.rows else None
-    for name, (fn, columns) in registry.rows.items():
-        failed = pages.select(
-            "page_id",
-            "url",
-            F.lit(name).alias("extractor"),
-            guarded(name, fn, columns)["error"].alias("error"),
-        ).where("error IS NOT NULL")
-        out = failed if out is None else out.unionByName(failed)
-    return out
+    out = pages.sparkSession.createDataFrame(whole, schema)
+    if not registry.rows:
+        return out
+    found = pages.select("page_id", "url", found_by(registry.rows)["errors"].alias("_errors"))
+    return inline_rows(found, "_errors", "page_id", "url").unionByName(out)
 
 
 def page_results(pages: DataFrame, registry: Registry | None = None) -> DataFrame:
@@ -150,8 +197,11 @@ def page_results(pages: DataFrame, registry: Registry | None = None) -> DataFram
 
     The nested items keep their order. Needs no join: the items are made in the
     page's row."""
-    reg = registry or default_registry()
-    with_items = page_items(pages, reg)
+    return nested(page_items(pages, registry))
+
+
+def nested(with_items: DataFrame) -> DataFrame:
+    """``page_results`` out of a ``page_items`` table."""
     return with_items.select(
         F.struct(*PAGE.names).alias("page"),
         F.expr(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names of the fields of captured calls, pages and findings.
 REQUEST = T.StructType(
     [
         T.StructField("url", T.StringType()),
@@ -34,8 +35,11 @@ PAGE = T.StructType(
     ]
 )
 
+# A finding's place on its page: the extractor's number in its registry, then the
+# extractor's own order.
 ORD = T.StructType(
     [
+        T.StructField("nth", T.IntegerType()),
         T.StructField("phase", T.IntegerType()),
         T.StructField("pos", T.IntegerType()),
         T.StructField("sub", T.IntegerType()),
