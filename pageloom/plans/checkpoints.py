@@ -27,15 +27,56 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, folder: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Write a DataFrame as a table in buckets by ``key``, in the shared folder, and read it
+    from there: a join on the key doesn't shuffle it again. Buckets are as many as Spark's
+    shuffle partitions unless given, so rows that come from a shuffle by the key need no other.
+
+    The buckets are known to the returned DataFrame; ``open_bucketed`` opens the files in
+    another session."""
+    spark = df.sparkSession
+    path = folder or shared_dir(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"pageloom_{uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return _unnamed(spark, name)
+
+
+def open_bucketed(spark: SparkSession, folder: str, key: str, buckets: int, columns: str) -> DataFrame:
+    """A table that ``bucketed`` wrote into ``folder``, in this session or another one;
+    ``columns`` with their types, as SQL."""
+    name = f"pageloom_{uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`)"
+        f" INTO {buckets} BUCKETS LOCATION '{folder}'"
+    )
+    return _unnamed(spark, name)
+
+
+def _unnamed(spark: SparkSession, name: str) -> DataFrame:
+    """A table's DataFrame; its name is only needed to tell Spark of the buckets."""
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    return table
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate results, wherever it is."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    place, files = _filesystem(spark, folder)
+    files.delete(place, True)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _filesystem(spark, path)
+    return files.exists(place)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a DataFrame in the shared folder and forget how it was made."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    place, files = _filesystem(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []

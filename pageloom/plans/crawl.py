@@ -1,11 +1,12 @@
 """Breadth-first expansion of a crawl over captured pages.
 
-The pages are read once, for the link graph: one node per canonical URL, with
-whether its page was fetched and where its links lead. The graph is a narrow
-table in the shared folder, for one crawl or for many. Every level joins the
-frontier with it, on a key that is unique on both sides; a URL to which a third
-of all pages link is reduced on the map side. Only the loop over the levels runs
-on the driver.
+The pages' HTML is read once, for the link graph: one node per canonical URL, with
+whether its page was fetched and where its links lead. The graph is a narrow table
+in the shared folder, in buckets by URL, for one crawl or for many. Every level joins
+the frontier with it, on a key that is unique on both sides, and neither the graph nor
+the levels before are ever shuffled again: all that moves is the frontier and the links
+that lead out of it. A URL to which a third of all pages link is reduced on the map
+side. Only the loop over the levels runs on the driver.
 
 Order: the reference takes URLs first in, first out. The place of a URL in that
 order is the list of link positions on its way from the seed, so it needs no
@@ -16,14 +17,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.core import each_indexed, expr, keep, struct
 from pageloom.functions.urls import canonical_sql, canonical_url, host_name, in_allowed_domain, with_scheme
 from pageloom.operators import links
 from pageloom.operators.items import inline_rows
-from pageloom.plans.checkpoints import cut, removed, shared_dir, stored
+from pageloom.plans import bloom
+from pageloom.plans.checkpoints import bucketed, open_bucketed, removed, shared_dir, stored
 from pageloom.plans.pipeline import extract_all, prepare
 from pageloom.sources.pages import as_pages, is_ok
 
@@ -31,6 +33,10 @@ from pageloom.sources.pages import as_pages, is_ok
 MAX_DEPTH = 3
 MAX_PAGES = 500
 
+# Columns of a graph, and of the URLs queued.
+GRAPH = "url string, page_id bigint, ok boolean, links array<struct<pos: int, dst_url: string, link_type: string>>"
+QUEUED = "url string, depth int, path array<int>"
+
 # Above this many rows a ranking is not left to a single task.
 _ONE_TASK_ROWS = 100_000
 
@@ -66,25 +72,66 @@ def link_edges(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
     return edges.select("page_id", "src_url", "dst_url", "link_type", "pos")
 
 
-def site_graph(pages: DataFrame, ignore_query: bool = False, folder: str | None = None) -> DataFrame:
-    """One node per canonical URL: url, page_id, ok, links; stored in ``folder`` or
-    below the shared one. Hand it to ``crawl`` for as many seeds as there are.
+def captures(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
+    """url (canonical), fetched_at, page_id of every capture that has a URL: narrow columns,
+    so that a scan reads no HTML (but where a table has no page_id and it is made of the content)."""
+    known = as_pages(pages).select(
+        canonical_url("url", ignore_query).alias("url"), "fetched_at", "page_id"
+    )
+    return known.where("url IS NOT NULL")
+
+
+def site_graph(
+    pages: DataFrame,
+    ignore_query: bool = False,
+    folder: str | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """One node per canonical URL: url, page_id, ok, links; a table in ``buckets`` by url (as many as
+    Spark's shuffle partitions unless given), in ``folder`` or below the shared one. Hand it to
+    ``crawl`` for as many seeds as there are; ``open_graph`` opens it in another session.
 
     Of several captures of a URL the first counts, by time and then page_id (which
-    ``as_pages`` makes of the content where a table has none). The HTML is read once;
-    the choice is made on the captures' narrow columns, combined on the map side, so
-    very many captures of one URL send one row per task."""
-    work = shared_dir(pages.sparkSession)
-    nodes = with_links(pages, ignore_query).where("src_url IS NOT NULL")
-    captures = stored(nodes.withColumnRenamed("src_url", "url"), work)
-    first = captures.groupBy("url").agg(F.min(F.struct("fetched_at", "page_id")).alias("_first"))
-    chosen = first.select("url", F.col("_first.page_id").alias("page_id"))
-    graph = captures.join(chosen, ["url", "page_id"]).dropDuplicates(["url"])
-    graph = stored(graph.select("url", "page_id", "ok", "links"), folder)
-    removed(pages.sparkSession, work)
+    ``as_pages`` makes of the content where a table has none). The choice is made first, on
+    the captures' narrow columns, combined on the map side: very many captures of one URL
+    send one row per task. Only then is HTML read, of the captures that were chosen: a Bloom
+    filter of their keys, at most 8 MB, goes to the scan, so pages are neither shuffled nor
+    parsed in vain; the few others that it lets through are dropped by an exact join of the
+    nodes, which are narrow. Where no URL was captured twice there is nothing to choose."""
+    spark = pages.sparkSession
+    work = shared_dir(spark)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = captures(pages, ignore_query).groupBy("url").agg(
+        F.min(F.struct("fetched_at", "page_id")).alias("_first"), F.count("*").alias("_captures")
+    )
+    size = Observation()
+    counted = seen.observe(size, F.count("*").alias("urls"), F.sum("_captures").alias("captures"))
+    keys = counted.select("url", F.col("_first.page_id").alias("page_id"), F.col("_first.fetched_at").alias("_at"))
+    chosen = stored(keys, f"{work}/chosen")
+    urls, many = size.get["urls"], size.get["captures"] or 0
+    if urls == many:
+        nodes = with_links(pages, ignore_query).where("src_url IS NOT NULL").withColumnRenamed("src_url", "url")
+    else:
+        nodes = _chosen_nodes(pages, ignore_query, chosen, urls, work)
+    graph = nodes.select("url", "page_id", "ok", "links").repartition(n, "url")
+    graph = bucketed(graph, "url", folder, n)
+    removed(spark, work)
     return graph
 
 
+def _chosen_nodes(pages: DataFrame, ignore_query: bool, chosen: DataFrame, urls: int, work: str) -> DataFrame:
+    words = bloom.words_for(urls)
+    passing = stored(bloom.bloom(chosen, ["url", "page_id"], words), f"{work}/bloom")
+    wanted = bloom.may_contain(passing, words, canonical_url("url", ignore_query), F.col("page_id"))
+    nodes = with_links(as_pages(pages).where(wanted), ignore_query).withColumnRenamed("src_url", "url")
+    return nodes.join(chosen, ["url", "page_id"]).dropDuplicates(["url"])
+
+
+def open_graph(spark: SparkSession, folder: str, buckets: int) -> DataFrame:
+    """A graph that ``site_graph`` wrote into ``folder``, in this session or another one."""
+    return open_bucketed(spark, folder, "url", buckets, GRAPH)
+
+
 def unique_paths(urls: DataFrame, column: str = "url", order: str = "page_id") -> DataFrame:
     """One URL per canonical form without its query: the first in ``order``."""
     keyed = urls.withColumn("path_url", canonical_url(column, ignore_query=True))
@@ -97,7 +144,7 @@ def unique_paths(urls: DataFrame, column: str = "url", order: str = "page_id") -
 
 def expand_once(
     frontier: DataFrame,
-    visited: DataFrame,
+    visited: DataFrame | list[DataFrame],
     nodes: DataFrame,
     allow_external: bool = False,
     remaining: int | None = None,
@@ -105,8 +152,9 @@ def expand_once(
 ) -> DataFrame:
     """The next level: url, depth, path of the URLs first seen now.
 
-    ``frontier`` has url, depth, path (the place in the queue); ``remaining`` is
-    how many URLs may still be admitted. Internal links only unless external
+    ``frontier`` has url, depth, path (the place in the queue); ``visited`` may be a list
+    of tables, each in buckets by url, which are then left where they are; ``remaining``
+    is how many URLs may still be admitted. Internal links only unless external
     ones are allowed. Pages outside ``domain`` are not followed: a crawl never
     fetches them."""
     if domain is not None:
@@ -120,34 +168,40 @@ def expand_once(
         (F.min("depth") + 1).alias("depth"),
         F.min(F.concat("path", F.array("pos"))).alias("path"),
     )
-    new = found.join(visited.select("url"), "url", "left_anti")
+    new = found
+    for past in visited if isinstance(visited, list) else [visited]:
+        new = new.join(past.select("url"), "url", "left_anti")
     return new if remaining is None else first_rows(new, remaining)
 
 
-def first_rows(df: DataFrame, n: int) -> DataFrame:
+def first_rows(df: DataFrame, n: int, folder: str | None = None) -> DataFrame:
     """The n rows that come first by ``path``."""
     if n <= _ONE_TASK_ROWS:
         return df.orderBy("path").limit(n)
-    return ranked(df, ["path"]).where(F.col("rank") < n).drop("rank")
+    return ranked(df, ["path"], folder).where(F.col("rank") < n).drop("rank")
 
 
-def ranked(df: DataFrame, order: list[str]) -> DataFrame:
+def ranked(df: DataFrame, order: list[str], folder: str | None = None) -> DataFrame:
     """Add ``rank`` (from 0) by ``order`` without sorting everything in one task.
 
-    Range-partitions, numbers each partition on its own and adds the sizes of the
-    partitions before it; only those sizes, one per partition, reach the driver."""
+    Range-partitions, numbers each partition on its own as it is written, into ``folder`` or
+    below the shared one, and adds the sizes of the partitions before it; only those sizes,
+    one per partition, reach the driver."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    # within a task the low bits of the identifier count its rows, here in their order
+    sorted_parts = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_part"), F.expr("monotonically_increasing_id() & 8589934591L").alias("_nth")
+    )
+    ranged = stored(sorted_parts, folder)
     sizes = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     offset, before = 0, []
     for part in sorted(sizes):
         before += [F.lit(part), F.lit(offset)]
         offset += sizes[part]
     if not before:
-        return ranged.drop("_part").withColumn("rank", F.lit(0).cast("bigint"))
-    in_part = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+        return ranged.drop("_part", "_nth").withColumn("rank", F.lit(0).cast("bigint"))
     start = F.element_at(F.create_map(*before), F.col("_part"))
-    return ranged.withColumn("rank", (in_part + start).cast("bigint")).drop("_part")
+    return ranged.withColumn("rank", (F.col("_nth") + start).cast("bigint")).drop("_part", "_nth")
 
 
 def crawl(
@@ -165,32 +219,40 @@ def crawl(
     not_captured. Every URL that was queued holds its place in ``max_pages``.
     ``graph`` is the ``site_graph`` of the pages, made here if it isn't given.
 
-    Each level is written once and read by those after it; what is written on the
-    way is deleted at the end."""
+    Each level is written once, in buckets by url, and read by those after it; a level
+    costs one shuffle, that of the links out of the level before. What is written on
+    the way is deleted at the end."""
     spark = pages.sparkSession
     work = shared_dir(spark)
     nodes = site_graph(pages, ignore_query_params, f"{work}/graph") if graph is None else graph
     start, domain = _seed(spark, seed, ignore_query_params)
-    level = stored(start if max_pages is None else start.limit(max_pages), f"{work}/level-0")
+    level, added = _level(start if max_pages is None else start.limit(max_pages), f"{work}/level-0")
     levels = [level]
-    added = total = level.count()
+    total = added
     for depth in range(max_depth):
         left = None if max_pages is None else max_pages - total
         if added == 0 or left == 0:
             break
-        visited = reduce(DataFrame.unionByName, levels)
-        level = expand_once(level, visited, nodes, allow_external, left, domain)
-        level = stored(level, f"{work}/level-{depth + 1}")
+        found = expand_once(level, levels, nodes, allow_external, None, domain)
+        if left is not None:
+            found = first_rows(found, left, f"{work}/first-{depth + 1}")
+        level, added = _level(found, f"{work}/level-{depth + 1}")
         levels.append(level)
-        added = level.count()
         total += added
-    queued = reduce(DataFrame.unionByName, levels)
+    queued = _numbered(reduce(DataFrame.unionByName, levels), total, f"{work}/ranked")
     found = queued.join(nodes.select("url", "page_id", "ok"), "url", "left")
-    out = stored(_with_status(found, total, domain, allow_external))
+    out = stored(_with_status(found, domain, allow_external))
     removed(spark, work)
     return out
 
 
+def _level(level: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """A level as a table in buckets by url, and its size, counted as it is written."""
+    size = Observation()
+    written = bucketed(level.observe(size, F.count("*").alias("n")), "url", folder)
+    return written, size.get["n"]
+
+
 def _seed(spark: SparkSession, seed: str, ignore_query: bool) -> tuple[DataFrame, str]:
     """The first level, and the host that limits the crawl."""
     given = spark.range(1).select(F.lit(seed).alias("seed"))
@@ -203,12 +265,14 @@ def _seed(spark: SparkSession, seed: str, ignore_query: bool) -> tuple[DataFrame
     return level, one.select(host_name("url").alias("host")).first()["host"] or ""
 
 
-def _with_status(visited: DataFrame, total: int, domain: str, allow_external: bool) -> DataFrame:
-    if total <= _ONE_TASK_ROWS:
-        w = Window.orderBy("depth", "path")
-        out = visited.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
-    else:
-        out = ranked(visited, ["depth", "path"])
+def _numbered(queued: DataFrame, total: int, folder: str) -> DataFrame:
+    if total > _ONE_TASK_ROWS:
+        return ranked(queued, ["depth", "path"], folder)
+    w = Window.orderBy("depth", "path")
+    return queued.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def _with_status(found: DataFrame, domain: str, allow_external: bool) -> DataFrame:
     in_scope = in_allowed_domain("url", domain, allow_external)
     status = (
         F.when(~in_scope, "error")
@@ -216,7 +280,7 @@ def _with_status(visited: DataFrame, total: int, domain: str, allow_external: bo
         .when(F.col("ok"), "done")
         .otherwise("error")
     )
-    return out.select("url", "depth", "rank", status.alias("status"), "page_id")
+    return found.select("url", "depth", "rank", status.alias("status"), "page_id")
 
 
 def crawl_extract(pages: DataFrame, crawled: DataFrame, registry=None) -> DataFrame:

@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from pageloom.plans import crawl as C
 from pageloom.plans.crawl import crawl, crawl_extract, ranked
+from pageloom.plans.growing import GrowingCrawl, run_crawl_stream
 
 
 def site(spark, links, **status):
@@ -98,3 +101,82 @@ def test_crawl_extract(spark):
 def test_ranked_is_a_global_row_number(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k")
     assert [(r.k, r["rank"]) for r in ranked(df, ["k"]).orderBy("k").collect()] == [(i, i) for i in range(1000)]
+
+
+def test_only_chosen_captures_are_parsed(spark, monkeypatch):
+    """Of three captures of each URL one is taken apart, and what a filter lets through besides."""
+    pages = spark.range(900).selectExpr(
+        "id AS page_id", "concat('https://h/', id % 300) AS url", "concat('<a href=/', id, '>x</a>') AS raw_html",
+        "timestamp_seconds(1000 - id) AS fetched_at",
+    )
+    parsed = []
+    real = C.with_links
+
+    def counted(some, *more):
+        parsed.append(some.count())
+        return real(some, *more)
+
+    monkeypatch.setattr(C, "with_links", counted)
+    graph = {r.url: (r.page_id, [x.dst_url for x in r.links]) for r in C.site_graph(pages).collect()}
+    # the latest number has the earliest time
+    assert graph == {f"https://h/{i}": (i + 600, [f"https://h/{i + 600}"]) for i in range(300)}
+    assert 300 <= parsed.pop() <= 320
+    same = pages.unionByName(pages).unionByName(pages.where("page_id >= 600"))
+    assert C.site_graph(same).count() == 300
+    # the filter of a full size and of one word that lets everything through
+    monkeypatch.setattr(C.bloom, "MAX_WORDS", 1)
+    assert {r.url: r.page_id for r in C.site_graph(pages).collect()} == {u: p for u, (p, _) in graph.items()}
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(2000).selectExpr("IF(id = 0, NULL, concat('k', id)) AS a", "id * 3 AS b")
+    words = C.bloom.words_for(2000)
+    row = C.bloom.bloom(keys, ["a", "b"], words)
+    hit = C.bloom.may_contain(row, words, F.col("a"), F.col("b"))
+    assert keys.where(hit).count() == 2000
+    others = spark.range(2000, 12000).selectExpr("concat('k', id) AS a", "id * 3 AS b")
+    assert others.where(hit).count() < 300
+    assert C.bloom.words_for(0) == 1 and C.bloom.words_for(10**12) == C.bloom.MAX_WORDS
+
+
+def test_a_level_costs_one_shuffle(spark, tmp_path):
+    """Neither the graph nor the levels before are shuffled; also where the graph is opened again."""
+    pages = site(spark, LINKS)
+    C.site_graph(pages, folder=str(tmp_path / "graph"))
+    graph = C.open_graph(spark, str(tmp_path / "graph"), 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        start, domain = C._seed(spark, "h", False)
+        first, _ = C._level(start, str(tmp_path / "0"))
+        second, n = C._level(C.expand_once(first, [first], graph, domain=domain), str(tmp_path / "1"))
+        assert n == 3
+        third = C.expand_once(second, [first, second], graph, domain=domain)
+        plan = third._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 3
+        assert plan.count("Bucketed: true") == 4
+        assert {r.url for r in third.collect()} == {"https://h/c", "https://h/d", "https://h/never"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pageloom_")]
+
+
+def test_growing_crawl_equals_the_crawl_over_all(spark, tmp_path):
+    """Captures in any order: places get better as shorter ways are found."""
+    pages = site(spark, {**LINKS, "x": ["/b", "/y"], "d": ["/x"], "y": ["/c"], "never": ["/x"]}, bad=500)
+    pages = pages.withColumn("fetched_at", F.timestamp_seconds("page_id"))
+    parts = (["c", "e", "d", "x"], [], ["", "b", "f"], ["a", "bad", "y", "never", "c"])
+    growing = GrowingCrawl(spark, str(tmp_path / "crawl"), "h", max_depth=4)
+    assert [r.status for r in growing.reached().collect()] == ["not_captured"]
+    seen = []
+    for n, part in enumerate(parts):
+        some = pages.where(F.col("url").isin([f"https://h/{p}" for p in part]))
+        growing.add(some, n)
+        seen += part
+        if n < 2:
+            continue
+        upto = pages.where(F.col("url").isin([f"https://h/{p}" for p in seen]))
+        want = crawl(upto, "h", max_depth=4, max_pages=None)
+        growing.add(pages, n)  # a batch that comes again is left alone
+        assert sorted(map(str, growing.reached().collect())) == sorted(map(str, want.collect()))
+    assert reached(growing.reached())[:2] == [("", 0, 0, "done"), ("b", 1, 1, "done")]
