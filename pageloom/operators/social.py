@@ -29,7 +29,8 @@ PLATFORMS = {
 }
 
 
-# A user's table of platforms becomes part of the expression, up to this many patterns.
+# A user's table of platforms becomes part of the expression, up to this many patterns;
+# a larger one is joined (``plans.platforms``).
 MAX_PATTERNS = 2000
 
 
@@ -37,10 +38,10 @@ def platforms_of(table: DataFrame) -> dict[str, tuple[str, ...]]:
     """Platforms from a table (platform, pattern, rank), for the option ``platforms``.
 
     Lower ranks come first where several patterns match. The table is counted before it
-    is read, and refused if it has more than ``MAX_PATTERNS`` rows."""
+    is read; one of more than ``MAX_PATTERNS`` rows is for ``plans.platforms.social_items``, which joins it."""
     rows = table.select("platform", F.lower("pattern").alias("pattern"), "rank")
     if rows.count() > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+        raise ValueError(f"more than {MAX_PATTERNS} patterns: use social_items")
     out: dict[str, tuple[str, ...]] = {}
     for r in rows.where("platform IS NOT NULL AND pattern <> ''").orderBy("rank", "platform", "pattern").collect():
         out[r.platform] = (*out.get(r.platform, ()), r.pattern)
