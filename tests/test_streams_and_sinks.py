@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom.operators.registry import Registry
-from pageloom.plans.pipeline import extract_all, page_results
+from pageloom.plans.pipeline import extract_all, page_items, page_results
 from pageloom.plans.report import write_report
 from pageloom.operators.stats import crawl_summary
 from pageloom.sinks.writers import run_writer, write_results
@@ -103,3 +104,67 @@ def test_extraction_needs_no_shuffle(spark):
     pages = spark.read.parquet(f"{D}/pages.parquet")
     plan = extract_all(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+class Kept:
+    """Remembers what it is given, and can fail in a batch."""
+
+    def __init__(self, fail=None):
+        self.batches, self.ends, self.fail = {}, [], fail
+
+    def write_results(self, results, batch):
+        if batch == self.fail:
+            raise RuntimeError("disk full")
+        assert batch not in self.batches
+        self.batches[batch] = results.count()
+
+    def finalize(self, summary):
+        self.ends.append(summary.first())
+
+
+def test_writer_is_finalised_once_per_end(spark, tmp_path):
+    rows = [(i, f"https://h/{i}", "<a href=/x>x</a>", 500 if i == 3 else 200, i) for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, status_code int, t int")
+    pages = pages.selectExpr("page_id", "url", "html", "status_code", "timestamp_seconds(t) AS fetched_at")
+    source, folder = str(tmp_path / "in"), str(tmp_path / "run")
+    pages.where("page_id < 8").repartition(4, "page_id").write.parquet(source)
+
+    def run(writer):
+        stream = streams.read_page_stream(spark, source, pages.schema, max_files=1)
+        return streams.run_writer_stream(stream, writer, folder, "https://h/").first()
+
+    writer = Kept(fail=2)
+    with pytest.raises(Exception, match="disk full"):
+        run(writer)
+    assert writer.ends == [] and sorted(writer.batches) == [0, 1]
+    writer.fail = None
+    done = run(writer)
+    assert sum(writer.batches.values()) == 7 and writer.ends == [done]
+    assert (done.total_pages, done.total_errors, done.total_items, done.items_by_type) == (7, 1, 7, {"link": 7})
+    assert (done.target_url, done.duration_ns) == ("https://h/", 7_000_000_000)
+    assert run(writer) == done and len(writer.ends) == 1
+    pages.where("page_id >= 8").write.mode("append").parquet(source)
+    more = run(writer)
+    assert more.total_pages == 9 and writer.ends == [done, more]
+
+
+def test_totals_count_a_batch_once_and_any_type(spark, tmp_path):
+    reg = Registry(built_in=["links"])
+    reg.register("own", lambda p: [{"type": f"t{p['page_id'] % 3}", "value": 1}], row_level=True, columns=("page_id",))
+    pages = spark.createDataFrame([(i, f"https://h/{i}", "<a href=/x>x</a>") for i in range(6)], "page_id long, url string, html string")
+    totals = streams.RunningTotals(spark, str(tmp_path / "t"))
+    assert totals.read().first().items_extracted == 0
+    for batch in (0, 1, 1, 2, 2, 3):
+        totals.add(batch, streams.batch_totals(page_items(pages, reg)))
+    row = totals.read().first()
+    assert (row.pages_crawled, row.items_extracted) == (24, 48)
+    assert row.items_by_type == {"link": 24, "t0": 8, "t1": 8, "t2": 8}
+    empty = streams.batch_totals(page_items(pages.limit(0), reg)).first()
+    assert (empty.pages_crawled, empty.items_by_type) == (0, {})
+
+
+def test_state_store_is_restored(spark):
+    before = spark.conf.get(streams._PROVIDER, None)
+    with streams.state_on_disk(spark):
+        assert spark.conf.get(streams._PROVIDER) == streams.ROCKSDB
+    assert spark.conf.get(streams._PROVIDER, None) == before
