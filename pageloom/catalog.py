@@ -28,12 +28,14 @@ from pageloom.operators.registry import Registry
 from pageloom.operators.social import platforms_of
 from pageloom.operators.shred import contained_elements, select_elements, shred_html
 from pageloom.plans import crawl as crawling
+from pageloom.plans import platforms
 from pageloom.plans import report
 from pageloom.plans.checkpoints import shared_dir
 from pageloom.plans.pipeline import (
     attach_items,
     extract,
     extract_all,
+    extract_checked,
     extractor_errors,
     page_items,
     page_results,
@@ -302,6 +304,22 @@ def social_table(spark, d):
     return found.select("page_id", "value", *meta("platform"))
 
 
+def _many_platforms(spark, d) -> DataFrame:
+    """A pattern per customer, 97 platforms; patterns contain one another, later customers come first."""
+    return table(spark, d, "customer").select(
+        F.concat(F.lit("p"), F.col("c_custkey") % 97).alias("platform"),
+        F.concat(F.lit("GitHub.com/cust"), "c_custkey").alias("pattern"),
+        (-F.col("c_custkey")).alias("rank"),
+    )
+
+
+@query
+def social_many(spark, d):
+    """Platforms from a table with a pattern per customer, which is joined."""
+    found = platforms.social_items(customer_pages(spark, d), _many_platforms(spark, d))
+    return found.select("page_id", "value", *meta("platform", "anchor_text"))
+
+
 # ---- forms, metadata, assets, API calls
 
 
@@ -529,6 +547,14 @@ def custom_errors(spark, d):
     return extractor_errors(customer_pages(spark, d), _with_custom())
 
 
+@query
+def custom_checked(spark, d):
+    """Findings and failures of one run, in registry order."""
+    items, errors = extract_checked(customer_pages(spark, d), _with_custom())
+    own = items.where("type IN ('shout', 'status')").select("page_id", F.col("ord.nth").cast("long").alias("nth"), "value")
+    return own.unionByName(errors.select("page_id", F.lit(-1).cast("long").alias("nth"), F.col("error").alias("value")))
+
+
 @query
 def custom_results(spark, d):
     results = page_results(customer_pages(spark, d), _with_custom())
@@ -856,6 +882,44 @@ def stream_stats(spark, d):
     return counts.withColumn("pages_per_sec", F.round("pages_per_sec", 6))
 
 
+@query
+def stream_open_stats(spark, d):
+    """Findings that name a type of their own, which no one knew before, are counted under it."""
+    reg = Registry(built_in=["links"])
+    own = lambda p: [{"type": f"ends-{p['url'][-1]}", "value": p["url"]}]
+    reg.register("ends", own, row_level=True, columns=("url",))
+    path = shared_dir(spark)
+    streams.run_stats(_page_stream(spark, d), f"{path}/totals", f"{path}/state", reg).awaitTermination()
+    totals = streams.RunningTotals(spark, f"{path}/totals").read()
+    return totals.select("pages_crawled", "items_extracted", F.explode("items_by_type").alias("type", "n"))
+
+
+class _Counted(_Folder):
+    """Overwrites a batch by its number, and keeps every summary it is given."""
+
+    def write_results(self, results: DataFrame, batch: int) -> None:
+        result_rows(results).write.mode("overwrite").json(f"{self.path}/results/batch={batch}")
+
+    def finalize(self, summary: DataFrame) -> None:
+        summary.select("target_url", "total_pages", "total_errors", "total_items").write.mode("append").json(f"{self.path}/summary")
+
+
+@query
+def stream_writer(spark, d):
+    """A stream in four batches, run twice: results of all batches, and one summary."""
+    path = shared_dir(spark)
+    site = customer_pages(spark, d)
+    site.repartition(4).write.parquet(f"{path}/in")
+    for _ in range(2):
+        stream = streams.read_page_stream(spark, f"{path}/in", site.schema, max_files=1)
+        streams.run_writer_stream(stream, _Counted(f"{path}/out"), f"{path}/run", f"https://{SEED}/")
+    written = spark.read.schema("page struct<url string>, extracted_items array<struct<type string>>").json(f"{path}/out/results")
+    ends = spark.read.schema("target_url string, total_pages long, total_errors long, total_items long").json(f"{path}/out/summary")
+    results = written.select(F.col("page.url").alias("name"), F.lit("items").alias("what"), F.size("extracted_items").cast("long").alias("n"))
+    totals = F.expr("stack(3, 'pages', total_pages, 'errors', total_errors, 'items', total_items)").alias("what", "n")
+    return results.unionByName(ends.select(F.col("target_url").alias("name"), totals))
+
+
 @query
 def stream_event_counts(spark, d):
     raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema)

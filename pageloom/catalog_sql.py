@@ -156,6 +156,13 @@ ORACLE["social"] = f"""SELECT page_id, 'https://github.com/cust' || c_custkey AS
   'gh' AS anchor_text FROM {_LIVE}"""
 ORACLE["social_table"] = f"""SELECT page_id, 'https://github.com/cust' || c_custkey AS value, lower(r_name) AS platform
 FROM {_LIVE} JOIN region ON substr(CAST(c_custkey AS VARCHAR), 1, 1) = CAST(r_regionkey AS VARCHAR)"""
+ORACLE["social_many"] = f"""WITH t AS (SELECT 'p' || (c_custkey % 97) AS platform, 'github.com/cust' || c_custkey AS pattern, -c_custkey AS rank
+  FROM customer), f AS (SELECT platform, min(rank) AS first FROM t GROUP BY 1),
+l AS (SELECT page_id, 'https://github.com/cust' || c_custkey AS value, CAST(c_custkey AS VARCHAR) AS k FROM {_LIVE}),
+-- a pattern occurs in a value if its number begins with the value's digits so far
+m AS (SELECT page_id, value, 'github.com/cust' || k[:n] AS pattern FROM l, (SELECT unnest(range(1, 20)) AS n) WHERE n <= len(k))
+SELECT page_id, value, arg_min(platform, (first, platform)) AS platform, 'gh' AS anchor_text
+FROM m JOIN t USING (pattern) JOIN f USING (platform) GROUP BY page_id, value"""
 ORACLE["http_urls"] = f"SELECT page_id, 'https://github.com/cust' || c_custkey AS value FROM {_LIVE}"
 
 _EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -337,6 +344,9 @@ FROM {_LIVE} WHERE page_id % 16 != 11
 UNION ALL SELECT page_id, 'status', '200', NULL FROM {_LIVE}"""
 ORACLE["custom_errors"] = f"""SELECT page_id, url, 'shout' AS extractor, 'ValueError: cannot read this page' AS error
 FROM {_LIVE} WHERE page_id % 16 = 11"""
+ORACLE["custom_checked"] = f"""SELECT page_id, 1 AS nth, upper(url) AS value FROM {_LIVE} WHERE page_id % 16 != 11
+UNION ALL SELECT page_id, 2, '200' FROM {_LIVE}
+UNION ALL SELECT page_id, -1, 'ValueError: cannot read this page' FROM {_LIVE} WHERE page_id % 16 = 11"""
 ORACLE["custom_results"] = f"""SELECT page_id, CASE WHEN c_custkey % 97 = 13 THEN ''
   WHEN page_id % 16 = 11 THEN 'metadata,status' ELSE 'metadata,shout,status' END AS kinds FROM {_CUST}"""
 ORACLE["custom_report"] = f"""SELECT page_id, '      +-- ' || type || ': ' || value AS line FROM ({ORACLE["custom_extractors"]})"""
@@ -511,3 +521,10 @@ ORACLE["stream_stats"] = f"""{_ALL_ITEMS} SELECT p.*, i.* FROM
     round(count(*) / (2.0 * (max(page_id) - min(page_id))), 6) AS pages_per_sec FROM pages) p,
   (SELECT count(*) AS items_extracted, {_EACH} FROM items) i"""
 ORACLE["stream_event_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY 1"
+ORACLE["stream_open_stats"] = f"""WITH {_LINKS}, t AS (SELECT 'link' AS type, count(*) AS n FROM page_links
+  UNION ALL SELECT 'ends-' || right(url, 1), count(*) FROM pages GROUP BY 1)
+SELECT (SELECT count(*) FROM pages) AS pages_crawled, sum(n) OVER () AS items_extracted, type, n FROM t"""
+_SITE_TOTAL = sum(_SITE_TYPES.values())
+ORACLE["stream_writer"] = f"""SELECT url AS name, 'items' AS what, {_SITE_TOTAL} AS n FROM {_LIVE}
+UNION ALL SELECT '{_S}/', unnest(['pages', 'errors', 'items']), unnest([count(*), (SELECT count(*) FROM {_CUST}) - count(*),
+  {_SITE_TOTAL} * count(*)]) FROM {_LIVE}"""

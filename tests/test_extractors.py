@@ -1,9 +1,11 @@
 import pytest
 
 from pageloom import extract_all, page_results
+from pageloom.operators import social
 from pageloom.operators.items import keep_first
 from pageloom.operators.registry import Registry
-from pageloom.plans.pipeline import extract, extractor_errors
+from pageloom.plans import platforms
+from pageloom.plans.pipeline import extract, extract_checked, extractor_errors
 
 
 def items(df, name, **options):
@@ -197,3 +199,61 @@ def test_keep_first_is_idempotent(page):
     once = keep_first(df, ["source_url"])
     assert [r.value for r in once.collect()] == ["https://shop.test/dir/1.png"]
     assert keep_first(once, ["source_url"]).collect() == once.collect()
+
+
+def test_row_extractors_run_once_per_page(spark, tmp_path):
+    """Items and errors of one run, ``nth`` in registry order, one call per page and function."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(p):
+        calls.add(1)
+        if p["page_id"] % 3 == 0:
+            raise ValueError("third")
+        return [{"value": p["url"], "type": "own"}, {"value": p["intercepted_requests"][0].url}]
+
+    rows = [(i, f"https://h/{i}", "<title>t</title>", 500 if i == 8 else 200, [("u", "GET", "", "")]) for i in range(9)]
+    df = spark.createDataFrame(
+        rows, "page_id long, url string, html string, status_code int, intercepted_requests"
+        " array<struct<url:string,method:string,content_type:string,resource_type:string>>",
+    )
+    reg = Registry(built_in=["links", "metadata"])
+    reg.register("counted", counted, row_level=True, columns=("page_id", "url", "intercepted_requests"))
+    reg.register("frame", lambda p: p.selectExpr("page_id", "'framed' AS value", "'frame' AS type"))
+    reg.register("worse", lambda p: p.select("no_such_column"))
+    found, errors = extract_checked(df, reg, str(tmp_path / "run"))
+    got = {(r.page_id, r.ord.nth, r.type, r.value) for r in found.collect()}
+    want = {(i, 1, "metadata", "t") for i in range(8)} | {(i, 3, "frame", "framed") for i in range(8)}
+    want |= {(i, 2, *x) for i in range(8) if i % 3 for x in (("own", f"https://h/{i}"), ("counted", "u"))}
+    assert got == want
+    listed = sorted((r.page_id, r.url, r.extractor) for r in errors.where("page_id IS NOT NULL").collect())
+    assert listed == [(i, f"https://h/{i}", "counted") for i in (0, 3, 6)]
+    assert [r.extractor for r in errors.where("page_id IS NULL").collect()] == ["worse"]
+    assert calls.value == 8
+    assert {(r.page_id, r.ord.nth, r.type, r.value) for r in extract_all(df, reg).collect()} == want
+
+
+@pytest.mark.parametrize("bytes_", [1 << 20, 0])
+def test_platforms_from_a_table_of_any_size(spark, page, monkeypatch, bytes_):
+    """The join gives what the expression gives, broadcast or not."""
+    monkeypatch.setattr(platforms, "KEY_BYTES", bytes_)
+    rows = [
+        ("b", "https://A.test/", 5), ("a", "a.test/x", 5), ("short", "q", 1), ("none", "", 0), (None, "a.test", 0),
+        ("late", "https://a.test/x?q", 9), ("late", "never", -3), ("b", "https://A.test/", 5), ("tail", "#z", 7),
+    ]
+    table = spark.createDataFrame(rows, "platform string, pattern string, rank int")
+    hrefs = ["http://A.TEST/x", "//a.test/", "/x?q=1", "#z", "https://a.test/x?Q", "https://a.test/x?Q", "n", "", "mailto:q@a.test"]
+    df = page("".join(f"<a href='{h}'>t{i}</a>" for i, h in enumerate(hrefs)))
+    df = df.unionByName(df).unionByName(df.selectExpr("page_id + 1 AS page_id", "url", "'' AS html"))
+    key = lambda rows: sorted((r.page_id, r.value, r.source_url, str(r.metadata), r.ord.pos) for r in rows)
+    want = extract(df, "social", platforms=social.platforms_of(table))
+    assert key(platforms.social_items(df, table).collect()) == key(want.collect())
+    assert platforms.social_items(df, table.limit(0)).count() == 0
+    reg = Registry(built_in=["links"])
+    reg.register("social", lambda p: platforms.social_items(p, table))
+    assert key(extract_all(df, reg).where("type = 'social'").collect()) == key(want.collect())
+
+
+def test_pattern_keys_are_rare(spark):
+    table = spark.range(500).selectExpr("concat('p', id) AS platform", "concat('https://www.site', id, '.test/') AS pattern", "id AS rank")
+    shared = platforms.pattern_keys(table).groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert shared <= 11
