@@ -31,6 +31,7 @@ from pageloom.plans import crawl as crawling
 from pageloom.plans import platforms
 from pageloom.plans import report
 from pageloom.plans.checkpoints import shared_dir
+from pageloom.plans.growing import GrowingCrawl, run_crawl_stream
 from pageloom.plans.pipeline import (
     attach_items,
     extract,
@@ -671,6 +672,18 @@ def crawl_recaptured(spark, d):
     return crawling.crawl(shuffled, SEED, max_depth=4, max_pages=None).drop("page_id")
 
 
+@query
+def crawl_growing(spark, d):
+    """A crawl that a stream of pages extends in three batches."""
+    path = shared_dir(spark)
+    site = site_pages(spark, d)
+    site.repartition(3, F.col("page_id") % 97).write.parquet(f"{path}/in")
+    stream = streams.read_page_stream(spark, f"{path}/in", site.schema, max_files=1)
+    growing = GrowingCrawl(spark, f"{path}/crawl", SEED, max_depth=4)
+    run_crawl_stream(stream, growing, f"{path}/state").awaitTermination()
+    return growing.reached().drop("page_id")
+
+
 @query
 def crawl_items(spark, d):
     site = site_pages(spark, d)

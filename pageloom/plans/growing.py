@@ -84,6 +84,8 @@ class GrowingCrawl:
                 now = now.join(level.select("url"), "url", "left_anti")
             moved = [level.where(F.col("depth") == depth) for level in better]
             frontier = stored(reduce(DataFrame.unionByName, [now, *moved]), f"{work}/frontier-{depth}")
+            if frontier.isEmpty():
+                continue
             found = [
                 expand_once(frontier, better, nodes, self.allow_external, None, self.domain)
                 for nodes in [*earlier, fresh]
