@@ -679,7 +679,7 @@ def crawl_growing(spark, d):
     site = site_pages(spark, d)
     site.repartition(3, F.col("page_id") % 97).write.parquet(f"{path}/in")
     stream = streams.read_page_stream(spark, f"{path}/in", site.schema, max_files=1)
-    growing = GrowingCrawl(spark, f"{path}/crawl", SEED, max_depth=4)
+    growing = GrowingCrawl(spark, f"{path}/crawl", SEED, max_depth=3)
     run_crawl_stream(stream, growing, f"{path}/state").awaitTermination()
     return growing.reached().drop("page_id")
 

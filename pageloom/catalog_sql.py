@@ -424,7 +424,7 @@ ORACLE["crawl_capped"] = _crawl(4) + " SELECT * FROM reached WHERE rank < 500"
 ORACLE["crawl_external"] = _crawl(4, external=True) + " SELECT * FROM reached"
 ORACLE["crawl_deep"] = _crawl(7) + " SELECT * FROM reached"
 ORACLE["crawl_no_query"] = _crawl(4, query="") + " SELECT * FROM reached"
-ORACLE["crawl_growing"] = _crawl(4) + " SELECT * FROM reached"
+ORACLE["crawl_growing"] = _crawl(3) + " SELECT * FROM reached"
 ORACLE["crawl_recaptured"] = ORACLE["json_pages"] = _crawl(4) + " SELECT * FROM reached"
 _MOVED = "CASE WHEN n_nationkey % 2 = 1 THEN 'https://moved.test' ELSE 'https://shop.test' END"
 # pages of the other host are queued, never fetched, and lead nowhere
