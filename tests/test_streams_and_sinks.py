@@ -168,3 +168,22 @@ def test_state_store_is_restored(spark):
     with streams.state_on_disk(spark):
         assert spark.conf.get(streams._PROVIDER) == streams.ROCKSDB
     assert spark.conf.get(streams._PROVIDER, None) == before
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_queries_stream_a_table_of_one_file_or_many(spark, tmp_path, folder):
+    from pageloom.catalog import QUERIES
+
+    rows = [(k, f"https://h/{k}", f"<a href=/x{k % 3}>x</a>") for k in range(6)]
+    made = spark.createDataFrame(rows, "page_id long, url string, html string")
+    d = tmp_path / "d"
+    if folder:
+        made.repartition(3).write.parquet(str(d / "pages.parquet"))
+    else:
+        d.mkdir()
+        made.toPandas().to_parquet(str(d / "pages.parquet"))
+    got = QUERIES["stream_extract"](spark, str(d))
+    assert sorted((r.page_id, r.value) for r in got.where("type = 'link'").collect()) == [(k, f"https://h/x{k % 3}") for k in range(6)]
+    urls = {r.url for r in QUERIES["stream_new_urls"](spark, str(d)).collect()}
+    assert urls == {f"https://h/x{k}" for k in range(3)}
+    assert [(r.pages_crawled, r.link) for r in QUERIES["stream_stats"](spark, str(d)).collect()] == [(6, 6)]
