@@ -257,3 +257,14 @@ def test_pattern_keys_are_rare(spark):
     table = spark.range(500).selectExpr("concat('p', id) AS platform", "concat('https://www.site', id, '.test/') AS pattern", "id AS rank")
     shared = platforms.pattern_keys(table).groupBy("key").count().agg({"count": "max"}).first()[0]
     assert shared <= 11
+
+
+def test_items_are_never_broadcast(spark, page):
+    """However small the files look that the pages were read from."""
+    from pageloom.plans.pipeline import attach_items
+
+    df = page("<a href=/x>x</a>")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    joined = attach_items(df.select("page_id"), extract(df, "links"))
+    assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
+    assert [(r.page_id, r.value) for r in joined.collect()] == [(1, "https://shop.test/x")]
