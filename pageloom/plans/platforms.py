@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.core import each, expr, first_by_key, struct, text_map
 from pageloom.operators.items import ANCHORS, anchor_text, inline_rows
 from pageloom.operators.social import NAME, TYPE
+from pageloom.plans import bloom
 from pageloom.plans.checkpoints import stored
 from pageloom.plans.pipeline import prepare
 from pageloom.schema import ORD
@@ -28,13 +29,14 @@ def pattern_keys(table: DataFrame) -> DataFrame:
     rows = table.select("platform", F.lower("pattern").alias("pattern"), "rank")
     rows = rows.where("platform IS NOT NULL AND pattern <> ''")
     ranks = rows.groupBy("platform").agg(F.min("rank").alias("first"))
-    named = rows.select("platform", "pattern").distinct().join(ranks, "platform")
+    # sizes guessed from the table's file fall short of what is cut out of it: nothing is broadcast
+    named = rows.select("platform", "pattern").distinct().join(ranks.hint("merge"), "platform")
     cut = f"least({KEY_CHARS}, length(pattern))"
     stretches = f"array_distinct(transform(sequence(1, length(pattern) - {cut} + 1), i -> substring(pattern, i, {cut})))"
     cuts = named.select("pattern").distinct().select("pattern", F.explode(F.expr(stretches)).alias("key"))
     shared = cuts.groupBy("key").agg(F.count("*").alias("n"))
-    best = cuts.join(shared, "key").groupBy("pattern").agg(F.min(F.struct("n", "key")).alias("best"))
-    return named.join(best, "pattern").select(F.col("best.key").alias("key"), "pattern", "first", "platform")
+    best = cuts.join(shared.hint("merge"), "key").groupBy("pattern").agg(F.min(F.struct("n", "key")).alias("best"))
+    return named.join(best.hint("merge"), "pattern").select(F.col("best.key").alias("key"), "pattern", "first", "platform")
 
 
 def social_items(pages: DataFrame, table: DataFrame) -> DataFrame:
@@ -44,7 +46,8 @@ def social_items(pages: DataFrame, table: DataFrame) -> DataFrame:
     A URL is cut into the stretches of the lengths that keys have, and those are joined with
     the keys: a pattern occurs in a URL only if its key does, and is then looked for. Keys
     are broadcast where their number, which is counted, allows, so pages move only as
-    matches; else Spark shuffles both. Nothing reaches the driver but the lengths."""
+    matches. Else a Bloom filter of the keys, at most 8 MB, goes to the pages, and what it
+    lets through is shuffled and joined exactly. Nothing reaches the driver but the lengths."""
     keys = stored(pattern_keys(table))
     lengths = sorted(r.n for r in keys.select(F.length("key").alias("n")).distinct().collect())
     anchors = each(
@@ -60,8 +63,15 @@ def social_items(pages: DataFrame, table: DataFrame) -> DataFrame:
     stretches = f"array_distinct(concat({', '.join(cuts)}))" if cuts else "array()"
     numbered = urls.withColumn("_row", F.monotonically_increasing_id()).withColumn("_url", F.lower("url"))
     cut = numbered.select("*", F.explode(F.expr(stretches).cast("array<string>")).alias("key"))
-    small = keys.count() * ROW_BYTES <= KEY_BYTES
-    found = cut.join(F.broadcast(keys) if small else keys, "key").where("contains(_url, pattern)")
+    n = keys.count()
+    if n * ROW_BYTES <= KEY_BYTES:
+        found = cut.join(F.broadcast(keys), "key")
+    else:
+        words = bloom.words_for(n)
+        passing = stored(bloom.bloom(keys.select("key").distinct(), ["key"], words))
+        likely = cut.where(bloom.may_contain(passing, words, F.col("key")))
+        found = likely.join(keys.hint("merge"), "key")
+    found = found.where("contains(_url, pattern)")
     best = found.groupBy("_row", "page_id", "source_url", "pos", "url", "text").agg(
         F.min(F.struct("first", "platform")).alias("best")
     )

@@ -268,3 +268,13 @@ def test_items_are_never_broadcast(spark, page):
     joined = attach_items(df.select("page_id"), extract(df, "links"))
     assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
     assert [(r.page_id, r.value) for r in joined.collect()] == [(1, "https://shop.test/x")]
+
+
+def test_large_platform_tables_are_not_broadcast(spark, page, monkeypatch):
+    monkeypatch.setattr(platforms, "KEY_BYTES", 0)
+    table = spark.range(50).selectExpr("concat('p', id % 7) AS platform", "concat('/u', id, '/') AS pattern", "id AS rank")
+    df = page("<a href=/u7/>x</a><a href=/u8/>y</a><a href=/none/>z</a>")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    found = platforms.social_items(df, table)
+    assert not any("BroadcastHashJoin" in plan(x) for x in (platforms.pattern_keys(table), found))
+    assert sorted((r.value, r.metadata["platform"]) for r in found.collect()) == [("https://shop.test/u7/", "p0"), ("https://shop.test/u8/", "p1")]
