@@ -278,3 +278,30 @@ def test_large_platform_tables_are_not_broadcast(spark, page, monkeypatch):
     found = platforms.social_items(df, table)
     assert not any("BroadcastHashJoin" in plan(x) for x in (platforms.pattern_keys(table), found))
     assert sorted((r.value, r.metadata["platform"]) for r in found.collect()) == [("https://shop.test/u7/", "p0"), ("https://shop.test/u8/", "p1")]
+
+
+def test_pages_are_dealt_evenly_whatever_the_splits_hold(spark, tmp_path):
+    """All rows of a file may lie in one of its splits, where its row group starts."""
+    from pyspark.sql import functions as F
+
+    from pageloom.sources.corpora import customer_pages, site_pages
+
+    n = 4000
+    tables = {
+        "region": spark.range(2).selectExpr("CAST(id AS INT) AS r_regionkey", "concat('R', id) AS r_name"),
+        "nation": spark.range(4).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name", "CAST(id % 2 AS INT) AS n_regionkey"),
+        "customer": spark.range(n).selectExpr("id AS c_custkey", "concat('C', id, uuid()) AS c_name", "'M' AS c_mktsegment"),
+        "orders": spark.range(n).selectExpr("id AS o_orderkey", "id AS o_custkey", "uuid() AS o_comment"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        for made, rows in ((customer_pages, n), (site_pages, 2 * n)):
+            parts = made(spark, str(tmp_path)).select("url").groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in parts) >= rows and max(r["count"] for r in parts) <= n // 8
+    finally:
+        for k in small:
+            spark.conf.unset(k)
