@@ -187,3 +187,19 @@ def test_queries_stream_a_table_of_one_file_or_many(spark, tmp_path, folder):
     urls = {r.url for r in QUERIES["stream_new_urls"](spark, str(d)).collect()}
     assert urls == {f"https://h/x{k}" for k in range(3)}
     assert [(r.pages_crawled, r.link) for r in QUERIES["stream_stats"](spark, str(d)).collect()] == [(6, 6)]
+
+
+def test_a_batch_of_one_file_is_shared_out(spark, tmp_path):
+    """A writer's batch is worked on by many tasks, even if all its pages lie in one split."""
+
+    class Parts(Seen):
+        def write_results(self, results, batch):
+            self.seen += [r["count"] for r in results.groupBy(F.spark_partition_id()).count().collect()]
+
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('https://h/', id) AS url", "'<a href=/x>x</a>' AS html")
+    pages.coalesce(1).write.parquet(str(tmp_path / "in"))
+    writer = Parts()
+    stream = streams.read_page_stream(spark, str(tmp_path / "in"), pages.schema)
+    summary = streams.run_writer_stream(stream, writer, str(tmp_path / "run"), "https://h/", Registry(built_in=["links"])).first()
+    assert sum(writer.seen) == 400 and max(writer.seen) <= 50
+    assert (summary.total_pages, summary.total_items, len(writer.ends)) == (400, 400, 1)
