@@ -24,7 +24,7 @@ from pageloom.plans.checkpoints import bucketed, exists, listed, open_bucketed,
 from pageloom.plans.crawl import (
     MAX_DEPTH, QUEUED, _level, _numbered, _seed, _with_status, expand_once, open_graph, site_graph,
 )
-from pageloom.sources.pages import as_pages
+from pageloom.sources.pages import as_pages, dealt
 
 
 class GrowingCrawl:
@@ -68,7 +68,7 @@ class GrowingCrawl:
         earlier = self._graph()
         for rest in (f"{self.folder}/graph/batch={batch}", f"{self.folder}/queued/upto={batch}"):
             removed(self.spark, rest)  # of a run that failed
-        fresh = site_graph(pages, self.ignore_query, f"{work}/graph", self.buckets)
+        fresh = site_graph(dealt(pages), self.ignore_query, f"{work}/graph", self.buckets)
         for table in earlier:
             fresh = fresh.join(table.select("url"), "url", "left_anti")
         fresh = bucketed(fresh, "url", f"{self.folder}/graph/batch={batch}", self.buckets)

@@ -180,3 +180,21 @@ def test_growing_crawl_equals_the_crawl_over_all(spark, tmp_path):
         growing.add(pages, n)  # a batch that comes again is left alone
         assert sorted(map(str, growing.reached().collect())) == sorted(map(str, want.collect()))
     assert reached(growing.reached())[:2] == [("", 0, 0, "done"), ("b", 1, 1, "done")]
+
+
+def test_a_batch_of_one_split_is_shared_out(spark, tmp_path, monkeypatch):
+    """Pages that arrive as one file are taken apart by many tasks."""
+    from pageloom.plans import growing
+
+    parts, plain = [], growing.site_graph
+
+    def counted(pages, *more):
+        parts.append(pages.rdd.getNumPartitions())
+        return plain(pages, *more)
+
+    monkeypatch.setattr(growing, "site_graph", counted)
+    rows = spark.range(40).selectExpr("id AS page_id", "concat('https://h/', IF(id = 0, '', CAST(id AS STRING))) AS url", "concat('<a href=/', id + 1, '>x</a>') AS html")
+    crawl = growing.GrowingCrawl(spark, str(tmp_path / "crawl"), "h", max_depth=2)
+    crawl.add(growing.as_pages(rows.coalesce(1)), 0)
+    assert parts[0] >= spark.sparkContext.defaultParallelism
+    assert sorted(r.url for r in crawl.reached().collect()) == ["https://h/", "https://h/1", "https://h/2"]
