@@ -136,11 +136,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, segments: int = SEGMENTS, d
 
 # --- similarity of 0.8 and more
 #
-# At a similarity of 0.8, 64-bit fingerprints differ in about ten bits. Within ten bits
-# lie as many chance pairs as there are documents squared, on any grid of popcounts. So
-# candidates come from bands of minimum hashes here; fingerprints only put the texts of a
-# large bucket in order. They count a repeated shingle as often as it occurs, the
-# similarity once, so they can't rule out a pair.
+# Candidates are the links of the fingerprints, as in near_duplicates. At a similarity of 0.8,
+# 64-bit fingerprints differ in about ten bits, though, and within ten bits lie as many chance
+# pairs as there are documents squared, on any grid of popcounts. So bands of minimum hashes
+# add candidates, and fingerprints put the texts of a large bucket in order. They count a
+# repeated shingle as often as it occurs, the similarity once, so they can't rule out a pair.
 
 BANDS, ROWS = 16, 5
 SIMILAR = 0.8
@@ -264,12 +264,24 @@ def _crowd_classes(crowd: DataFrame, sets: DataFrame, share: float) -> DataFrame
     return labels.groupBy("old").agg(F.min("component").alias("new"))
 
 
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b): texts with equal or linked fingerprints. Of the texts of one fingerprint each goes
+    with the first, and the first ones of linked fingerprints go together."""
+    known = texts.where("bands IS NOT NULL").select("node", "fp")
+    points = stored(known.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = known.join(points, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    end = lambda fp, head: points.select(F.col("fp").alias(fp), F.col("head").alias(head))
+    near = links(points.select("fp")).join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    return equal.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFrame:
     """(doc_id, text_hash, component_id): classes of documents connected by texts whose
     sets of shingles have a Jaccard similarity of ``share`` or more.
 
-    Equal texts are one from the start. Texts that share a band are candidates: in a
-    bucket of up to ``CROWD`` all of them, in a larger one at first each with the bucket's
+    Equal texts are one from the start. Texts whose fingerprints are equal or linked (at
+    ``MAX_BITS`` or fewer bits, by the segment popcounts) are candidates, and so are texts that
+    share a band: in a bucket of up to ``CROWD`` all of them, in a larger one at first each with the bucket's
     first and with its neighbours in order of fingerprint and of number. Where that doesn't
     make a larger bucket one class, all its texts go on to ``_crowd_classes``, which leaves
     no pair of them out. Candidates are verified by their shingles.
@@ -300,7 +312,7 @@ def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFram
         pairs = pairs.unionByName(
             c.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
         )
-    near = stored(pairs.distinct())
+    near = stored(pairs.unionByName(_fingerprint_pairs(texts)).distinct())
     involved = near.select(F.col("a").alias("node")).union(near.select("b")).union(large.select("node")).distinct()
     firsts = beside(stored(texts.join(involved, "node").select("node", "first")))
     source = _texts(docs).withColumnRenamed("text_hash", "node")

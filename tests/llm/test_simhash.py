@@ -153,3 +153,16 @@ def test_a_repeated_phrase(spark):
     assert sum(far) > 10
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: k - k % 2 for k in range(40)}
+
+
+def test_fingerprints_link_similar_texts_without_bands(spark, monkeypatch):
+    """The method's own links are candidates: texts that share no band are found by them."""
+    base = [f"w{k}" for k in range(400)]
+    edits = [base, [*base, "more"], [*base[:200], "other", *base[201:]]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(edits)] + [(9, "quite another text of some words"), (10, ""), (11, None)]
+    fps = [fingerprint(t, 5) for _, t in rows[:3]]
+    linked = [k for k in (1, 2) if (fps[0] ^ fps[k]).bit_count() <= simhash.MAX_BITS]
+    assert linked
+    monkeypatch.setattr(simhash, "bands", lambda hashes: [int(h) >> 1 for h in hashes[:1] ^ np.uint64(len(hashes))] if len(hashes) else None)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == 0 for k in linked) and [got[k] for k in (9, 10, 11)] == [9, 10, 11]
