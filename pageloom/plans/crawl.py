@@ -1,10 +1,15 @@
 """Breadth-first expansion of a crawl over captured pages.
 
-The pages' HTML is read once, for the link graph: one node per canonical URL, with
-whether its page was fetched and where its links lead. The graph is a narrow table
-in the shared folder, in buckets by URL, for one crawl or for many. Every level joins
-the frontier with it, on a key that is unique on both sides, and neither the graph nor
-the levels before are ever shuffled again: all that moves is the frontier and the links
+A crawl takes apart the pages that it reaches and no others. What is made of all pages is
+narrow: one row per canonical URL, with the capture that counts. A level looks its URLs up
+in that table, and a Bloom filter of the captures found goes to the scan of the pages, so
+that HTML is read where it is wanted and never shuffled.
+
+For many crawls of the same pages there is the link graph, for which all HTML is read
+once: one node per canonical URL, with whether its page was fetched and where its links
+lead, a narrow table in the shared folder. Both tables are in buckets by URL. Every level
+joins the frontier with one of them, on a key that is unique on both sides, and neither it
+nor the levels before are ever shuffled again: all that moves is the frontier and the links
 that lead out of it. A URL to which a third of all pages link is reduced on the map
 side. Only the loop over the levels runs on the driver.
 
@@ -37,6 +42,13 @@ MAX_PAGES = 500
 GRAPH = "url string, page_id bigint, ok boolean, links array<struct<pos: int, dst_url: string, link_type: string>>"
 QUEUED = "url string, depth int, path array<int>"
 
+# What of a page its links depend on.
+_FOR_LINKS = ("page_id", "url", "final_url", "status_code", "raw_html", "rendered_html", "error")
+
+# A level's filter has room for this many times its captures, and for so many at least: a page
+# that it lets through besides is taken apart in vain.
+_ROOM, _LEAST_KEYS = 4, 10_000
+
 # Above this many rows a ranking is not left to a single task.
 _ONE_TASK_ROWS = 100_000
 
@@ -73,14 +85,25 @@ def link_edges(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
 
 
 def captures(pages: DataFrame, ignore_query: bool = False) -> DataFrame:
-    """url (canonical), fetched_at, page_id of every capture that has a URL: narrow columns,
+    """url (canonical), fetched_at, page_id, ok of every capture that has a URL: narrow columns,
     so that a scan reads no HTML (but where a table has no page_id and it is made of the content)."""
     known = as_pages(pages).select(
-        canonical_url("url", ignore_query).alias("url"), "fetched_at", "page_id"
+        canonical_url("url", ignore_query).alias("url"), "fetched_at", "page_id", is_ok().alias("ok")
     )
     return known.where("url IS NOT NULL")
 
 
+def _first_captures(pages: DataFrame, ignore_query: bool) -> tuple[DataFrame, Observation]:
+    """url, page_id, ok of the first capture of every URL, by time and then page_id; and how
+    many ``urls`` and ``captures`` there were, known once the rows are written."""
+    seen = captures(pages, ignore_query).groupBy("url").agg(
+        F.min(F.struct("fetched_at", "page_id", "ok")).alias("_first"), F.count("*").alias("_captures")
+    )
+    size = Observation()
+    counted = seen.observe(size, F.count("*").alias("urls"), F.sum("_captures").alias("captures"))
+    return counted.select("url", F.col("_first.page_id").alias("page_id"), F.col("_first.ok").alias("ok")), size
+
+
 def site_graph(
     pages: DataFrame,
     ignore_query: bool = False,
@@ -101,13 +124,8 @@ def site_graph(
     spark = pages.sparkSession
     work = shared_dir(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = captures(pages, ignore_query).groupBy("url").agg(
-        F.min(F.struct("fetched_at", "page_id")).alias("_first"), F.count("*").alias("_captures")
-    )
-    size = Observation()
-    counted = seen.observe(size, F.count("*").alias("urls"), F.sum("_captures").alias("captures"))
-    keys = counted.select("url", F.col("_first.page_id").alias("page_id"), F.col("_first.fetched_at").alias("_at"))
-    chosen = stored(keys, f"{work}/chosen")
+    keys, size = _first_captures(pages, ignore_query)
+    chosen = stored(keys.select("url", "page_id"), f"{work}/chosen")
     urls, many = size.get["urls"], size.get["captures"] or 0
     if urls == many:
         nodes = with_links(pages, ignore_query).where("src_url IS NOT NULL").withColumnRenamed("src_url", "url")
@@ -127,6 +145,34 @@ def _chosen_nodes(pages: DataFrame, ignore_query: bool, chosen: DataFrame, urls:
     return nodes.join(chosen, ["url", "page_id"]).dropDuplicates(["url"])
 
 
+def _known(pages: DataFrame, ignore_query: bool, folder: str) -> tuple[DataFrame, bool]:
+    """url, page_id, ok of every captured URL, a table in buckets by url, and whether no URL
+    was captured twice."""
+    keys, size = _first_captures(pages, ignore_query)
+    known = bucketed(keys, "url", folder)
+    return known, size.get["urls"] == (size.get["captures"] or 0)
+
+
+def _level_nodes(
+    pages: DataFrame, ignore_query: bool, level: DataFrame, known: DataFrame, unique: bool, folder: str
+) -> DataFrame | None:
+    """Nodes of a level's URLs that were captured and fetched, None if there is none: only
+    these pages are taken apart, and the few others that the filter of page_ids lets through."""
+    size = Observation()
+    found = level.select("url").join(known.where("ok"), "url").observe(size, F.count("*").alias("n"))
+    wanted = stored(found, f"{folder}/wanted")
+    if size.get["n"] == 0:
+        return None
+    words = bloom.words_for(max(_LEAST_KEYS, _ROOM * size.get["n"]))
+    passing = stored(bloom.bloom(wanted, ["page_id"], words), f"{folder}/bloom")
+    some = as_pages(pages).where(bloom.may_contain(passing, words, F.col("page_id"))).select(*_FOR_LINKS)
+    # written, so that a table put together from many is taken apart by one expression, not by one each
+    nodes = with_links(stored(some, f"{folder}/pages"), ignore_query).withColumnRenamed("src_url", "url")
+    if unique:
+        return nodes
+    return nodes.join(wanted, ["url", "page_id", "ok"]).dropDuplicates(["url"])
+
+
 def open_graph(spark: SparkSession, folder: str, buckets: int) -> DataFrame:
     """A graph that ``site_graph`` wrote into ``folder``, in this session or another one."""
     return open_bucketed(spark, folder, "url", buckets, GRAPH)
@@ -217,14 +263,15 @@ def crawl(
 
     ``status`` is done, error (the fetch failed or the host is out of scope) or
     not_captured. Every URL that was queued holds its place in ``max_pages``.
-    ``graph`` is the ``site_graph`` of the pages, made here if it isn't given.
+    ``graph`` is the ``site_graph`` of the pages; without it the pages of a level are taken
+    apart when the crawl gets there, and what it doesn't reach never is.
 
     Each level is written once, in buckets by url, and read by those after it; a level
     costs one shuffle, that of the links out of the level before. What is written on
     the way is deleted at the end."""
     spark = pages.sparkSession
     work = shared_dir(spark)
-    nodes = site_graph(pages, ignore_query_params, f"{work}/graph") if graph is None else graph
+    known, unique = (graph, True) if graph is not None else _known(pages, ignore_query_params, f"{work}/known")
     start, domain = _seed(spark, seed, ignore_query_params)
     level, added = _level(start if max_pages is None else start.limit(max_pages), f"{work}/level-0")
     levels = [level]
@@ -233,14 +280,22 @@ def crawl(
         left = None if max_pages is None else max_pages - total
         if added == 0 or left == 0:
             break
+        nodes = graph
+        if graph is None:
+            followed = level.where(in_allowed_domain("url", domain, allow_external))
+            nodes = _level_nodes(pages, ignore_query_params, followed, known, unique, f"{work}/nodes-{depth}")
+            if nodes is None:
+                break
         found = expand_once(level, levels, nodes, allow_external, None, domain)
         if left is not None:
             found = first_rows(found, left, f"{work}/first-{depth + 1}")
         level, added = _level(found, f"{work}/level-{depth + 1}")
+        if graph is None:
+            removed(spark, f"{work}/nodes-{depth}")
         levels.append(level)
         total += added
     queued = _numbered(reduce(DataFrame.unionByName, levels), total, f"{work}/ranked")
-    found = queued.join(nodes.select("url", "page_id", "ok"), "url", "left")
+    found = queued.join(known.select("url", "page_id", "ok"), "url", "left")
     out = stored(_with_status(found, domain, allow_external))
     removed(spark, work)
     return out

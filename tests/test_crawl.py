@@ -128,6 +128,32 @@ def test_only_chosen_captures_are_parsed(spark, monkeypatch):
     assert {r.url: r.page_id for r in C.site_graph(pages).collect()} == {u: p for u, (p, _) in graph.items()}
 
 
+def test_only_reached_pages_are_parsed(spark, monkeypatch):
+    """A crawl takes apart the pages it follows links from, however many were captured; also where
+    URLs were captured twice or a page has no page_id."""
+    pages = spark.range(3000).selectExpr(
+        "IF(id = 1, NULL, id) AS page_id", "concat('https://h/', IF(id = 0, '', CAST(id AS STRING))) AS url",
+        "concat('<a href=/', id + 1, '>x</a>') AS raw_html", "IF(id = 3, 500, 200) AS status_code",
+    )
+    parsed = []
+    real = C.with_links
+
+    def counted(some, *more):
+        parsed.append(some.count())
+        return real(some, *more)
+
+    want = [("", 0, 0, "done"), ("1", 1, 1, "done"), ("2", 2, 2, "done"), ("3", 3, 3, "error")]
+    monkeypatch.setattr(C, "with_links", counted)
+    assert reached(crawl(pages, "h", max_depth=9)) == want
+    assert len(parsed) == 3 and 3 <= sum(parsed) <= 6
+    parsed.clear()
+    again = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(0))).unionByName(
+        pages.selectExpr("page_id + 10000 AS page_id", "url", "'<a href=/9>x</a>' AS raw_html", "200 AS status_code", "timestamp_seconds(1) AS fetched_at")
+    )
+    assert reached(crawl(again, "h", max_depth=9)) == want
+    assert len(parsed) == 3 and 3 <= sum(parsed) <= 9
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(2000).selectExpr("IF(id = 0, NULL, concat('k', id)) AS a", "id * 3 AS b")
     words = C.bloom.words_for(2000)
