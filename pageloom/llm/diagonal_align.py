@@ -2,11 +2,12 @@
 
 Both cut the same bytes, so a text's alignment is given by the byte offsets at which
 tokens end. As long as both end together, token i of the one is token i + shift of the
-other. Such a stretch is skipped as a whole: probes of doubling length compare the two
-arrays of ends at the current shift, then halve to find where the stretch stops. There,
-tokens are stepped through one by one up to the next common end: an irregular group,
-which changes the shift. Texts of a slice lie one behind another in the same arrays; a
-text's end is a common end, so no group leaves its text.
+other. Such a stretch is skipped as a whole: after its first ends, which are compared one
+by one, probes of doubling length compare the two arrays of ends at the current shift,
+then halve to find where the stretch stops. There, tokens are stepped through one by one
+up to the next common end: an irregular group, which changes the shift. Texts of a slice
+lie one behind another in the same arrays; a text's end is a common end, so no group
+leaves its text.
 
 Every two tokens that share bytes are a link. How often each pair of ids is linked is
 counted over all texts, first in the tasks, and each text is then scored by the counts
@@ -39,6 +40,9 @@ SLICE_BYTES = 1 << 20
 #: counts of pairs are sent to every task up to this size; beyond it Spark shuffles
 COUNTS_BYTES, COUNT_BYTES = 96 << 20, 32
 
+#: ends of a stretch that are compared one by one before it is probed
+NEAR = 16
+
 # Fixed value: how the byte-level tokenizer splits a text.
 PATTERN = public_tokenizers.PATTERN
 
@@ -76,9 +80,12 @@ class ByteSide:
         self.exact.no_padding()
 
     def __call__(self, text: str) -> list[int]:
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> np.ndarray:
         if self.fast:
-            return self.fast.encode_ordinary(" " + text)
-        return self.exact.encode(" " + text, add_special_tokens=False).ids
+            return self.fast.encode_to_numpy(" " + text)
+        return np.array(self.exact.encode(" " + text, add_special_tokens=False).ids, np.int64)
 
 
 class PieceSide:
@@ -95,10 +102,13 @@ class PieceSide:
     def __call__(self, text: str) -> list[int]:
         return self.encode.encode(text)
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self(text), np.int64)
+
 
 def stretch(ea: list[int], eb: list[int], i: int, j: int) -> int:
     """How many ends from ``ea[i]`` and ``eb[j]`` on are the same, place by place."""
-    n, step = 0, 1
+    n, step = 0, NEAR
     while (part := ea[i + n : i + n + step]) and part == eb[j + n : j + n + step]:
         n += len(part)
         step *= 2
@@ -117,13 +127,20 @@ def runs_and_links(ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarray
     i = j = 0
     runs: list[int] = []
     links: list[int] = []
-    while i < len(ea):
+    size = len(ea)
+    ea, eb = [*ea, -1], [*eb, -2]  # no end: a stretch stops there
+    while i < size:
         a, b = ea[i], eb[j]
         if a == b:
-            n = stretch(ea, eb, i, j)
-            runs += (i, j, n)
-            i += n
-            j += n
+            first, shift = i, j - i
+            near = i + NEAR
+            while a == b and i < near:
+                i += 1
+                a, b = ea[i], eb[i + shift]
+            if a == b:
+                i += stretch(ea, eb, i, i + shift)
+            j = i + shift
+            runs += (first, first + shift, i - first)
             continue
         while a != b:
             links += (i, j)
@@ -170,28 +187,40 @@ def aligned(docs: DataFrame, byte_path: str = BYTE_MODEL, piece_path: str = PIEC
     )
 
 
-def _table(pieces: dict[int, bytes]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """By id: bytes, their number, and the id as text in front of each separator."""
+def _table(pieces: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All ids' bytes behind one another; by id: their number, and the id as text in front
+    of each separator."""
     n = max(pieces) + 1
     data = [pieces.get(i, b"") for i in range(n)]
     names = [np.array([f"{i}{sep}" for i in range(n)], object) for sep in ",|;"]
-    return data, np.array([len(d) for d in data], np.int64), names
+    return np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data], np.int64), names
+
+
+def _joined(ids: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens behind one another, and where each ends."""
+    data, length, _ = table
+    size = length[ids]
+    ends = np.cumsum(size)
+    start = (np.cumsum(length) - length)[ids]
+    return data[np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)], ends
 
 
 def _slice_columns(texts: list[str], sides: tuple, tables: list) -> list[pa.Array]:
     n_docs = len(texts)
-    ids: list[list[int]] = [[], []]
-    count = np.zeros((2, n_docs), np.int64)
-    for d, text in enumerate(texts):
-        if not text:
-            continue
-        whole = b" " + text.encode()
-        own = [side(text) for side in sides]
-        if all(b"".join(map(t[0].__getitem__, o)) == whole for t, o in zip(tables, own, strict=True)):
-            for k in (0, 1):
-                ids[k] += own[k]
-                count[k, d] = len(own[k])
-    a, b = (np.array(x, np.int64) for x in ids)
+    none = np.zeros(0, np.int64)
+    ids = [[side.ids(text) if text else none for text in texts] for side in sides]
+    count = np.array([[len(x) for x in own] for own in ids], np.int64).reshape(2, n_docs)
+    a, b = (np.concatenate([none, *own]) for own in ids)
+    kept = np.array([bool(text) for text in texts], bool)
+    for x, table, n in zip((a, b), tables, count, strict=True):
+        data, ends = _joined(x, table)
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])].tolist()
+        for d, text in enumerate(texts):
+            if kept[d]:
+                kept[d] = data[stops[d] : stops[d + 1]].tobytes() == b" " + text.encode()
+    if not kept.all():
+        a, b = (x[np.repeat(kept, n)] for x, n in zip((a, b), count, strict=True))
+        count *= kept
     ends = [np.cumsum(t[1][x]) for t, x in zip(tables, (a, b), strict=True)]
     runs, odd = runs_and_links(*(e.tolist() for e in ends))
     i, j, size = runs.T
@@ -206,7 +235,7 @@ def _slice_columns(texts: list[str], sides: tuple, tables: list) -> list[pa.Arra
     doc_a = np.repeat(np.arange(n_docs), count[0])
     groups = np.bincount(doc_a[last_a], minlength=n_docs)
     link_i, link_j = np.concatenate([one_i, odd[:, 0]]), np.concatenate([one_j, odd[:, 1]])
-    n_a, n_b = len(tables[0][0]), len(tables[1][0])
+    n_a, n_b = len(tables[0][1]), len(tables[1][1])
     key = (doc_a[link_i] * n_a + a[link_i]) * n_b + b[link_j]
     key, times = np.unique(key, return_counts=True)
     pairs = pa.StructArray.from_arrays(

@@ -136,3 +136,26 @@ def test_query(spark, libraries):
             assert r.n_b == len(b.encode(d.text))
             assert r.n_links == r.n_a + r.n_b - r.n_groups
             assert 0 < r.n_best <= r.n_links <= r.count_sum
+
+
+def test_short_stretches_are_not_probed(monkeypatch):
+    probed = []
+    stretch = diagonal_align.stretch
+    monkeypatch.setattr(diagonal_align, "stretch", lambda *a: probed.append(a[2]) or stretch(*a))
+    for length in range(1, 80):
+        # a stretch, a group of one token against two, a stretch
+        ea = [*range(1, length + 1), length + 2, *range(length + 3, 2 * length + 3)]
+        eb = [*range(1, 2 * length + 3)]
+        runs, odd = diagonal_align.runs_and_links(ea, eb)
+        found = {(i + k, j + k) for i, j, n in runs.tolist() for k in range(n)} | set(map(tuple, odd.tolist()))
+        assert found == {(i, j) for i, a in enumerate(ea) for j, b in enumerate(eb) if a == b or (a, b) == (length + 2, length + 1)}
+        assert len(odd) == 2
+        assert bool(probed) == (length > diagonal_align.NEAR), length
+        probed.clear()
+
+
+def test_bytes_of_a_slice_are_joined_at_once():
+    table = diagonal_align._table({0: b"", 1: b" the", 3: "ü".encode()})
+    ids = np.array([1, 3, 0, 1])
+    data, ends = diagonal_align._joined(ids, table)
+    assert data.tobytes() == " theü the".encode() and ends.tolist() == [4, 6, 6, 10]
