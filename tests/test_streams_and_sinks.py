@@ -93,6 +93,24 @@ def test_report_and_custom_writer(spark, page, tmp_path):
     assert (writer.seen, writer.ends) == ([1], [1])
 
 
+def test_a_report_makes_its_summary_once(spark, page, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = page("<title>t</title>")
+    summary = crawl_summary(crawl_log(spark, D), extract_all(df), "https://shop.test/")
+    write_report(df, summary.mapInArrow(count, summary.schema), str(tmp_path / "r"))
+    assert made.value == 1
+    header = [r.value for r in spark.read.text(str(tmp_path / "r" / "header")).collect()]
+    closing = [r.value for r in spark.read.text(str(tmp_path / "r" / "summary")).collect()]
+    assert header[0] == "  Target: https://shop.test/"
+    assert closing[0] == "  Crawl complete" and closing[-1].split() == ["Types:", "metadata:1"]
+
+
 def test_json_pages_are_read_with_the_declared_schema(spark, tmp_path):
     rows = spark.createDataFrame([("https://h/", "<p>", 200)], "url string, raw_html string, status_code int")
     rows.write.json(str(tmp_path / "p"))
