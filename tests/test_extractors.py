@@ -1,9 +1,9 @@
 import pytest
 
 from pageloom import extract_all, page_results
-from pageloom.operators import social
-from pageloom.operators.items import keep_first
-from pageloom.operators.registry import Registry
+from pageloom.operators import assets, social
+from pageloom.operators.items import NTH, keep_first
+from pageloom.operators.registry import BUILT_IN, Registry
 from pageloom.plans import platforms
 from pageloom.plans.pipeline import extract, extract_checked, extractor_errors
 
@@ -305,3 +305,26 @@ def test_pages_are_dealt_evenly_whatever_the_splits_hold(spark, tmp_path):
     finally:
         for k in small:
             spark.conf.unset(k)
+
+
+def test_items_are_made_whole_and_once(page):
+    # no second pass that builds every item again around its number
+    assert all(f"'nth', {NTH}" in m.items_sql() for m in BUILT_IN.values())
+    df = page('<a href="https://github.com/u">g</a><a href="/a.pdf?x">f</a><a href="/b">b</a><title>t</title>')
+    reg = Registry(built_in=["social", "assets", "links", "metadata"])
+    got = sorted((r.ord.nth, r.ord.pos, r.type, r.value) for r in extract_all(df, reg).collect())
+    site = "https://shop.test"
+    assert got == [
+        (0, 0, "social", "https://github.com/u"),
+        (1, 1, "asset", f"{site}/a.pdf?x"),
+        (2, 0, "link", "https://github.com/u"),
+        (2, 1, "link", f"{site}/a.pdf?x"),
+        (2, 2, "link", f"{site}/b"),
+        (3, 3, "metadata", "t"),
+    ]
+
+
+def test_only_linked_files_become_candidates():
+    # the test is part of the choice of anchors, before anything is built of them
+    chosen = assets.candidates_sql().split("e.tag = 'a' AND ")[1]
+    assert chosen.startswith("e.attrs['href'] RLIKE ")

@@ -1,9 +1,11 @@
+import re
 import time
 from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
 
+from pageloom.functions.html import document_sql
 from pageloom.operators.shred import contained_elements, select_elements, shred_html
 
 
@@ -113,3 +115,9 @@ def test_same_tags_as_the_standard_parser(spark):
             parser.feed(r.raw_html)
             mine = [(t, json.loads(a)) for t, a in got[r.page_id]]
             assert mine == parser.found
+
+
+def test_container_marks_are_looked_for_once():
+    inside = {"picture": ("source",), "video": ("video", "source"), "audio": ("audio", "source")}
+    places = re.findall(r"named_struct\('tag', \w+\.tag, 'i', \w+\)", document_sql("html", (), inside))
+    assert len(places) == 1
