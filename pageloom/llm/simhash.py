@@ -13,7 +13,8 @@ and a cell is linked as a star. That is as exact, and linear."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, segments: int = SEGMENTS, d
 # pairs as there are documents squared, on any grid of popcounts. So bands of minimum hashes
 # add candidates, and fingerprints put the texts of a large bucket in order. They count a
 # repeated shingle as often as it occurs, the similarity once, so they can't rule out a pair.
+# Both leave some pairs out. What they join goes on as one class, and the classes are compared
+# by lists of the texts' least shingles, of which no similar pair has less than one in common.
 
 BANDS, ROWS = 16, 5
 SIMILAR = 0.8
 #: texts in a band's bucket that are compared each with each
 CROWD = 16
+#: texts in a shingle's list that are compared each with each
+LISTED = 32
+#: a text's listed shingles: so many times as make sure that a similar text has one of them
+SURPLUS = 1.25
 
 _FACTORS = np.random.default_rng(SEED).integers(1, 2**63, BANDS * ROWS, dtype="u8") * np.uint64(2) + np.uint64(1)
 
@@ -164,18 +171,29 @@ def bands(hashes: np.ndarray) -> list[int] | None:
     return mixed.view("i8").tolist()
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, fp, bands) for every row."""
+def least(hashes: np.ndarray, share: float) -> tuple[int, np.ndarray]:
+    """How many different shingles a text has, and its least ones, which go into the lists."""
+    distinct = np.unique(hashes)
+    size = len(distinct)
+    enough = size - ceil(share * size - 1e-9) + 1
+    return size, distinct[: ceil(SURPLUS * enough)].view("i8")
+
+
+def sketches(docs: DataFrame, words: int, share: float = SIMILAR) -> DataFrame:
+    """(doc_id, text_hash, fp, bands, size, least) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t.as_py() or b"", words) for t in b.column(2)]
             fps, found = [simhash(h) for h in hashes], [bands(h) for h in hashes]
+            sizes, leasts = zip(*[least(h, share) for h in hashes], strict=True) if hashes else ((), ())
             columns = [b.column(0), b.column(1), pa.array(fps, "int64"), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "bands"])
+            columns += [pa.array(sizes, "int64"), pa.array(leasts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "bands", "size", "least"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long, bands array<long>")
+    marks = f"doc_id {kind}, text_hash long, fp long, bands array<long>, size long, least array<long>"
+    return _texts(docs).mapInArrow(run, marks)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -275,20 +293,99 @@ def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
     return equal.unionByName(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _sets_of(docs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the texts in ``nodes``, each read from its first document."""
+    firsts = beside(stored(texts.select("node", "first").join(nodes, "node")))
+    source = _texts(docs).withColumnRenamed("text_hash", "node")
+    bodies = source.join(firsts, (source["node"] == firsts["node"]) & source["doc_id"].eqNullSafe(firsts["first"])).select(
+        source["node"], "text"
+    )
+    return stored(_shingle_sets(bodies, words).dropDuplicates(["node"]))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _relabelled(classes: DataFrame, moved: DataFrame) -> DataFrame:
+    """``classes`` with the components that ``moved`` (old, new) names replaced."""
+    m = moved.select(F.col("old").alias("component"), "new")
+    return stored(
+        classes.join(m, "component", "left").select("node", "first", F.coalesce("new", "component").alias("component"))
+    )
+
+
+def _lists(texts: DataFrame, joined: DataFrame) -> DataFrame:
+    """(token, node, size, component, n): the least shingles of every text that are in the list
+    of a text of another class too; n texts are in the list."""
+    known = beside(joined)
+    listed = texts.join(known, "node", "left").select(
+        "node", "size", F.coalesce("component", "node").alias("component"), F.explode("least").alias("token")
+    )
+    token = Window.partitionBy("token")
+    counted = listed.select(
+        "*", F.count("*").over(token).alias("n"), F.min("component").over(token).alias("x"), F.max("component").over(token).alias("y")
+    )
+    return counted.where("x <> y").drop("x", "y")
+
+
+def _listed_classes(
+    texts: DataFrame, classes: DataFrame, joined: DataFrame, sets_of: Callable[[DataFrame], DataFrame], share: float
+) -> DataFrame:
+    """``classes`` (node, first, component) after all pairs of texts as similar as ``share`` are
+    linked, those that are in different classes so far; ``joined`` is the part of the classes
+    that has links.
+
+    The texts' least shingles (see ``least``) are listed by shingle. What two texts have in
+    common is in both their lists, or is not listed by one of them. Lists of up to ``LISTED``
+    texts are paired up, and a pair is verified if what it has in common there, what it may have
+    in longer lists and what is not listed could make it similar. A text that could have all it
+    has in common with a similar one in longer lists goes on to ``_crowd_classes``, which
+    leaves out no pair of such texts."""
+    shared = stored(_lists(texts, joined))
+    long = shared.where(F.col("n") > LISTED)
+    hot = stored(long.groupBy("node").agg(F.count("*").alias("hot"), F.sum("n").alias("score"), F.max("size").alias("size")))
+    fewest = f"ceil({share} * size)"  # shingles of a similar text
+    crowd = hot.where(f"hot > {SURPLUS - 1} * ({fewest} - ceil({share} * {fewest}) + 1) OR hot >= {fewest}")
+    end = lambda x: shared.where(F.col("n") <= LISTED).select(
+        "token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "size", "component")]
+    )
+    apart = f"component_a < component_b AND size_a >= {share} * size_b AND size_b >= {share} * size_a"
+    pairs = end("a").join(end("b"), "token").where(apart).groupBy("node_a", "node_b").agg(
+        F.count("*").alias("n"), F.any_value("size_a").alias("size_a"), F.any_value("size_b").alias("size_b")
+    )
+    known = beside(hot.select("node", "hot"))
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("node").alias(f"node_{x}"), F.col("hot").alias(f"hot_{x}")), f"node_{x}", "left")
+    rest = lambda x: f"greatest(0, size_{x} - ceil({SURPLUS} * (size_{x} - ceil({share} * size_{x}) + 1)))"
+    most = f"n + least(coalesce(hot_a, 0), coalesce(hot_b, 0)) + greatest({rest('a')}, {rest('b')})"
+    near = pairs.withColumn("most", F.expr(most)).where(f"most >= {share} * (size_a + size_b - most)")
+    near = stored(near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
+    sets = sets_of(_ends(near).union(crowd.select("node")).distinct())
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    links = _verified(near, sets, share).join(side("a"), "a").join(side("b"), "b")
+    classes = _relabelled(classes, components(links, "ca", "cb").select(F.col("node").alias("old"), F.col("component").alias("new")))
+    if not crowd.head(1):
+        return classes
+    crowd = stored(crowd.join(classes, "node").select("node", "score", "component"))
+    return _relabelled(classes, _crowd_classes(crowd, sets, share))
+
+
 def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFrame:
     """(doc_id, text_hash, component_id): classes of documents connected by texts whose
     sets of shingles have a Jaccard similarity of ``share`` or more.
 
     Equal texts are one from the start. Texts whose fingerprints are equal or linked (at
     ``MAX_BITS`` or fewer bits, by the segment popcounts) are candidates, and so are texts that
-    share a band: in a bucket of up to ``CROWD`` all of them, in a larger one at first each with the bucket's
-    first and with its neighbours in order of fingerprint and of number. Where that doesn't
-    make a larger bucket one class, all its texts go on to ``_crowd_classes``, which leaves
-    no pair of them out. Candidates are verified by their shingles.
+    share a band: in a bucket of up to ``CROWD`` all of them, in a larger one each with the bucket's
+    first and with its neighbours in order of fingerprint and of number. Candidates are verified
+    by their shingles. Of what that leaves apart no pair is left out: ``_listed_classes`` finds
+    all that are similar.
     Null and empty texts are equal to their like and similar to nothing."""
-    marks = stored(sketches(docs, words))
+    marks = stored(sketches(docs, words, share))
+    one = ["fp", "bands", "size", "least"]
     texts = marks.groupBy(F.col("text_hash").alias("node")).agg(
-        F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")
+        F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in one]
     )
     texts = stored(texts)
     entries = texts.select("node", "fp", F.posexplode("bands").alias("band", "key")).select(
@@ -313,30 +410,12 @@ def similar(docs: DataFrame, words: int = 5, share: float = SIMILAR) -> DataFram
             c.where("head <> node").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
         )
     near = stored(pairs.unionByName(_fingerprint_pairs(texts)).distinct())
-    involved = near.select(F.col("a").alias("node")).union(near.select("b")).union(large.select("node")).distinct()
-    firsts = beside(stored(texts.join(involved, "node").select("node", "first")))
-    source = _texts(docs).withColumnRenamed("text_hash", "node")
-    bodies = source.join(firsts, (source["node"] == firsts["node"]) & source["doc_id"].eqNullSafe(firsts["first"])).select(
-        source["node"], "text"
-    )
-    sets = stored(_shingle_sets(bodies, words).dropDuplicates(["node"]))
-    joined = components(_verified(near, sets, share), "a", "b")
+    sets_of = lambda nodes: _sets_of(docs, texts, nodes, words)
+    joined = stored(components(_verified(near, sets_of(_ends(near)), share), "a", "b"))
     classes = stored(
         texts.join(joined, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     )
-    # cells of which the above left more than one class
-    apart = stored(large.join(classes.select("node", "component"), "node"))
-    split = apart.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    crowd = apart.join(split.select("cell"), "cell").groupBy("node").agg(
-        F.sum("n").alias("score"), F.any_value("component").alias("component")
-    )
-    crowd = stored(crowd)
-    merged = _crowd_classes(crowd, sets, share) if crowd.head(1) else None
-    if merged is not None:
-        m = merged.select(F.col("old").alias("component"), "new")
-        classes = stored(
-            classes.join(m, "component", "left").select("node", "first", F.coalesce("new", "component").alias("component"))
-        )
+    classes = _listed_classes(texts, classes, joined, sets_of, share)
     ids = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = classes.join(ids, "component").select(F.col("node").alias("text_hash"), "component_id")
     return marks.join(labels, "text_hash").select("doc_id", "text_hash", "component_id")

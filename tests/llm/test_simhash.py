@@ -166,3 +166,50 @@ def test_fingerprints_link_similar_texts_without_bands(spark, monkeypatch):
     monkeypatch.setattr(simhash, "bands", lambda hashes: [int(h) >> 1 for h in hashes[:1] ^ np.uint64(len(hashes))] if len(hashes) else None)
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k] == 0 for k in linked) and [got[k] for k in (9, 10, 11)] == [9, 10, 11]
+
+
+def brute(rows):
+    """doc_id -> smallest doc_id it reaches over texts of a similarity of 0.8 and more."""
+    sets = {k: set(shingles(t, 5)) for k, t in rows}
+    return classes(sorted(sets), lambda a, b: a == b or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)
+
+
+def edited(rng, text, n):
+    at = {rng.randrange(len(text)) for _ in range(n)}
+    return [f"e{rng.randrange(10**9)}" if j in at else w for j, w in enumerate(text)]
+
+
+def test_similar_texts_without_a_shared_band(spark):
+    """About one pair in 600 at 0.8 shares no band, nor do its fingerprints lie near each other."""
+    rng = random.Random(9)
+    rows = []
+    while len(rows) < 6:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        pair = [" ".join(base), " ".join(edited(rng, base, 1) + ["more"])]
+        a, b = (simhash.shingle_hashes(t.encode(), 5) for t in pair)
+        apart = not any(x == y for x, y in zip(simhash.bands(a), simhash.bands(b), strict=True))
+        if apart and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and (simhash.simhash(a) ^ simhash.simhash(b)).bit_count() > 2:
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+    assert sorted(r.doc_id for r in simhash.without_copies(docs).collect()) == [0, 2, 4]
+
+
+def test_lists_alone_find_all_similar_texts(spark, monkeypatch):
+    """No text shares a band: short and long lists, texts of every length, lines that many have."""
+    rng = random.Random(10)
+    line = [f"l{j}" for j in range(14)]
+    rows = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([1, 3, 6, 9, 15, 40, 90, 200]))]
+        base = base + line if rng.random() < 0.7 else base
+        for _ in range(rng.randint(1, 5)):
+            text = edited(rng, base, rng.randint(0, max(1, len(base) // 45)))
+            rows.append((len(rows), " ".join(text + [f"x{j}" for j in range(rng.choice([0, 0, 1, len(base) // 20]))])))
+    want = brute(rows)
+    assert 20 < len(set(want.values())) < len(rows) - 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "bands", lambda hashes: [int(hashes.sum()) >> 1] if len(hashes) else None)
+    for listed in (32, 3):
+        monkeypatch.setattr(simhash, "LISTED", listed)
+        assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
