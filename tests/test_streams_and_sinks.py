@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pageloom.operators.registry import Registry
 from pageloom.plans.pipeline import extract_all, page_items, page_results
-from pageloom.plans.report import write_report
+from pageloom.plans.report import report_lines, write_report
 from pageloom.operators.stats import crawl_summary
 from pageloom.sinks.writers import run_writer, write_results
 from pageloom.sources.corpora import crawl_log
@@ -93,6 +93,22 @@ def test_report_and_custom_writer(spark, page, tmp_path):
     assert (writer.seen, writer.ends) == ([1], [1])
 
 
+def test_report_lines_end_with_the_totals(spark, page):
+    events = [("page_queued", 0), ("page_done", 1), ("page_error", 2), ("page_done", 3)]
+    log = spark.createDataFrame(events, "event_type string, second int").selectExpr("event_type", "timestamp_seconds(second) AS ts")
+    good = page("<title>t</title><a href=/x>y</a>", error="")
+    failed = page("<title>t</title>", error="gone").selectExpr("page_id + 1 AS page_id", "url", "html", "error")
+    lines = report_lines(good.unionByName(failed).unionByName(good), log=log)
+    closing = [r.line for r in lines.where("page_id IS NULL").orderBy("line_no").collect()]
+    assert closing == [
+        "  Crawl complete", "    Pages:  2 crawled, 1 errors", "    Items:  4 extracted in 3.0s", "    Types:  link:2, metadata:2",
+    ]
+    own = sorted((r.page_id, r.line_no, r.line) for r in lines.where("page_id IS NOT NULL").collect())
+    assert own == sorted(tuple(r) for r in report_lines(good.unionByName(good)).collect()) and len(own) == 6
+    none = report_lines(failed, log=log)
+    assert [r.line for r in none.orderBy("line_no").collect()][1:] == ["    Pages:  2 crawled, 1 errors", "    Items:  0 extracted in 3.0s"]
+
+
 def test_a_report_makes_its_summary_once(spark, page, tmp_path):
     made = spark.sparkContext.accumulator(0)
 
